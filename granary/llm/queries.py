@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from granary.llm import near_dedup
+from granary.llm import near_dedup, toxicity
 
 QUERIES = {
+    "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
 }
 
