@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import near_dedup, toxicity
+from granary.llm import decontaminate, near_dedup, quality_model, toxicity
 
 QUERIES = {
+    "op1_template_decontamination": decontaminate.op1_template_decontamination,
+    "op3_weak_label_quality": quality_model.op3_weak_label_quality,
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
 }
