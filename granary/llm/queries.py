@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, near_dedup, quality_model, toxicity
+from granary.llm import decontaminate, near_dedup, quality_model, spiece, toxicity
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
     "op3_weak_label_quality": quality_model.op3_weak_label_quality,
+    "op4_piece_transducer": spiece.op4_piece_transducer,
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
 }
