@@ -16,15 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm import bytehash
+from granary.llm import bytehash, weak_labels
 from granary.llm.common import table
+from granary.llm.weak_labels import ABSTAIN, BAD, GOOD
 
 #: Sample that trains the scorer: so many texts that the posterior calls bad and so many that it calls good, each of at most TRAIN_BYTES.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 20_000
 BITS = 16
 THRESHOLD = 0.5
-PRIOR_STRENGTH, START_LIFT = 0.02, 8.0
-BAD, GOOD, ABSTAIN = 0, 1, 2
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -109,37 +108,6 @@ def pattern_codes(column: pa.Array) -> np.ndarray:
     return np.concatenate([votes(measures(raw, offsets, i, j)) @ base for i, j in bytehash.groups(offsets)] or [np.zeros(0, np.int64)])
 
 
-def expectation_maximisation(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], float, np.ndarray]:
-    """(posterior of good by pattern, share of good, accuracy of each labeller) from the counts of vote patterns.
-
-    A labeller votes bad, good or not at all with a probability of its own in either class. It starts START_LIFT times as often
-    bad in the bad class as in all, and as much rarer in the good one; PRIOR_STRENGTH of all documents stay with that belief, so
-    that the classes keep their names.
-    """
-    codes = np.array(sorted(patterns), np.int64)
-    count = np.array([patterns[c] for c in codes], float)
-    v = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    total = max(count.sum(), 1.0)
-    seen = np.clip(np.stack([((v == k) * count[:, None]).sum(0) for k in range(3)]) / total, 1e-4, 1)  # share of each vote
-    # start[y, vote, labeller]; what a labeller that votes bad leaves is shared between its other votes as they are seen.
-    start = np.empty((2, 3, len(LABELLERS)))
-    start[0, BAD], start[1, BAD] = np.minimum(0.9, START_LIFT * seen[BAD]), seen[BAD] / START_LIFT
-    start[:, GOOD:] = (1 - start[:, BAD])[:, None] * (seen[GOOD:] / seen[GOOD:].sum(0))
-    theta, good = start.copy(), 0.9
-    pick = np.arange(len(LABELLERS))
-    for _ in range(rounds):
-        like = np.log(theta[:, v, pick]).sum(2) + np.log([[1 - good], [good]])
-        post = 1 / (1 + np.exp(np.clip(like[0] - like[1], -700, 700)))
-        mass = np.stack([(1 - post) * count, post * count])
-        keep = PRIOR_STRENGTH * total
-        for k in range(3):
-            theta[:, k] = mass @ (v == k) + keep * start[:, k]
-        theta /= theta.sum(1, keepdims=True)
-        good = float(np.clip((mass[1].sum() + keep * 0.9) / (total + keep), 0.01, 0.99))
-    right = (mass[1] @ (v == GOOD) + mass[0] @ (v == BAD)) / np.maximum(count @ (v != ABSTAIN), 1e-9)
-    return dict(zip(codes.tolist(), post.tolist(), strict=True)), good, right
-
-
 def features(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams of texts i to j and the start of each text there (a text has two bytes of padding, so at least one)."""
     lengths = np.diff(offsets[i : j + 1])
@@ -208,7 +176,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     patterns = {r["pattern"]: r["n"] for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return None
-    posterior, _, _ = expectation_maximisation(patterns)
+    labelled = weak_labels.fit(patterns, len(LABELLERS))
+    posterior = {p: labelled.posterior(p) for p in patterns}
     # A share of all texts by a hash of the id, sized so that either side has TRAIN_ROWS; of a rare side all rows may be needed.
     bad = sum(n for p, n in patterns.items() if posterior[p] < 0.5)
     share = {False: min(1.0, TRAIN_ROWS / max(1, bad)), True: min(1.0, TRAIN_ROWS / max(1, sum(patterns.values()) - bad))}

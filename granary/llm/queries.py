@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, near_dedup, quality_model, spiece, toxicity
+from granary.llm import decontaminate, near_dedup, quality_model, quality_rules, spiece, toxicity
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
+    "op2_weak_quality_rules": quality_rules.op2_weak_quality_rules,
     "op3_weak_label_quality": quality_model.op3_weak_label_quality,
     "op4_piece_transducer": spiece.op4_piece_transducer,
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
