@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                encoded = [None if x is None else machine.encode(x) for x in map(pa.Scalar.as_py, part.column(1))]
+                encoded = [None if x is None else machine.encode(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(encoded)], names=[id_col, "ids"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
@@ -252,7 +252,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            texts = [None if x is None else machine.decode(x) for x in map(pa.Scalar.as_py, batch.column(1))]
+            texts = [None if x is None else machine.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
@@ -266,9 +266,9 @@ def op4_piece_transducer(spark, sf_dir: str, path: str | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         low, high = min(machine.of_byte), max(machine.of_byte)
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             rows = []
-            for text in map(pa.Scalar.as_py, batch.column(1)):
+            for text in batch.column(1).to_pylist():
                 if text is None:
                     rows.append((0, 0, 0, True))
                     continue
