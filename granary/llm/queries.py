@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, near_dedup, quality_model, quality_rules, spiece, toxicity
+from granary.llm import decontaminate, language_id, near_dedup, quality_model, quality_rules, sharding, spiece, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -10,6 +10,10 @@ QUERIES = {
     "op3_weak_label_quality": quality_model.op3_weak_label_quality,
     "op4_piece_transducer": spiece.op4_piece_transducer,
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
+    "op6_redirect_classes": url_filter.op6_redirect_classes,
+    "op7_warc_salvage": warc.op7_warc_salvage,
+    "op8_bigru_language": language_id.op8_bigru_language,
+    "op9_best_fit_shards": sharding.op9_best_fit_shards,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
 }
 
