@@ -1,0 +1,287 @@
+"""Walks, scans, duplicates, reclaiming and removal over small real trees."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from granary import api, cli
+from granary.operators import duplicates, reclaim, removal
+from granary.sources import file_tree
+from granary.sources.file_tree import Options
+
+
+def put(root, name, data):
+    path = root / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(data if isinstance(data, bytes) else b"x" * data)
+    return str(path)
+
+
+def names(groups, root):
+    return [[os.path.relpath(f, root) for f in g.files] for g in groups]
+
+
+def test_totals_and_children(spark, tmp_path):
+    for name, n in (("a/1.bin", 1000), ("a/2.bin", 500), ("b/3.bin", 200)):
+        put(tmp_path, name, n)
+    r = api.scan(spark, str(tmp_path))
+    assert (r.total_files, r.total_dirs, r.skipped) == (3, 2, 0)
+    assert r.children[0].path == f"{tmp_path}/a" and r.children[0].file_count == 2
+    assert r.total_size >= 1700 and r.total_size == sum(c.size for c in r.children)
+    assert sum(f.logical_size for f in r.top_files) == 1700
+    assert r.disk_total > 0
+
+
+def test_loose_files_are_no_folders(spark, tmp_path):
+    put(tmp_path, "loose.bin", 777)
+    put(tmp_path, "sub/inner.bin", 300)
+    r = api.scan(spark, str(tmp_path))
+    assert r.root_files_count == 1 and r.root_files_size >= 777 and len(r.children) == 1
+
+
+def test_top_of_none_and_ties(spark, tmp_path):
+    for name in ("b/x", "a/x", "c"):
+        put(tmp_path, name, 10)
+    r = api.scan(spark, str(tmp_path), 0)
+    assert (r.children, r.top_files, r.total_files) == ([], [], 3)
+    r = api.scan(spark, str(tmp_path))
+    assert [os.path.basename(c.path) for c in r.children] == ["a", "b"]
+
+
+def test_hidden_entries_empty_folders_and_sparse_files(spark, tmp_path):
+    put(tmp_path, ".h", 1)
+    put(tmp_path, "_u", 1)
+    put(tmp_path, ".d/x", 1)
+    (tmp_path / "empty/inner").mkdir(parents=True)
+    with open(tmp_path / "sparse", "wb") as f:
+        f.truncate(10_000_000)
+    r = api.scan(spark, str(tmp_path))
+    assert (r.total_files, r.total_dirs) == (4, 3)
+    assert [os.path.basename(c.path) for c in r.children] == [".d"]
+    sparse = [f for f in r.top_files if f.path.endswith("sparse")][0]
+    assert sparse.logical_size == 10_000_000 and sparse.size < 100_000
+
+
+def test_exclusion_and_depth(spark, tmp_path):
+    put(tmp_path, "keep.bin", 100)
+    put(tmp_path, "junk.tmp", 1000)
+    put(tmp_path, "nested/deep/deeper.bin", 50)
+    assert api.scan(spark, str(tmp_path), options=Options(("*.tmp",))).total_files == 2
+    shallow = api.scan(spark, str(tmp_path), options=Options(max_depth=1))
+    assert (shallow.total_files, shallow.total_dirs) == (2, 1)
+    assert api.scan(spark, str(tmp_path), options=Options(max_depth=0)).total_files == 0
+    assert api.scan(spark, str(tmp_path), options=Options((tmp_path.name,))).total_files == 0  # a component of the root itself
+    assert api.scan(spark, str(tmp_path), options=Options(("[bad",))).total_files == 3
+    assert api.scan(spark, str(tmp_path), options=Options(("nested",))).total_dirs == 0
+
+
+def test_symbolic_links(spark, tmp_path):
+    put(tmp_path, "real/f", 10)
+    os.symlink(tmp_path / "real/f", tmp_path / "to_file")
+    os.symlink(tmp_path / "real", tmp_path / "to_dir")
+    os.symlink(tmp_path, tmp_path / "real/loop")
+    os.symlink(tmp_path / "nothing", tmp_path / "dangling")
+    off = api.scan(spark, str(tmp_path))
+    assert (off.total_files, off.total_dirs, off.skipped) == (1, 1, 0)
+    on = api.scan(spark, str(tmp_path), options=Options(follow_symlinks=True))
+    assert (on.total_files, on.total_dirs, on.skipped) == (3, 2, 3)  # two loops and the dangling one
+
+
+@pytest.mark.skipif(os.geteuid() == 0, reason="root reads everything")
+def test_unreadable_entries(spark, tmp_path):
+    a, b = put(tmp_path, "a", b"same"), put(tmp_path, "b", b"same")
+    os.chmod(b, 0)
+    assert a and api.find_duplicates(spark, str(tmp_path)) == []
+
+
+def test_names_that_are_not_utf8(spark, tmp_path):
+    with open(os.fsencode(tmp_path) + b"/bad\xff", "wb") as f:
+        f.write(b"x")
+    row = file_tree.read(spark, str(tmp_path)).first()
+    assert bytes(row.path_raw).endswith(b"bad\xff") and row.path.endswith("bad\ufffd")
+
+
+def test_duplicates(spark, tmp_path):
+    put(tmp_path, "x/dup1.bin", b"hello world")
+    put(tmp_path, "y/dup2.bin", b"hello world")
+    put(tmp_path, "z/unique.bin", b"hello there")
+    (g,) = api.find_duplicates(spark, str(tmp_path))
+    assert len(g.files) == 2 and g.wasted == g.size == 11 and len(g.hash) == 64
+
+
+def test_hard_links_are_no_duplicates(spark, tmp_path):
+    a = put(tmp_path, "a.bin", 5000)
+    os.link(a, tmp_path / "b.bin")
+    assert api.find_duplicates(spark, str(tmp_path)) == []
+    assert api.scan(spark, str(tmp_path)).total_files == 2
+    put(tmp_path, "c.bin", 5000)
+    (g,) = api.find_duplicates(spark, str(tmp_path))
+    assert len(g.files) == 2 and g.wasted == 5000
+
+
+def test_equal_starts_and_block_edges(spark, tmp_path):
+    start = b"s" * 4096
+    put(tmp_path, "p1", start + b"a" * 904)
+    put(tmp_path, "p2", start + b"a" * 904)
+    put(tmp_path, "p3", start + b"b" * 904)
+    for n in (4095, 4096, 4097):
+        put(tmp_path, f"e{n}a", n)
+        put(tmp_path, f"e{n}b", n)
+    found = names(api.find_duplicates(spark, str(tmp_path)), tmp_path)
+    assert sorted(found) == [["e4095a", "e4095b"], ["e4096a", "e4096b"], ["e4097a", "e4097b"], ["p1", "p2"]]
+
+
+def test_empty_files_least_size_and_order(spark, tmp_path):
+    put(tmp_path, "e1", b"")
+    put(tmp_path, "e2", b"")
+    put(tmp_path, "a-b", 7)
+    put(tmp_path, "a/b", 7)
+    assert names(api.find_duplicates(spark, str(tmp_path), 0), tmp_path) == [["a/b", "a-b"]]
+    assert len(api.find_duplicates(spark, str(tmp_path), 7)) == 1
+    assert api.find_duplicates(spark, str(tmp_path), 8) == []
+    with pytest.raises(ValueError):
+        api.find_duplicates(spark, str(tmp_path), -1)
+
+
+def test_a_hot_length_is_hashed_in_many_tasks(spark, tmp_path):
+    for k in range(40):
+        put(tmp_path, f"f{k}", b"%04d" % (k % 5))
+    found = duplicates.members(file_tree.read(spark, str(tmp_path)))
+    single = duplicates._read_and_digest(duplicates.candidates(file_tree.read(spark, str(tmp_path))).select("logical_size", "path"), False)
+    assert single.select(F.spark_partition_id()).distinct().count() > 1 or single.rdd.getNumPartitions() == 1
+    assert duplicates.summaries(found).count() == 5
+
+
+def test_reclaim_runs_dry_and_then_deletes(spark, tmp_path):
+    for name in ("keep.bin", "dup1.bin", "dup2.bin"):
+        put(tmp_path, name, 1000)
+    (g,) = api.find_duplicates(spark, str(tmp_path))
+    dry = api.reclaim(g.files[0], g.files, g.size)
+    assert (dry.removed, dry.reclaimed, dry.dry_run) == (2, 2000, True) and all(map(os.path.exists, g.files))
+    done = api.reclaim(g.files[0], g.files[1:], g.size, dry_run=False)
+    assert done.removed == 2 and not done.errors and [os.path.exists(f) for f in g.files] == [True, False, False]
+    gone = api.reclaim(g.files[0], g.files[1:], g.size, dry_run=False)
+    assert gone.removed == 0 and len(gone.errors) == 2
+
+
+def test_reclaim_by_hard_link_and_trash(spark, tmp_path):
+    keep, dup = put(tmp_path, "t/keep.bin", 600), put(tmp_path, "t/dup.bin", 600)
+    assert api.reclaim(keep, [dup], 600, "hardlink", False).removed == 1
+    assert os.path.samefile(keep, dup) and api.find_duplicates(spark, str(tmp_path / "t")) == []
+    missing = api.reclaim(str(tmp_path / "none"), [dup], 600, "hardlink", False)
+    assert missing.removed == 0 and os.path.exists(dup) and sorted(os.listdir(tmp_path / "t")) == ["dup.bin", "keep.bin"]
+    assert api.reclaim(keep, [dup], 600, "trash", False).errors
+    assert api.reclaim(keep, [dup], 600, "trash", False, str(tmp_path / "trash")).removed == 1
+    assert not os.path.exists(dup) and len(os.listdir(tmp_path / "trash/files")) == 1
+    with pytest.raises(ValueError):
+        api.reclaim(keep, [], 0, "shred")
+
+
+def test_plans_can_be_applied(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        put(tmp_path, name, b"same")
+    found = duplicates.members(file_tree.read(spark, str(tmp_path)).persist())
+    other = spark.createDataFrame([(found.first().hash, f"{tmp_path}/c"), ("no such group", "x")], "hash string, keep string")
+    planned = reclaim.plan(duplicates.keep_instead(found, other))
+    assert tuple(reclaim.dry_run(planned).first()) == (2, 8)
+    assert reclaim.apply(planned.persist(), "delete").removed == 2
+    assert os.listdir(tmp_path) == ["c"]
+
+
+def test_wasted_saturates(spark):
+    rows = spark.createDataFrame([("/r", f"/r/{k}", 1, "file", 0, 1 << 62, None, None, b"") for k in range(4)], "root string, path string, depth int, entry_type string, size long, logical_size long, dev long, inode long, content binary")
+    assert duplicates.members(rows).first().wasted == duplicates.LARGEST
+    assert reclaim.dry_run(reclaim.plan(duplicates.members(rows))).first().reclaimed == duplicates.LARGEST
+
+
+@pytest.fixture
+def doomed(tmp_path):
+    for name, n in (("a/1.bin", 1000), ("a/b/2.bin", 500), ("3.bin", 200)):
+        put(tmp_path / "doomed", name, n)
+    return str(tmp_path / "doomed")
+
+
+def test_removal_runs_dry_and_then_wipes(doomed):
+    dry = api.remove_path(doomed)
+    assert (dry.files, dry.dirs, dry.dry_run) == (3, 3, True) and dry.bytes >= 1700 and os.path.exists(f"{doomed}/a/b/2.bin")
+    done = api.remove_path(doomed, dry_run=False)
+    assert done.files == 3 and not done.errors and not os.path.exists(doomed)
+
+
+def test_removal_never_follows_links(tmp_path, doomed):
+    outside = put(tmp_path, "outside/kept", 10)
+    os.symlink(tmp_path / "outside", f"{doomed}/link")
+    assert not api.remove_path(doomed, dry_run=False).errors and os.path.exists(outside)
+    os.symlink(tmp_path / "outside", tmp_path / "top")
+    one = api.remove_path(str(tmp_path / "top"), dry_run=False)
+    assert (one.files, one.dirs) == (1, 0) and os.path.exists(outside) and not os.path.lexists(tmp_path / "top")
+
+
+def test_removal_of_one_file_trash_and_guards(tmp_path, doomed):
+    only = put(tmp_path, "only.bin", 321)
+    r = api.remove_path(only, dry_run=False)
+    assert r.files == 1 and r.bytes >= 321 and os.path.isdir(tmp_path)
+    assert api.remove_path(doomed, "trash", False, trash=str(tmp_path / "trash")).errors == [] and not os.path.exists(doomed)
+    for path in ("/", "/..", "//"):
+        with pytest.raises(ValueError):
+            removal.guard(path)
+    with pytest.raises(FileNotFoundError):
+        api.remove_path(str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        api.remove_path(str(tmp_path), "shred")
+
+
+def test_progress_and_stopping(spark, tmp_path, doomed):
+    seen = api.Progress()
+    api.scan(spark, doomed, progress=seen)
+    assert seen.files == 3 and seen.bytes >= 1700
+    stopped = api.Progress()
+    stopped.cancel()
+    assert api.scan(spark, doomed, progress=stopped).total_files == 0
+    assert api.find_duplicates(spark, doomed, progress=stopped) == []
+    api.remove_path(doomed, dry_run=False, progress=stopped)
+    assert os.path.exists(f"{doomed}/a/1.bin")
+    token = str(tmp_path / "token")
+    open(token, "w").close()
+    assert file_tree.read(spark, doomed, Options(token=token)).count() == 0
+
+
+def test_only_folders_are_scanned(spark, tmp_path):
+    path = put(tmp_path, "f", 1)
+    for f in (api.scan, api.find_duplicates, api.walk_files):
+        with pytest.raises(NotADirectoryError):
+            f(spark, path)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    put(tmp_path, "t/a", b"q" * 2_000_000)
+    put(tmp_path, "t/s/b", b"q" * 2_000_000)
+    root = str(tmp_path / "t")
+    assert cli.main(["scan", root], spark) == 0
+    out = capsys.readouterr().out
+    assert "total:" in out and "Biggest sub-folders:" in out
+    assert cli.main(["--json", "scan", root, "--exclude", "[bad"], spark) == 0
+    text = capsys.readouterr()
+    assert {"total_size", "root_files_count", "skipped"} <= json.loads(text.out).keys() and "[bad" in text.err
+    assert cli.main(["dupes", root, "--json", "--min-mb", "3"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == []
+    assert cli.main(["dupes", root, "--reclaim", "delete"], spark) == 0
+    assert "DRY-RUN" in capsys.readouterr().out and os.path.exists(f"{root}/a")
+    assert cli.main(["dupes", root, "--reclaim", "hardlink", "--apply", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["reclaim"]["removed"] == 1 and os.path.samefile(f"{root}/a", f"{root}/s/b")
+    assert cli.main(["scan", str(tmp_path / "none")], spark) == 1
+    assert cli.main(["dupes", root, "--min-mb", "-1"], spark) == 1
+    assert cli.main(["rm", str(tmp_path / "none")]) == 1 and cli.main(["rm", "/"]) == 1
+    capsys.readouterr()
+    assert cli.main(["rm", root]) == 0 and "DRY-RUN" in capsys.readouterr().out and os.path.exists(root)
+    assert cli.main(["rm", root, "--apply"]) == 0 and not os.path.exists(root)
+
+
+def test_benchmark_tree(spark, tmp_path):
+    import bench
+
+    bench.tree(str(tmp_path))
+    groups = api.find_duplicates(spark, str(tmp_path))
+    assert len(groups) == 50 and sum(g.wasted for g in groups) == 42_750 and all(len(g.files) == 20 for g in groups)
