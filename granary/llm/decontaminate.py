@@ -35,8 +35,8 @@ UNITS = (
 ).split()
 
 _NAME, _NUMBER, _UNIT = "\x02", "\x03", "\x04"
-_WORD = r"[\p{L}\p{M}]+"
-_DIGITS = r"[0-9]+(?:[.,:/-][0-9]+)*"
+_WORD = r"[\p{L}\p{M}]++"
+_DIGITS = r"[0-9]++(?:[.,:/-][0-9]++)*+"
 
 
 def _marked(text: Column) -> Column:

@@ -30,6 +30,7 @@ FILE_BYTES = 32 << 20
 PIECE = 1 << 18
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _END = b"\r\n\r\n"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 #: A header of more bytes than this is taken for a broken one.
 HEADER_BYTES = 1 << 16
 
@@ -76,7 +77,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         if not colon:
             raise Broken("header line without a colon")
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = fields.get("content-length", "")
+    if not MANDATORY <= fields.keys():
+        raise Broken("a mandatory field is missing")
+    length = fields["content-length"]
     if not length.isdigit() or len(data) != end + 8 + int(length) or not data.endswith(_END):
         raise Broken("length")
     block = data[end + 4 : -4]
