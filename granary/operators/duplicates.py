@@ -24,7 +24,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def at_least(inventory: DataFrame, min_size: int = 1) -> DataFrame:
