@@ -32,15 +32,46 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of a batch between the JVM and Python. Texts average kilobytes and some are far longer; Spark's own 10,000 make batches of tens of megabytes,
+#: several of which each task holds at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of at most BATCH_ROWS rows, which stays set in the session as plans are made when they run."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+    return df.mapInArrow(f, schema)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_folders: list[str] = []
+
+
+def own_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the shared folder; discard() removes what was made there."""
+    _folders.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove all folders that operators of this process have written, once their results have been used."""
+    jvm = spark.sparkContext._jvm
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: a cut in the lineage that keeps columns prunable."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import bytehash
-from granary.llm.common import held_out, table
+from granary.llm.common import held_out, map_batches, table
 
 SEGMENT = 64
 HIDDEN = 10
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
 def op8_bigru_language(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import bytehash, weak_labels
-from granary.llm.common import table
+from granary.llm.common import map_batches, table
 from granary.llm.weak_labels import ABSTAIN, BAD, GOOD
 
 #: Sample that trains the scorer: so many texts that the posterior calls bad and so many that it calls good, each of at most TRAIN_BYTES.
@@ -109,26 +109,30 @@ def pattern_codes(column: pa.Array) -> np.ndarray:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of texts i to j and the start of each text there (a text has two bytes of padding, so at least one)."""
+    """Hashed byte trigrams of texts i to j and the start of each text's there: one for each byte, the last ones with line feeds behind the
+    text, and two of 1 << BITS, which stand for nothing."""
     lengths = np.diff(offsets[i : j + 1])
-    starts = np.r_[0, np.cumsum(lengths + 3)]
-    out = np.full(starts[-1], 10, np.uint8)
-    keep = np.ones(starts[-1], bool)
-    for k in (1, 2, 3):
-        keep[starts[1:] - k] = False
+    starts = np.r_[0, np.cumsum(lengths + 2)]
+    out = np.full(starts[-1] + 2, 10, np.uint8)
+    keep = np.ones(starts[-1] + 2, bool)
+    none = np.r_[starts[1:] - 2, starts[1:] - 1]
+    keep[none] = keep[-2:] = False
     out[keep] = raw[offsets[i] : offsets[j]]
     wide = out.astype(np.uint32)
     grams = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
-    return (grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), starts[:-1]
+    grams = (grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    grams[none] = 1 << BITS
+    return grams, starts[:-1]
 
 
 def score_column(column: pa.Array, weights: np.ndarray, bias: float, scale: float) -> np.ndarray:
     """Scores (0 to 1, higher is better) of the texts of a column, a million bytes at a time."""
     raw, offsets = bytehash.column_bytes(column)
     parts = []
+    weights = np.r_[weights, 0.0]
     for i, j in bytehash.groups(offsets):
         grams, starts = features(raw, offsets, i, j)
-        sums = np.add.reduceat(np.r_[weights[grams], 0.0, 0.0], starts)
+        sums = np.add.reduceat(weights[grams], starts)
         parts.append(sums / (np.diff(offsets[i : j + 1]) + 1))
     z = np.concatenate(parts or [np.zeros(0)]) * scale + bias
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -143,7 +147,7 @@ def train_scorer(texts: list[str], labels: np.ndarray, rounds: int = 150) -> tup
         grams, starts = features(raw, offsets, i, j)
         ends = np.r_[starts[1:], len(grams)]
         for k in range(j - i):
-            g, c = np.unique(grams[starts[k] : ends[k]], return_counts=True)
+            g, c = np.unique(grams[starts[k] : ends[k] - 2], return_counts=True)
             rows.append(np.full(len(g), i + k))
             cols.append(g)
             vals.append(c / (offsets[i + k + 1] - offsets[i + k] + 1))
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("pattern", T.LongType())])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Per pattern: its count, and the rows of least hash of which the sample can be.
-    coded = texts.filter(F.length("text") > 0).mapInArrow(codes, schema)
+    coded = map_batches(texts.filter(F.length("text") > 0), codes, schema)
     patterns = {r["pattern"]: r["n"] for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return None
@@ -193,7 +197,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(post, pa.float64())], names=["id", "text", "good"]).filter(pa.array(keep))
 
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("good", T.DoubleType())])
-    rows = sorted((r["id"] or 0, r["text"], r["good"]) for r in texts.filter(F.length("text") > 0).mapInArrow(sample, kind).collect())
+    rows = sorted((r["id"] or 0, r["text"], r["good"]) for r in map_batches(texts.filter(F.length("text") > 0), sample, kind).collect())
     good = np.array([g for _, _, g in rows])
     if not len(rows) or good.min() >= 0.5 or good.max() < 0.5:
         return None
@@ -212,7 +216,7 @@ def quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score >= THRESHOLD)], names=[id_col, "score", "kept"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
 def scores_of(column: pa.Array, model) -> np.ndarray:
@@ -231,7 +235,7 @@ def without_poor(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores_of(batch.column(at), model) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op3_weak_label_quality(spark, sf_dir: str) -> DataFrame:

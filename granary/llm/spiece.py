@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import table
+from granary.llm.common import map_batches, table
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker keeps.
-SEGMENTS, PAIRS = 300_000, 500_000
+SEGMENTS, PAIRS = 200_000, 300_000
 
 _SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(encoded)], names=[id_col, "ids"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -256,7 +256,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+    return map_batches(encoded.select(id_col, ids_col), run, schema)
 
 
 def op4_piece_transducer(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -278,4 +278,4 @@ def op4_piece_transducer(spark, sf_dir: str, path: str | None = None) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_())))], names=["doc_id", "n_ids", "ids_crc32", "byte_ids", "exact"])
 
     kinds = (("doc_id", T.LongType()), ("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("byte_ids", T.LongType()), ("exact", T.BooleanType()))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+    return map_batches(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")), run, T.StructType([T.StructField(*k) for k in kinds]))

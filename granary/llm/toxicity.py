@@ -28,20 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import held_out, table
+from granary.llm.common import held_out, map_batches, table
 
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 6000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2500, 5000, 20_000
 THRESHOLD = 0.3
 DICTIONARY_BYTES = 131_072
 LIFT = 4.0
 #: Least evidence for a toxic window: documents that hold it times the log of the lift.
-EVIDENCE = 20.0
+EVIDENCE, LEAST_DOCUMENTS = 20.0, 3
 #: A window also counts as its first so many characters: stems with many endings are else too rare each.
 STEMS = (4, 5, 6, 7, 8)
 #: Windows that train either dictionary: of most lift, and most frequent.
 TOXIC_WINDOWS, ORDINARY_WINDOWS = 300, 5_000
 LEVEL = 12
-CACHE = 300_000
+CACHE = 150_000
 #: Stands before every sample and every window: zstandard stores an input of a few bytes as it is, and behind bytes that both
 #: dictionaries hold, each byte that a window costs shows in the length.
 CARRIER = b"\x02window of the text to be compared with either dictionary\x03"
@@ -131,6 +131,11 @@ def _apart(rows: list[tuple[int, str, int]]) -> Iterator[tuple[int, str, int]]:
         seen |= least
 
 
+def _stems(windows: list[str]) -> set[str]:
+    """The windows, and their first characters by STEMS."""
+    return {w[:k] for w in windows for k in (*STEMS, len(w))}
+
+
 def _describe(gains: list[int], least: int) -> tuple[int, bool]:
     reach = [g for g in gains if g >= least]
     return min(3, len(reach)), bool(reach) and max(reach) > least + 3
@@ -141,20 +146,33 @@ def fit(rows: list[tuple[int, str, int]], toxic_rows: int, ordinary_rows: int, w
 
     None where either kind has no row: every text then scores the share of toxic rows.
     """
-    docs = [(zlib.crc32(str(i).encode()) // 4 % 3, y, text_windows(t, window)) for i, t, y in _apart(rows)]
-    if len({y for _, y, _ in docs}) < 2:
+    some = list(_apart(rows))
+    fold_of = lambda i: zlib.crc32(str(i).encode()) // 4 % 3
+    if len({y for _, _, y in some}) < 2:
         return None
-    fold = {f for f, y, _ in docs if y == 1}
-    train = [d for d in docs if d[0] != 0] if len({y for f, y, _ in docs if f != 0}) == 2 and 0 in fold else docs
-    held = [d for d in docs if d[0] == 0] if train is not docs else docs
-    seen = {y: Counter(w for _, z, ws in train if z == y for w in {w[:k] for w in ws for k in (*STEMS, len(w))}) for y in (0, 1)}
-    n = {y: max(1, sum(1 for d in train if d[1] == y)) for y in (0, 1)}
-    lift = {w: c * math.log(c / n[1] / (seen[0][w] + 0.5) * n[0]) for w, c in seen[1].items() if c / n[1] > LIFT * (seen[0][w] + 0.5) / n[0]}
-    toxic = Counter({w: seen[1][w] for w in sorted(lift, key=lambda w: (-lift[w], w))[:TOXIC_WINDOWS] if lift[w] >= EVIDENCE}) or seen[1]
-    dictionaries = dictionary_of(toxic), dictionary_of(Counter(dict(seen[0].most_common(ORDINARY_WINDOWS))))
+    split = len({y for i, _, y in some if fold_of(i)}) == 2 and any(y == 1 and fold_of(i) == 0 for i, _, y in some)
+    train = [(t, y) for i, t, y in some if not split or fold_of(i)]
+    held = [(t, y) for i, t, y in some if not split or not fold_of(i)]
+    n = {y: max(1, sum(1 for _, z in train if z == y)) for y in (0, 1)}
+    in_toxic = Counter(w for t, y in train if y == 1 for w in _stems(text_windows(t, window)))
+    # Fewer than LEAST_DOCUMENTS can't reach the evidence; for the others the ordinary documents are counted.
+    often = Counter({w: c for w, c in in_toxic.items() if c >= min(LEAST_DOCUMENTS, n[1])})
+    in_ordinary, ordinary = Counter(), Counter()
+    for t, y in train:
+        if y == 0:
+            windows = text_windows(t, window)
+            in_ordinary.update(_stems(windows) & often.keys())
+            ordinary.update(windows)
+            if len(ordinary) > CACHE:
+                ordinary = Counter(dict(ordinary.most_common(CACHE // 2)))
+    lift = {w: c * math.log(c / n[1] / (in_ordinary[w] + 0.5) * n[0]) for w, c in often.items() if c / n[1] > LIFT * (in_ordinary[w] + 0.5) / n[0]}
+    toxic = Counter({w: often[w] for w in sorted(lift, key=lambda w: (-lift[w], w))[:TOXIC_WINDOWS] if lift[w] >= EVIDENCE}) or in_toxic
+    dictionaries = dictionary_of(toxic), dictionary_of(Counter(dict(ordinary.most_common(ORDINARY_WINDOWS))))
+    del in_toxic, often, ordinary
     gains = Gains(*dictionaries, level)
-    weight = {1: toxic_rows / max(1, sum(d[1] for d in held)), 0: ordinary_rows / max(1, sum(1 - d[1] for d in held))}
-    measured = [(y, gains.of(ws)) for _, y, ws in held]
+    weight = {1: toxic_rows / max(1, sum(y for _, y in held)), 0: ordinary_rows / max(1, sum(1 - y for _, y in held))}
+    # A document's gains from 1 up are all that can reach a threshold.
+    measured = [(y, [g for g in gains.of(text_windows(t, window)) if g > 0]) for t, y in held]
 
     def table_of(least: int) -> tuple[float, dict]:
         mass: dict = {}
@@ -208,12 +226,12 @@ def toxicity(docs: DataFrame, model: Model | None, base: float, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = score_texts(model, base)
         for batch in batches:
-            found = score([x.as_py() for x in batch.column(1)])
+            found = score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,9 +242,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = score_texts(model, base)
         for batch in batches:
-            yield batch.filter(pa.array([s < THRESHOLD for s in score([x.as_py() for x in batch.column(at)])], pa.bool_()))
+            yield batch.filter(pa.array([s < THRESHOLD for s in score(batch.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op5_compression_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import checked_broadcast, settle, shared_dir, table
+from granary.llm.common import checked_broadcast, map_batches, own_folder, settle, table
 
 FILE_BYTES = 32 << 20
 PIECE = 1 << 18
@@ -213,7 +213,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], names=["path", "records", "bytes"])
 
-    return settle(told.mapInArrow(run, "path string, records long, bytes long"))
+    return settle(map_batches(told, run, "path string, records long, bytes long"))
 
 
 def read_archives(paths: DataFrame, path_col: str = "path", payloads: bool = True) -> DataFrame:
@@ -255,11 +255,11 @@ def read_archives(paths: DataFrame, path_col: str = "path", payloads: bool = Tru
         yield batch_of()
 
     n = max(1, paths.count())
-    return paths.select(path_col).repartition(min(n, 100_000)).mapInArrow(run, kind)
+    return map_batches(paths.select(path_col).repartition(min(n, 100_000)), run, kind)
 
 
 def op7_warc_salvage(spark, sf_dir: str) -> DataFrame:
     """Per page, as read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(archives, payloads=False).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
