@@ -79,11 +79,19 @@ def page(df: DataFrame, start: int, count: int, *order: Column | str) -> DataFra
 
 def report(inventory: DataFrame, root: str, top: int, disk: tuple[int, int] = (0, 0)) -> DataFrame:
     """One row with all of a scan: root, totals, children, top_files (largest first), disk_total, disk_free."""
-    inner = children(inventory, root, top).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("k"), "path", "size", "file_count"))).alias("c"))
-    inner = inner.select(F.transform("c", lambda x: F.struct(x["path"].alias("path"), x["size"].alias("size"), x["file_count"].alias("file_count"))).alias("children"))
-    large = top_files(inventory, top).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("k"), "path", "size", "logical_size"))).alias("f"))
-    large = large.select(F.transform("f", lambda x: F.struct(x["path"].alias("path"), x["size"].alias("size"), x["logical_size"].alias("logical_size"))).alias("top_files"))
-    one_row_each = totals(inventory).crossJoin(F.broadcast(inner)).crossJoin(F.broadcast(large))  # three single rows
-    return one_row_each.select(
-        F.lit(root).alias("root"), "total_size", "total_files", "total_dirs", "skipped", "children", "root_files_size", "root_files_count", "top_files", F.lit(disk[0]).cast("long").alias("disk_total"), F.lit(disk[1]).cast("long").alias("disk_free")
+    part = lambda df, name, *fields: df.select(F.lit(name).alias("part"), F.struct((-F.col("size")).alias("k"), *fields).alias(name))
+    rows = totals(inventory).withColumn("part", F.lit("totals"))
+    rows = rows.unionByName(part(children(inventory, root, top), "c", "path", "size", "file_count"), allowMissingColumns=True)
+    rows = rows.unionByName(part(top_files(inventory, top), "f", "path", "size", "logical_size"), allowMissingColumns=True)
+    one = lambda name: F.max(name).alias(name)
+    listed = lambda c, name, *fields: F.transform(F.sort_array(F.collect_list(c)), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name)
+    # At most 2 * top + 1 rows come together here.
+    return rows.agg(
+        F.lit(root).alias("root"),
+        *map(one, ("total_size", "total_files", "total_dirs", "skipped")),
+        listed("c", "children", "path", "size", "file_count"),
+        *map(one, ("root_files_size", "root_files_count")),
+        listed("f", "top_files", "path", "size", "logical_size"),
+        F.lit(disk[0]).cast("long").alias("disk_total"),
+        F.lit(disk[1]).cast("long").alias("disk_free"),
     )

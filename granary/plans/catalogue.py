@@ -334,8 +334,7 @@ def path_order(spark, sf_dir):
 @query(f"WITH {_FILES}, c AS ({_CHILDREN} ORDER BY size DESC, path LIMIT 20) SELECT path, greatest(2.0, 100.0::DOUBLE * size / max(size) OVER ())::DOUBLE AS width FROM c")
 def bar_width(spark, sf_dir):
     top = scan.children(inv.corpus(spark, sf_dir), ROOT, 20)
-    largest = top.agg(F.max("size").alias("largest"))
-    return top.crossJoin(F.broadcast(largest)).select("path", formats.bar_width(F.col("size"), F.col("largest")).alias("width"))  # one row
+    return top.select("path", formats.bar_width(F.col("size"), F.max("size").over(Window.partitionBy())).alias("width"))  # of 20 rows
 
 
 @query(f"WITH {_FILES} SELECT path, size AS total, logical_size AS used, round_even((size - (size - logical_size))::DOUBLE / size * 100, 0)::INT AS percent FROM inv WHERE size > 0")
