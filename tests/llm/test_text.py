@@ -34,6 +34,12 @@ def test_questions_asked_again_with_other_values(spark):
     assert contaminated(spark, texts) == {0, 1, 5}
 
 
+def test_names_at_the_start_of_sentences(spark):
+    item = "Tom has 3 apples. Tom eats 2 of them. How many are left?"
+    texts = ["So. Ann has 9 apples. Ann eats 4 of them. How many are left? Say it.", "Ann has 9 apples. Bob eats 4 of them. How many are left?", "ANN HAS 3 APPLES. TOM EATS 2 OF THEM. HOW MANY ARE LEFT?", "Then eat of them. How are many left"]
+    assert contaminated(spark, texts, [item]) >= {0} and 3 not in contaminated(spark, texts, [item])
+
+
 def test_short_items_slots_only_and_empty_tables(spark):
     assert contaminated(spark, ["say five words of it here", "five words", "a five words of it b"], ["five words of it here", "five words", ""]) == {0}
     assert contaminated(spark, ["1 2 3 4 5 6 7 8 9"], ["9 8 7 6 5 4 3 2 1"]) == set()
