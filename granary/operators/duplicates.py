@@ -58,7 +58,7 @@ def _digest_files(prefix_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for path in batch.column("path").to_pylist():
+            for path in batch.column("path_raw").to_pylist():
                 try:
                     with open(path, "rb") as f:
                         found.append(hashlib.sha256(f.read(PREFIX)).hexdigest() if prefix_only else hashlib.file_digest(f, "sha256").hexdigest())
@@ -86,14 +86,15 @@ def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True
         narrow = some.select("logical_size", "path", "dev", "inode", F.sha2("content", 256).alias("hash"))
         hashed = without_hard_links(narrow, "hash") if collapse_links else narrow.select("logical_size", "path", "hash")
     else:
-        narrow = some.select("logical_size", "path", "dev", "inode")
-        single = without_hard_links(narrow) if collapse_links else narrow.select("logical_size", "path")
+        # Files are opened by the bytes of their path, which need not be text.
+        narrow = some.select("logical_size", "path", F.coalesce("path_raw", F.col("path").cast("binary")).alias("path_raw"), "dev", "inode")
+        single = without_hard_links(narrow, "path_raw") if collapse_links else narrow.drop("dev", "inode")
         started = _read_and_digest(single, True).withColumnRenamed("digest", "prefix")
         again = started.groupBy("logical_size", "prefix").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
         left = started.join(again, ["logical_size", "prefix"], "left_semi")
         # A file of at most one block is its prefix.
         small = left.filter(F.col("logical_size") <= PREFIX).select("logical_size", "path", F.col("prefix").alias("hash"))
-        large = _read_and_digest(left.filter(F.col("logical_size") > PREFIX).select("logical_size", "path"), False).withColumnRenamed("digest", "hash")
+        large = _read_and_digest(left.filter(F.col("logical_size") > PREFIX).drop("prefix"), False).select("logical_size", "path", F.col("digest").alias("hash"))
         hashed = small.unionByName(large)
     key = ["logical_size", "hash"]
     found = hashed.groupBy(*key).agg(F.count("*").alias("n"), F.min_by("path", paths.sort_key(F.col("path"))).alias("keep")).filter("n > 1")
