@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 import shutil
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,8 +75,8 @@ def disk_space(path: str) -> tuple[int, int]:
 
 def _inventory(spark: SparkSession, root: str, options: Options, progress: Progress | None) -> DataFrame:
     """The inventory of a tree, walked once and kept: read twice it could differ, and would cost twice."""
-    if progress and progress.token and not options.token:
-        options = Options(options.exclude, options.max_depth, options.follow_symlinks, options.include_special, progress.token)
+    if progress:
+        options = replace(options, token=options.token or progress.token, tallies=options.tallies or progress.tallies)
     if not os.path.isdir(root):
         raise NotADirectoryError(f"not a directory: {root}")
     if progress and progress.cancelled():
@@ -85,7 +85,7 @@ def _inventory(spark: SparkSession, root: str, options: Options, progress: Progr
     found = found.persist()
     found.count()
     if progress:
-        progress.add(seen.get["files"], seen.get["bytes"])
+        progress.settle(seen.get["files"], seen.get["bytes"])
     return found
 
 

@@ -1,6 +1,7 @@
 """A live directory tree as a Spark data source: spark.read.format("file_tree").
 
-Options: path, exclude (globs, one a line), max_depth, follow_symlinks, include_special, token (a file that stops the walk), tasks. The driver walks only as
+Options: path, exclude (globs, one a line), max_depth, follow_symlinks, include_special, token (a file that stops the walk), tallies
+(a folder for counts while it runs), tasks. The driver walks only as
 deep as gives enough sub-trees for the tasks; tasks walk the rest. Hidden entries count. Entries that a glob excludes are not read, nor is what lies
 below. The path has to be visible to all executors.
 """
@@ -11,12 +12,14 @@ import os
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from granary.functions import globs
 from granary.sources.inventory import SCHEMA
+from granary.streaming.progress import Tally
 
 ALLOCATION_UNIT = 512
 
@@ -34,6 +37,7 @@ class Options:
     follow_symlinks: bool = False
     include_special: bool = False
     token: str | None = None
+    tallies: str | None = None
 
 
 @dataclass
@@ -129,8 +133,12 @@ class _Reader(DataSourceReader):
         return [_Part([], rows), *(_Part(trees, []) for trees in dealt if trees)]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        yield from part.rows
-        yield from Walk(self.root, self.options).all(part.trees)
+        tally = Tally(self.options.tallies)
+        for row in chain(part.rows, Walk(self.root, self.options).all(part.trees)):
+            if row[4] == "file":
+                tally.add(row[5])
+            yield row
+        tally.tell()
 
 
 class FileTree(DataSource):
@@ -145,7 +153,7 @@ class FileTree(DataSource):
         o = self.options
         true = lambda k: o.get(k, "false").lower() == "true"
         depth = o.get("max_depth")
-        options = Options(tuple(x for x in o.get("exclude", "").split("\n") if x), int(depth) if depth not in (None, "") else None, true("follow_symlinks"), true("include_special"), o.get("token") or None)
+        options = Options(tuple(x for x in o.get("exclude", "").split("\n") if x), int(depth) if depth not in (None, "") else None, true("follow_symlinks"), true("include_special"), o.get("token") or None, o.get("tallies") or None)
         root = o["path"]
         if not os.path.isdir(root):
             raise NotADirectoryError(f"not a directory: {root}")
@@ -160,6 +168,7 @@ def read(spark: SparkSession, root: str, options: Options = Options()) -> DataFr
     reader = spark.read.format("file_tree").option("path", root).option("exclude", "\n".join(options.exclude)).option("tasks", str(max(2, spark.sparkContext.defaultParallelism)))
     if options.max_depth is not None:
         reader = reader.option("max_depth", str(options.max_depth))
-    if options.token:
-        reader = reader.option("token", options.token)
+    for name in ("token", "tallies"):
+        if getattr(options, name):
+            reader = reader.option(name, getattr(options, name))
     return reader.option("follow_symlinks", str(options.follow_symlinks)).option("include_special", str(options.include_special)).load()

@@ -8,6 +8,8 @@ from __future__ import annotations
 import os
 import sys
 import threading
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,9 +20,51 @@ from granary.functions.formats import human
 CADENCE_S = 0.12
 
 
+class Tally:
+    """What one task has seen so far, in a file of a folder that the watcher reads; written at most every CADENCE_S."""
+
+    def __init__(self, folder: str | None):
+        self.path = os.path.join(folder, uuid.uuid4().hex) if folder else None
+        self.files = self.bytes = 0
+        self.told = time.monotonic()
+
+    def add(self, size: int) -> None:
+        self.files += 1
+        self.bytes += size
+        if self.path and time.monotonic() - self.told >= CADENCE_S:
+            self.tell()
+
+    def tell(self) -> None:
+        self.told = time.monotonic()
+        if self.path:
+            with open(f"{self.path}.tmp", "w") as f:
+                f.write(f"{self.files} {self.bytes}")
+            os.replace(f"{self.path}.tmp", self.path)
+
+
 class Progress:
-    def __init__(self, token: str | None = None):
-        self._lock, self._files, self._bytes, self._stop, self.token = threading.Lock(), 0, 0, False, token
+    """Files and bytes so far. token: a file that stops the work, also in other processes. tallies: a folder that tasks tell their counts in
+    while they run; their final counts are added instead when they are done."""
+
+    def __init__(self, token: str | None = None, tallies: str | None = None):
+        self._lock, self._files, self._bytes, self._stop, self.token, self.tallies = threading.Lock(), 0, 0, False, token, tallies
+
+    def _told(self) -> tuple[int, int]:
+        files = size = 0
+        for name in os.listdir(self.tallies) if self.tallies and os.path.isdir(self.tallies) else ():
+            try:
+                a, b = open(os.path.join(self.tallies, name)).read().split()
+            except (OSError, ValueError):
+                continue
+            files, size = files + int(a), size + int(b)
+        return files, size
+
+    def settle(self, files: int, size: int) -> None:
+        """The final counts of tasks, in place of what they told."""
+        if self.tallies and os.path.isdir(self.tallies):
+            for name in os.listdir(self.tallies):
+                os.unlink(os.path.join(self.tallies, name))
+        self.add(files, size)
 
     def add(self, files: int, size: int) -> None:
         with self._lock:
@@ -29,11 +73,11 @@ class Progress:
 
     @property
     def files(self) -> int:
-        return self._files
+        return self._files + self._told()[0]
 
     @property
     def bytes(self) -> int:
-        return self._bytes
+        return self._bytes + self._told()[1]
 
     def cancel(self) -> None:
         self._stop = True

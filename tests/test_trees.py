@@ -240,6 +240,12 @@ def test_progress_and_stopping(spark, tmp_path, doomed):
     seen = api.Progress()
     api.scan(spark, doomed, progress=seen)
     assert seen.files == 3 and seen.bytes >= 1700
+    (tmp_path / "told").mkdir()
+    live = api.Progress(tallies=str(tmp_path / "told"))
+    assert file_tree.read(spark, doomed, Options(tallies=live.tallies)).filter("entry_type = 'file'").count() == 3
+    assert (live.files, live.bytes) == (3, seen.bytes)
+    api.scan(spark, doomed, progress=live)
+    assert live.files == 3
     stopped = api.Progress()
     stopped.cancel()
     assert api.scan(spark, doomed, progress=stopped).total_files == 0
