@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="granary-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
