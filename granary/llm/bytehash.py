@@ -13,7 +13,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text handled at once; a longer text is cut at spaces into runs of about this size.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
