@@ -122,6 +122,14 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merge(self, segment: str) -> bytes:
+        """What shortest_path() gives, by merging."""
+        ids = array("i")
+        for part in self.merged(segment):
+            known = self.rank.get(part)
+            ids.extend([known[1]] if known else (self.byte[b] for b in part.encode("utf-8", "surrogatepass")))
+        return ids.tobytes()
+
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the arc from piece a to piece b weighs 0 (else it is infinite)."""
         found = self.pairs.get((a, b))
@@ -170,6 +178,8 @@ class Transducer:
                 if may(last, piece) if good is None else good:
                     break
             else:
+                if not trail:  # only with a vocabulary that lacks single characters of its pieces
+                    return self.merge(segment)
                 dead.add(at)
                 at, last, open_arcs = trail.pop()
                 continue

@@ -112,7 +112,7 @@ def test_neighbours_weigh_nothing_or_everything(both):
     for _ in range(200):
         segment = spiece.SPACE + "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 12)))
         path = list(memoryview(machine.shortest_path(segment)).cast("i"))
-        assert [machine.text[i] for i in path] == machine.merged(segment)
+        assert [machine.text[i] for i in path] == machine.merged(segment) and machine.merge(segment) == machine.shortest_path(segment)
         assert all(machine.may_follow(a, b) for a, b in zip(path, path[1:]))
 
 
