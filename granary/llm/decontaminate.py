@@ -1,11 +1,11 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Texts become tokens (runs of letters, numbers), lower-cased. Three kinds are slots: a number, a unit after a number, and a name;
-in the template a slot stands as its kind. A capitalised word inside a sentence is a name. One at the start of a sentence may be
-one, so each text has two templates, and windows of either can meet windows of either. Windows of WINDOW template tokens of
-documents are hash-joined with those of benchmark items, so a question asked again with other numbers, names or units still
-meets its item. A match then has to keep its slots consistent: along one alignment of a document with an item, equal values of
-the item must be equal in the document and different ones different.
+Texts become tokens (runs of letters, numbers), lower-cased. Three kinds are slots: a number, a unit after a number, and a name
+(a capitalised word, which may be one, also at the start of a sentence); in the template a slot stands as its kind. Windows of
+WINDOW template tokens of documents are hash-joined with those of benchmark items, so a question asked again with other numbers,
+names or units still meets its item; items have a second template without names, which copies in one case meet. A match then
+has to keep its slots consistent: along one alignment of a document with an item, equal values of the item must be equal in the
+document and different ones different.
 
 One pass over all texts emits hashes and positions only; slot values are cut out in a second pass over documents that matched.
 """
@@ -35,58 +35,52 @@ UNITS = (
     "percent cent cents dollar dollars usd euro euros eur gbp yen mph kmh"
 ).split()
 
-_NAME, _NUMBER, _UNIT, _START = "\x02", "\x03", "\x04", "\x05"
+_NAME, _NUMBER, _UNIT = "\x02", "\x03", "\x04"
+_SLOTS = f"'{_NAME}', '{_NUMBER}', '{_UNIT}'"
 _WORD = r"[\p{L}\p{M}]++"
 _DIGITS = r"[0-9]++(?:[.,:/-][0-9]++)*+"
-#: The templates of a text: words at the start of a sentence are words in the first and names in the second.
-VERSIONS = (0, 1)
 
 
-def _marked(text: Column) -> Column:
-    """Lower-cased text with a mark before each name, and another before capitalised words at the start of a sentence."""
-    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _NUMBER + _UNIT + _START, "    ")
-    names = F.regexp_replace(clean, r"(?<=[\p{L}0-9,;] )(?=\p{Lu}\p{Ll})", _NAME)
-    return F.lower(F.regexp_replace(names, rf"(?<![\p{{L}}\p{{M}}{_NAME}])(?=\p{{Lu}}\p{{Ll}})", _START))
+def _marked(text: Column, names: bool = True) -> Column:
+    """Lower-cased text with a mark before each name."""
+    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _NUMBER + _UNIT, "   ")
+    return F.lower(F.regexp_replace(clean, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", _NAME) if names else clean)
 
 
 def _values(marked: Column) -> Column:
-    return F.regexp_extract_all(marked, F.lit(f"[{_NAME}{_START}]?({_WORD}|{_DIGITS})"), 1)
+    return F.regexp_extract_all(marked, F.lit(f"{_NAME}?({_WORD}|{_DIGITS})"), 1)
 
 
-def _template(marked: Column, version: int) -> Column:
-    t = F.regexp_replace(marked, f"[{_NAME}{_START}]{_WORD}" if version else f"{_NAME}{_WORD}", _NAME)
+def _template(marked: Column) -> Column:
+    t = F.regexp_replace(marked, f"{_NAME}{_WORD}", _NAME)
     t = F.regexp_replace(t, _DIGITS, _NUMBER)
     t = F.regexp_replace(t, rf"(?<={_NUMBER} ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", _UNIT)
     return F.regexp_extract_all(t, F.lit(f"([{_NAME}{_NUMBER}{_UNIT}]|{_WORD})"), 1)
 
 
-def _windows(h: str, size: int) -> Column:
-    """Hashes of the windows of a column of hashes of tokens, by position."""
-    at = lambda i: F.xxhash64(F.lit(size), F.slice(F.col(h), i, size))
-    return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), at)).otherwise(F.array().cast("array<bigint>"))
+def _windows(size: int) -> Column:
+    """Hashes of the windows of the column h (hashes of tokens), by position."""
+    at = lambda i: F.xxhash64(F.lit(size), F.slice(F.col("h"), i, size))
+    return F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(1), F.size("h") - (size - 1)), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _tokens(df: DataFrame, text: str) -> DataFrame:
-    """df with marked text, and by version the template's tokens t0, t1 and their hashes h0, h1."""
-    df = df.withColumn("marked", _marked(F.col(text)))
-    for v in VERSIONS:
-        df = df.withColumn(f"t{v}", _template(F.col("marked"), v)).withColumn(f"h{v}", F.transform(f"t{v}", lambda t: F.xxhash64(t)))
-    return df
+def _tokens(df: DataFrame, text: str, names: bool = True) -> DataFrame:
+    """df with marked text, the template's tokens and their hashes h."""
+    return df.withColumn("marked", _marked(F.col(text), names)).withColumn("tokens", _template(F.col("marked"))).withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t)))
 
 
-def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """(hash, size, item, at, slots): the windows of all items that are long enough and hold enough words."""
-    items = _tokens(benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")), "text").withColumn("values", _values(F.col("marked")))
-    n = F.size("t0")
-    items = items.filter(n >= SHORTEST).withColumn("size", F.least(F.lit(window), n))
-    at = items.withColumn("at", F.explode(F.expr("sequence(1, size(t0) - size + 1)")))
-    slot = f"p in ('{_NAME}', '{_NUMBER}', '{_UNIT}')"
-    cuts = []
-    for v in VERSIONS:
-        cut = at.select(F.xxhash64("size", F.expr(f"slice(h{v}, at, size)")).alias("hash"), "size", "item", "at", F.expr(f"slice(t{v}, at, size)").alias("part"), F.expr("slice(values, at, size)").alias("values"))
-        cuts.append(cut.withColumn("slots", F.expr(f"filter(zip_with(part, values, (p, v) -> if({slot}, struct(p as kind, v as value), null)), s -> s is not null)")))
-    both = reduce(DataFrame.unionByName, cuts).filter(F.col("size") - F.size("slots") >= F.least(F.lit(LITERALS), F.col("size")))
-    return both.select("hash", "size", "item", "at", "slots").distinct()
+def item_templates(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, named, tokens, h, vals): the templates of the items that are long enough, with and without names."""
+    texts = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    items = reduce(DataFrame.unionByName, [_tokens(texts, "text", named).withColumn("named", F.lit(named)) for named in (True, False)])
+    return items.filter(F.size("tokens") >= SHORTEST).select("item", "named", "tokens", "h", _values(F.col("marked")).alias("vals")).dropDuplicates(["item", "named", "tokens"])
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(hash, size, item, named, n, at): the windows of templates that hold enough words; n: tokens of the item."""
+    at = items.withColumn("n", F.size("tokens")).withColumn("size", F.least(F.lit(window), F.col("n"))).withColumn("at", F.explode(F.expr("sequence(1, n - size + 1)")))
+    words = F.expr(f"size(filter(slice(tokens, at, size), p -> p not in ({_SLOTS})))")
+    return at.filter(words >= F.least(F.lit(LITERALS), F.col("size"))).select(F.xxhash64("size", F.expr("slice(h, at, size)")).alias("hash"), "size", "item", "named", "n", "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = WINDOW) -> DataFrame:
@@ -96,41 +90,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items of under SHORTEST tokens, match nothing. Rows that repeat an id count as one document. An empty table on either side gives no
     rows.
     """
-    bench = settle(item_windows(benchmark, window, item_col, "text"))
+    items = settle(item_templates(benchmark, item_col, "text"))
+    bench = settle(item_windows(items, window))
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most window - SHORTEST + 1 of them
     if not sizes:
         sizes = [window]
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    hashed = _tokens(texts, "text").select("doc", *(f"h{v}" for v in VERSIONS))
+    hashed = _tokens(texts, "text").select("doc", "h")
     known = checked_broadcast(bench.select("hash").distinct())
-    # One pass: the windows of both templates and of all sizes stand one after the other in one array.
-    kinds = [(v, size) for v in VERSIONS for size in sizes]
-    every = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(size).alias("size"), _windows(f"h{v}", size).alias("w")) for v, size in kinds))
-    found = hashed.select("doc", F.inline(every)).select("doc", "v", "size", F.posexplode("w").alias("p", "hash"))
-    hits = settle(found.join(known, "hash", "left_semi").select("doc", "v", "size", (F.col("p") + 1).alias("p"), "hash").distinct())
-
-    spots = hits.groupBy("doc").agg(F.collect_list(F.struct("v", "p", "size", "hash")).alias("spots"))
-    again = texts.join(checked_broadcast(hits.select("doc").distinct(), 200_000), "doc", "left_semi").withColumn("marked", _marked(F.col("text")))
-    again = again.select("doc", *(_template(F.col("marked"), v).alias(f"t{v}") for v in VERSIONS), _values(F.col("marked")).alias("values")).join(spots, "doc")
-    slot = f"t in ('{_NAME}', '{_NUMBER}', '{_UNIT}')"
-    cut = again.select(
-        "doc",
-        F.explode(
-            F.expr(
-                f"transform(spots, s -> struct(s.v as v, s.p as p, s.hash as hash, filter(zip_with(slice(if(s.v = 0, t0, t1), s.p, s.size), slice(values, s.p, s.size), "
-                f"(t, v) -> if({slot}, v, null)), v -> v is not null) as mine))"
-            )
-        ).alias("s"),
-    ).select("doc", "s.*")
-    met = cut.join(checked_broadcast(bench, 100_000), "hash").distinct()
-    pairs = F.expr("zip_with(slots, mine, (b, d) -> struct(b.kind as kind, b.value as theirs, d as mine))")
-    aligned = met.withColumn("pairs", pairs).groupBy("doc", "item", "v", (F.col("p") - F.col("at")).alias("shift")).agg(
-        F.min("p").alias("first"), F.max(F.col("p") + F.col("size") - 1).alias("last"), F.countDistinct("p").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+    found = reduce(DataFrame.unionByName, [hashed.select("doc", F.lit(size).alias("size"), F.posexplode(_windows(size)).alias("p", "hash")) for size in sizes])
+    hits = settle(found.join(known, "hash", "left_semi").select("doc", "size", (F.col("p") + 1).alias("p"), "hash").distinct())
+
+    # Alignments: a document, an item, and how far the one is shifted against the other.
+    met = hits.join(checked_broadcast(bench, 100_000), ["hash", "size"]).groupBy("doc", "item", "named", "n", (F.col("p") - F.col("at")).alias("shift"))
+    met = met.agg(F.min("at").alias("low"), F.max(F.col("at") + F.col("size") - 1).alias("high"), F.countDistinct("at").alias("windows"))
+    whole = bench.groupBy("item", "named").agg(F.countDistinct("at").alias("all"))
+    met = met.join(checked_broadcast(whole, 100_000), ["item", "named"]).filter(F.col("windows") >= F.least(F.lit(MATCHES), F.col("all")))
+    met = settle(met.withColumn("skip", F.greatest(F.lit(0), -F.col("shift"))).select("doc", "item", "named", "n", "shift", "low", "high", "windows", "skip"))
+    own = met.groupBy("doc").agg(F.collect_list(F.struct(*met.columns[1:])).alias("found"))
+    again = texts.join(checked_broadcast(met.select("doc").distinct(), 200_000), "doc", "left_semi").withColumn("marked", _marked(F.col("text")))
+    again = again.select("doc", _template(F.col("marked")).alias("tokens"), _values(F.col("marked")).alias("vals")).join(own, "doc")
+    cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(tokens, a.shift + a.skip + 1, a.n - a.skip) as t, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
+    cut = cut.select("doc", "x.a.*", "x.t", "x.v").join(checked_broadcast(items.select("item", "named", F.col("tokens").alias("bt"), F.col("vals").alias("bv")), 100_000), ["item", "named"])
+    # Slots are compared as far as the templates agree around the windows that matched.
+    cut = cut.withColumn("off", F.expr("filter(sequence(1, size(t)), i -> i + skip > size(bt) or t[i - 1] != bt[i + skip - 1])"))
+    cut = cut.withColumn("left", F.expr("coalesce(array_max(filter(off, x -> x < low - skip)), 0) + 1")).withColumn("right", F.expr("coalesce(array_min(filter(off, x -> x > high - skip)), size(t) + 1) - 1"))
+    same = f"filter(sequence(left, right), i -> t[i - 1] = bt[i + skip - 1] and t[i - 1] in ({_SLOTS}))"
+    cut = cut.withColumn("pairs", F.expr(f"array_distinct(transform({same}, i -> struct(t[i - 1] as kind, bv[i + skip - 1] as theirs, v[i - 1] as mine)))"))
     one_to_one = "size(pairs) = size(array_distinct(transform(pairs, x -> struct(x.kind, x.theirs)))) and size(pairs) = size(array_distinct(transform(pairs, x -> struct(x.kind, x.mine))))"
-    whole = bench.groupBy("item").agg(F.countDistinct("at").alias("all_windows"))
-    good = aligned.filter(one_to_one).join(checked_broadcast(whole, 100_000), "item").filter(F.col("windows") >= F.least(F.lit(MATCHES), F.col("all_windows")))
-    spans = good.groupBy("doc", "item", "shift").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("windows").cast("long").alias("windows"))
+    spans = cut.groupBy("doc", "item", "shift").agg(
+        F.min(F.expr("shift + skip + left")).alias("first"), F.max(F.expr("shift + skip + right")).alias("last"), F.max("windows").cast("long").alias("windows"), F.every(F.expr(one_to_one)).alias("consistent")
+    )
+    spans = spans.filter("consistent")
     return spans.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "first", "last", "windows")
 
 
