@@ -110,8 +110,9 @@ def find_duplicates(spark: SparkSession, root: str, min_size: int = 1, options:
     """Groups of files of equal content of at least min_size bytes below root, most wasted first."""
     if min_size < 0:
         raise ValueError("min_size is negative")
-    found = _inventory(spark, root, options, progress)
+    held = [_inventory(spark, root, options, progress)]
     try:
-        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(found, min_size)).collect()]
+        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(held[0], min_size, held=held)).collect()]
     finally:
-        found.unpersist()
+        for df in held:
+            df.unpersist()

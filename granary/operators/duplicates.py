@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from granary.functions import paths
 
 PREFIX = 4096
+SALTS = 16
 LARGEST = 9_223_372_036_854_775_807
 #: Distinct lengths (8 bytes each) that may be broadcast to restrict a scan; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -75,11 +77,19 @@ def _read_and_digest(files: DataFrame, prefix_only: bool) -> DataFrame:
     return files.repartition(F.col("path")).mapInArrow(_digest_files(prefix_only), schema).filter("digest is not null")
 
 
-def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True) -> DataFrame:
+def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     """(hash, size, path, keep, n, wasted): each file that has an equal one. keep: the first path of its group in component order.
 
-    An inventory with a column content is hashed from it, another one by reading the files. Equal digests of 256 bits count as equal content.
+    An inventory with a column content is hashed from it, another one by reading the files, each at most once: what was read is persisted, and
+    put in held for the caller to unpersist. Equal digests of 256 bits count as equal content.
     """
+
+    def once(df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if held is not None:
+            held.append(df)
+        return df
+
     in_table = "content" in inventory.columns
     some = candidates(inventory, min_size)
     if in_table:
@@ -89,13 +99,15 @@ def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True
         # Files are opened by the bytes of their path, which need not be text.
         narrow = some.select("logical_size", "path", F.coalesce("path_raw", F.col("path").cast("binary")).alias("path_raw"), "dev", "inode")
         single = without_hard_links(narrow, "path_raw") if collapse_links else narrow.drop("dev", "inode")
-        started = _read_and_digest(single, True).withColumnRenamed("digest", "prefix")
+        started = once(_read_and_digest(single, True).withColumnRenamed("digest", "prefix"))
         again = started.groupBy("logical_size", "prefix").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
         left = started.join(again, ["logical_size", "prefix"], "left_semi")
         # A file of at most one block is its prefix.
         small = left.filter(F.col("logical_size") <= PREFIX).select("logical_size", "path", F.col("prefix").alias("hash"))
-        large = _read_and_digest(left.filter(F.col("logical_size") > PREFIX).drop("prefix"), False).select("logical_size", "path", F.col("digest").alias("hash"))
+        large = once(_read_and_digest(left.filter(F.col("logical_size") > PREFIX).drop("prefix"), False).select("logical_size", "path", F.col("digest").alias("hash")))
         hashed = small.unionByName(large)
+    # Counting and joining both start from this exchange, so contents of tables are hashed once; the third column spreads a large group.
+    hashed = hashed.repartition(F.col("logical_size"), F.col("hash"), F.pmod(F.xxhash64("path"), F.lit(SALTS)))
     key = ["logical_size", "hash"]
     found = hashed.groupBy(*key).agg(F.count("*").alias("n"), F.min_by("path", paths.sort_key(F.col("path"))).alias("keep")).filter("n > 1")
     wasted = F.coalesce(F.try_multiply(F.col("logical_size"), F.col("n") - 1), F.lit(LARGEST))

@@ -157,6 +157,19 @@ def test_a_hot_length_is_hashed_in_many_tasks(spark, tmp_path):
     assert duplicates.summaries(found).count() == 5
 
 
+def test_files_are_read_once(spark, tmp_path):
+    for k in range(6):
+        put(tmp_path, f"f{k}", b"%05d" % (k % 3) * 2000)
+    held = []
+    found = duplicates.members(file_tree.read(spark, str(tmp_path)).persist(), held=held)
+    assert duplicates.summaries(found).count() == 3 and len(held) == 2
+    for k in range(6):
+        os.unlink(tmp_path / f"f{k}")
+    assert duplicates.groups(found).count() == 3  # from what was read before
+    for df in held:
+        df.unpersist()
+
+
 def test_reclaim_runs_dry_and_then_deletes(spark, tmp_path):
     for name in ("keep.bin", "dup1.bin", "dup2.bin"):
         put(tmp_path, name, 1000)
