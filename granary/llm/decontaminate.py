@@ -26,6 +26,8 @@ SHORTEST = 5
 LITERALS = 5
 #: Windows of one alignment that have to match (an item with fewer windows: all of its).
 MATCHES = 1
+#: Tokens of all items that may be broadcast together; beyond it that join shuffles.
+BROADCAST_TOKENS = 2_000_000
 
 # Unit words, as they may follow a number.
 UNITS = (
@@ -111,7 +113,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     again = texts.join(checked_broadcast(met.select("doc").distinct(), 200_000), "doc", "left_semi").withColumn("marked", _marked(F.col("text")))
     again = again.select("doc", _template(F.col("marked")).alias("tokens"), _values(F.col("marked")).alias("vals")).join(own, "doc")
     cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(tokens, a.shift + a.skip + 1, a.n - a.skip) as t, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
-    cut = cut.select("doc", "x.a.*", "x.t", "x.v").join(checked_broadcast(items.select("item", "named", F.col("tokens").alias("bt"), F.col("vals").alias("bv")), 100_000), ["item", "named"])
+    theirs = items.select("item", "named", F.col("tokens").alias("bt"), F.col("vals").alias("bv"))
+    if (items.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        theirs = F.broadcast(theirs)
+    cut = cut.select("doc", "x.a.*", "x.t", "x.v").join(theirs, ["item", "named"])
     # Slots are compared as far as the templates agree around the windows that matched.
     cut = cut.withColumn("off", F.expr("filter(sequence(1, size(t)), i -> i + skip > size(bt) or t[i - 1] != bt[i + skip - 1])"))
     cut = cut.withColumn("left", F.expr("coalesce(array_max(filter(off, x -> x < low - skip)), 0) + 1")).withColumn("right", F.expr("coalesce(array_min(filter(off, x -> x > high - skip)), size(t) + 1) - 1"))
