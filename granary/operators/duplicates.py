@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import paths
+from granary.shipping import ship
 
 PREFIX = 4096
 SALTS = 16
@@ -73,6 +74,7 @@ def _digest_files(prefix_only: bool):
 
 def _read_and_digest(files: DataFrame, prefix_only: bool) -> DataFrame:
     """files with the digest of their content, read by path where the task runs; dealt by path, so that one frequent length is many tasks."""
+    ship(files.sparkSession)
     schema = T.StructType([*files.schema.fields, T.StructField("digest", T.StringType())])
     return files.repartition(F.col("path")).mapInArrow(_digest_files(prefix_only), schema).filter("digest is not null")
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.shipping import ship
+
 WIDTH, HEIGHT = 800.0, 300.0
 #: A side that is left of at most this many pixels ends the layout.
 LEAST_SIDE = 0.5
@@ -53,5 +55,6 @@ def treemap(children: DataFrame, width: float = WIDTH, height: float = HEIGHT, r
         out[["x", "y", "w", "h"]] = placed if placed else [[0.0] * 4] * 0
         return out[["root", "path", "size", "x", "y", "w", "h"]]
 
+    ship(children.sparkSession)
     rows = children.select(F.col(root_col).alias("root"), "path", F.col("size").cast("long").alias("size")).filter("size > 0")
     return rows.groupBy("root").applyInPandas(tiles, "root string, path string, size long, x double, y double, w double, h double")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from granary.functions import globs
+from granary.shipping import ship
 from granary.sources.inventory import SCHEMA
 from granary.streaming.progress import Tally
 
@@ -164,6 +165,7 @@ def read(spark: SparkSession, root: str, options: Options = Options()) -> DataFr
     """The inventory of a directory tree. NotADirectoryError if root is none."""
     if not os.path.isdir(root):
         raise NotADirectoryError(f"not a directory: {root}")
+    ship(spark)
     spark.dataSource.register(FileTree)
     reader = spark.read.format("file_tree").option("path", root).option("exclude", "\n".join(options.exclude)).option("tasks", str(max(2, spark.sparkContext.defaultParallelism)))
     if options.max_depth is not None:
