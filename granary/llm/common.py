@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.shipping import ship
+
 #: Ids (8 bytes each) that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,6 +45,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def map_batches(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow(f, schema) in batches of at most BATCH_ROWS rows, which stays set in the session as plans are made when they run."""
     conf = df.sparkSession.conf
+    ship(df.sparkSession)
     if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
         conf.set(_BATCH, BATCH_ROWS)
     return df.mapInArrow(f, schema)
