@@ -17,4 +17,65 @@ QUERIES = {
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Classes of near duplicates by comparing all shingles and closing the links.
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c + 1e-9 >= 0.8 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(doc_id, other) AS (
+  SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(m.first, d.doc_id)) AS class_id FROM documents d LEFT JOIN (SELECT doc_id, min(other) AS first FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+#: Rules in SQL; aliases are the closure of canonical and refresh links that name a whole url.
+_URL_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+links AS (
+  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target FROM pages
+), named AS (
+  SELECT url AS a, replace(target, '&amp;', '&') AS b FROM links WHERE contains(target, '://')
+), both_ways AS (
+  SELECT a, b FROM named UNION SELECT b, a FROM named
+), reached(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a
+), known AS (
+  SELECT url, host, path FROM u UNION SELECT b, translate(coalesce(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    coalesce(regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') FROM named
+), ruled AS (
+  SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM (SELECT DISTINCT * FROM known) k JOIN rules ON (k.host = h OR ends_with(k.host, '.' || h)) AND starts_with(k.path, p) GROUP BY url
+), aliased AS (
+  SELECT a AS url, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reached JOIN ruled ON ruled.url = b GROUP BY a
+)
+SELECT page_id, host, path, ruled.rule, coalesce(ruled.verdict, aliased.verdict, 'allow') AS verdict FROM u LEFT JOIN ruled ON ruled.url = u.url LEFT JOIN aliased ON aliased.url = u.url
+"""
+
+#: What has to come back from the archives; base32 from the bits of the digest.
+_WARC_SQL = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda x: lpad(to_base(strpos('0123456789abcdef', x) - 1, 2), 4, '0')), '') AS bits, max(page_id) OVER (PARTITION BY hex) AS latest FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+    + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, (CASE WHEN page_id <> latest THEN latest END)::BIGINT AS refers_to FROM b
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_redirect_classes": _URL_SQL,
+    "op7_warc_salvage": _WARC_SQL,
+    "op10_prob_minhash": _NEAR_SQL,
+}
