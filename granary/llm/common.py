@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +51,29 @@ def map_batches(df: DataFrame, f, schema) -> DataFrame:
     ship(df.sparkSession)
     if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
         conf.set(_BATCH, BATCH_ROWS)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(tidied(f), schema)
+
+
+def give_back() -> None:
+    """Return what Python, Arrow and the C library hold but don't use to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(f):
+    """f, giving memory back when a task ends: the worker process lives on, and other operators' tasks follow in it."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import bytehash, weak_labels
-from granary.llm.common import map_batches, table
+from granary.llm.common import give_back, map_batches, table
 from granary.llm.weak_labels import ABSTAIN, BAD, GOOD
 
 #: Sample that trains the scorer: so many texts that the posterior calls bad and so many that it calls good, each of at most TRAIN_BYTES.
@@ -201,7 +201,10 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     good = np.array([g for _, _, g in rows])
     if not len(rows) or good.min() >= 0.5 or good.max() < 0.5:
         return None
-    return train_scorer([t for _, t, _ in rows], good)
+    model = train_scorer([t for _, t, _ in rows], good)
+    del rows
+    give_back()
+    return model
 
 
 def quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from granary.llm.common import map_batches, table
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker keeps.
-SEGMENTS, PAIRS = 200_000, 300_000
+SEGMENTS, PAIRS = 100_000, 200_000
 
 _SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -105,7 +105,7 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first * pieces + second
         self.segments: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -132,13 +132,14 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the arc from piece a to piece b weighs 0 (else it is infinite)."""
-        found = self.pairs.get((a, b))
+        key = a * len(self.pieces) + b
+        found = self.pairs.get(key)
         if found is None:
             x, y = self.text[a], self.text[b]
             found = self.merged(x + y) == [x, y]
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = found
+            self.pairs[key] = found
         return found
 
     def arcs(self, segment: str, at: int) -> list[tuple[int, int]]:
@@ -164,7 +165,7 @@ class Transducer:
         Longest arcs first; a position that leads to no end is left for good, as only one path of weight 0 reaches it.
         """
         n, at, last, dead = len(segment), 0, -1, set()
-        pairs, may = self.pairs, self.may_follow
+        pairs, may, count = self.pairs, self.may_follow, len(self.pieces)
         trail: list[tuple[int, int, list]] = []
         open_arcs = self.arcs(segment, 0)
         while True:
@@ -174,7 +175,7 @@ class Transducer:
                     continue
                 if last == -1 or piece == -1:
                     break
-                good = pairs.get((last, piece))
+                good = pairs.get(last * count + piece)
                 if may(last, piece) if good is None else good:
                     break
             else:

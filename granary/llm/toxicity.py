@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import held_out, map_batches, table
+from granary.llm.common import give_back, held_out, map_batches, table
 
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2500, 5000, 20_000
 THRESHOLD = 0.3
@@ -41,7 +41,7 @@ STEMS = (4, 5, 6, 7, 8)
 #: Windows that train either dictionary: of most lift, and most frequent.
 TOXIC_WINDOWS, ORDINARY_WINDOWS = 300, 5_000
 LEVEL = 12
-CACHE = 150_000
+CACHE = 100_000
 #: Stands before every sample and every window: zstandard stores an input of a few bytes as it is, and behind bytes that both
 #: dictionaries hold, each byte that a window costs shows in the length.
 CARRIER = b"\x02window of the text to be compared with either dictionary\x03"
@@ -209,7 +209,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limits:
 def train(documents: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
     rows, counts = labelled_sample(documents, labels, "toxic", {1: MAX_TOXIC, 0: MAX_ORDINARY}, MAX_BYTES)
     toxic, ordinary = counts.get(1, 0), counts.get(0, 0)
-    return fit(rows, toxic, ordinary), toxic / max(1, toxic + ordinary)
+    model = fit(rows, toxic, ordinary)
+    del rows
+    give_back()
+    return model, toxic / max(1, toxic + ordinary)
 
 
 def score_texts(model: Model | None, base: float):
