@@ -5,7 +5,8 @@ Texts become tokens (runs of letters, numbers), lower-cased. Three kinds are slo
 WINDOW template tokens of documents are hash-joined with those of benchmark items, so a question asked again with other numbers,
 names or units still meets its item; items have a second template without names, which copies in one case meet. A match then
 has to keep its slots consistent: along one alignment of a document with an item, equal values of the item must be equal in the
-document and different ones different.
+document and different ones different. Windows of the plain tokens, nothing masked, are joined too: a verbatim copy is found
+however many names and numbers it holds.
 
 One pass over all texts emits hashes and positions only; slot values are cut out in a second pass over documents that matched.
 """
@@ -22,7 +23,7 @@ from granary.llm.common import checked_broadcast, settle, table, without_ids
 WINDOW = 8
 #: Items of fewer tokens than this match nothing; items of this to WINDOW - 1 tokens match as a whole.
 SHORTEST = 5
-#: Tokens of a window that have to be words and not slots.
+#: Tokens of a masked window that have to be words and not slots; plain windows have no such bound.
 LITERALS = 5
 #: Windows of one alignment that have to match (an item with fewer windows: all of its).
 MATCHES = 1
@@ -37,52 +38,58 @@ UNITS = (
     "percent cent cents dollar dollars usd euro euros eur gbp yen mph kmh"
 ).split()
 
+#: Templates: with names, without them (numbers and units only), and the plain tokens.
+NAMED, UNNAMED, PLAIN = 0, 1, 2
+
 _NAME, _NUMBER, _UNIT = "\x02", "\x03", "\x04"
 _SLOTS = f"'{_NAME}', '{_NUMBER}', '{_UNIT}'"
 _WORD = r"[\p{L}\p{M}]++"
 _DIGITS = r"[0-9]++(?:[.,:/-][0-9]++)*+"
 
 
-def _marked(text: Column, names: bool = True) -> Column:
-    """Lower-cased text with a mark before each name."""
+def _parts(text: Column, names: bool = True) -> Column:
+    """The tokens, lower-cased, with a mark before each name and each unit."""
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _NUMBER + _UNIT, "   ")
-    return F.lower(F.regexp_replace(clean, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", _NAME) if names else clean)
+    marked = F.lower(F.regexp_replace(clean, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", _NAME) if names else clean)
+    marked = F.regexp_replace(marked, rf"(?<=[0-9] ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}]))", _UNIT)
+    return F.regexp_extract_all(marked, F.lit(f"([{_NAME}{_UNIT}]?{_WORD}|{_DIGITS})"), 1)
 
 
-def _values(marked: Column) -> Column:
-    return F.regexp_extract_all(marked, F.lit(f"{_NAME}?({_WORD}|{_DIGITS})"), 1)
+def _value(part: Column) -> Column:
+    """A token without its mark."""
+    return F.when(part < "\x05", F.substring(part, 2, 1 << 30)).otherwise(part)
 
 
-def _template(marked: Column) -> Column:
-    t = F.regexp_replace(marked, f"{_NAME}{_WORD}", _NAME)
-    t = F.regexp_replace(t, _DIGITS, _NUMBER)
-    t = F.regexp_replace(t, rf"(?<={_NUMBER} ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", _UNIT)
-    return F.regexp_extract_all(t, F.lit(f"([{_NAME}{_NUMBER}{_UNIT}]|{_WORD})"), 1)
+def _slotted(part: Column) -> Column:
+    """A token as it stands in the template. Marks sort below digits, and digits below letters."""
+    return F.when(part < ":", F.when(part < "\x05", F.substring(part, 1, 1)).otherwise(F.lit(_NUMBER))).otherwise(part)
 
 
-def _windows(size: int) -> Column:
-    """Hashes of the windows of the column h (hashes of tokens), by position."""
-    at = lambda i: F.xxhash64(F.lit(size), F.slice(F.col("h"), i, size))
-    return F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(1), F.size("h") - (size - 1)), at)).otherwise(F.array().cast("array<bigint>"))
+def _windows(h: str, size: int) -> Column:
+    """Hashes of the windows of a column of hashes of tokens, by position."""
+    at = lambda i: F.xxhash64(F.lit(size), F.slice(F.col(h), i, size))
+    return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _tokens(df: DataFrame, text: str, names: bool = True) -> DataFrame:
-    """df with marked text, the template's tokens and their hashes h."""
-    return df.withColumn("marked", _marked(F.col(text), names)).withColumn("tokens", _template(F.col("marked"))).withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t)))
+def _hashed(tokens: str, what=lambda t: t) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(what(t)))
 
 
 def item_templates(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, named, tokens, h, vals): the templates of the items that are long enough, with and without names."""
+    """(item, kind, tokens, h, vals): the templates of the items that are long enough."""
     texts = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
-    items = reduce(DataFrame.unionByName, [_tokens(texts, "text", named).withColumn("named", F.lit(named)) for named in (True, False)])
-    return items.filter(F.size("tokens") >= SHORTEST).select("item", "named", "tokens", "h", _values(F.col("marked")).alias("vals")).dropDuplicates(["item", "named", "tokens"])
+    kinds = [texts.select("item", F.lit(kind).alias("kind"), _parts(F.col("text"), kind == NAMED).alias("parts")) for kind in (NAMED, UNNAMED, PLAIN)]
+    items = reduce(DataFrame.unionByName, kinds).filter(F.size("parts") >= SHORTEST).withColumn("vals", F.transform("parts", _value))
+    items = items.withColumn("tokens", F.when(F.col("kind") == PLAIN, F.col("vals")).otherwise(F.transform("parts", _slotted)))
+    return items.select("item", "kind", "tokens", _hashed("tokens").alias("h"), "vals").dropDuplicates(["item", "kind", "tokens"])
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(hash, size, item, named, n, at): the windows of templates that hold enough words; n: tokens of the item."""
+    """(hash, size, item, kind, n, at): the windows of templates that hold enough words; n: tokens of the item."""
     at = items.withColumn("n", F.size("tokens")).withColumn("size", F.least(F.lit(window), F.col("n"))).withColumn("at", F.explode(F.expr("sequence(1, n - size + 1)")))
     words = F.expr(f"size(filter(slice(tokens, at, size), p -> p not in ({_SLOTS})))")
-    return at.filter(words >= F.least(F.lit(LITERALS), F.col("size"))).select(F.xxhash64("size", F.expr("slice(h, at, size)")).alias("hash"), "size", "item", "named", "n", "at")
+    at = at.filter((F.col("kind") == PLAIN) | (words >= F.least(F.lit(LITERALS), F.col("size"))))
+    return at.select(F.xxhash64("size", F.expr("slice(h, at, size)")).alias("hash"), "size", "item", "kind", "n", "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = WINDOW) -> DataFrame:
@@ -98,25 +105,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if not sizes:
         sizes = [window]
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    hashed = _tokens(texts, "text").select("doc", "h")
+    hashed = texts.select("doc", _parts(F.col("text")).alias("parts")).select("doc", _hashed("parts", _slotted).alias("masked"), _hashed("parts", _value).alias("plain"))
     known = checked_broadcast(bench.select("hash").distinct())
-    found = reduce(DataFrame.unionByName, [hashed.select("doc", F.lit(size).alias("size"), F.posexplode(_windows(size)).alias("p", "hash")) for size in sizes])
-    hits = settle(found.join(known, "hash", "left_semi").select("doc", "size", (F.col("p") + 1).alias("p"), "hash").distinct())
+    # One pass: masked and plain windows of all sizes. They share one space of hashes, as a window without slots is the same in both.
+    every = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(h == "plain").alias("plain"), _windows(h, size).alias("w")) for size in sizes for h in ("masked", "plain")))
+    found = hashed.select("doc", F.inline(every)).select("doc", "size", "plain", F.posexplode("w").alias("p", "hash"))
+    hits = settle(found.join(known, "hash", "left_semi").select("doc", "size", "plain", (F.col("p") + 1).alias("p"), "hash").distinct())
 
     # Alignments: a document, an item, and how far the one is shifted against the other.
-    met = hits.join(checked_broadcast(bench, 100_000), ["hash", "size"]).groupBy("doc", "item", "named", "n", (F.col("p") - F.col("at")).alias("shift"))
+    met = hits.join(checked_broadcast(bench, 100_000), ["hash", "size"]).filter(F.col("plain") == (F.col("kind") == PLAIN)).groupBy("doc", "item", "kind", "n", (F.col("p") - F.col("at")).alias("shift"))
     met = met.agg(F.min("at").alias("low"), F.max(F.col("at") + F.col("size") - 1).alias("high"), F.countDistinct("at").alias("windows"))
-    whole = bench.groupBy("item", "named").agg(F.countDistinct("at").alias("all"))
-    met = met.join(checked_broadcast(whole, 100_000), ["item", "named"]).filter(F.col("windows") >= F.least(F.lit(MATCHES), F.col("all")))
-    met = settle(met.withColumn("skip", F.greatest(F.lit(0), -F.col("shift"))).select("doc", "item", "named", "n", "shift", "low", "high", "windows", "skip"))
+    whole = bench.groupBy("item", "kind").agg(F.countDistinct("at").alias("all"))
+    met = met.join(checked_broadcast(whole, 100_000), ["item", "kind"]).filter(F.col("windows") >= F.least(F.lit(MATCHES), F.col("all")))
+    met = settle(met.withColumn("skip", F.greatest(F.lit(0), -F.col("shift"))).select("doc", "item", "kind", "n", "shift", "low", "high", "windows", "skip"))
     own = met.groupBy("doc").agg(F.collect_list(F.struct(*met.columns[1:])).alias("found"))
-    again = texts.join(checked_broadcast(met.select("doc").distinct(), 200_000), "doc", "left_semi").withColumn("marked", _marked(F.col("text")))
-    again = again.select("doc", _template(F.col("marked")).alias("tokens"), _values(F.col("marked")).alias("vals")).join(own, "doc")
-    cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(tokens, a.shift + a.skip + 1, a.n - a.skip) as t, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
-    theirs = items.select("item", "named", F.col("tokens").alias("bt"), F.col("vals").alias("bv"))
+    again = texts.join(checked_broadcast(met.select("doc").distinct(), 200_000), "doc", "left_semi").select("doc", _parts(F.col("text")).alias("parts"))
+    again = again.select("doc", F.transform("parts", _slotted).alias("tokens"), F.transform("parts", _value).alias("vals")).join(own, "doc")
+    cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(if(a.kind = 2, vals, tokens), a.shift + a.skip + 1, a.n - a.skip) as t, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
+    theirs = items.select("item", "kind", F.col("tokens").alias("bt"), F.col("vals").alias("bv"))
     if (items.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
         theirs = F.broadcast(theirs)
-    cut = cut.select("doc", "x.a.*", "x.t", "x.v").join(theirs, ["item", "named"])
+    cut = cut.select("doc", "x.a.*", "x.t", "x.v").join(theirs, ["item", "kind"])
     # Slots are compared as far as the templates agree around the windows that matched.
     cut = cut.withColumn("off", F.expr("filter(sequence(1, size(t)), i -> i + skip > size(bt) or t[i - 1] != bt[i + skip - 1])"))
     cut = cut.withColumn("left", F.expr("coalesce(array_max(filter(off, x -> x < low - skip)), 0) + 1")).withColumn("right", F.expr("coalesce(array_min(filter(off, x -> x > high - skip)), size(t) + 1) - 1"))

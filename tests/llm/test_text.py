@@ -40,6 +40,12 @@ def test_names_at_the_start_of_sentences(spark):
     assert contaminated(spark, texts, [item]) >= {0} and 3 not in contaminated(spark, texts, [item])
 
 
+def test_verbatim_copies_dense_in_names_and_numbers(spark):
+    short, dense = "What is the capital of France?", "Der Lehrer gab Anna 3 Bücher und Peter 5 Hefte. Wie viele Bücher hat Anna?"
+    texts = [f"Asked once: {short} Nobody knew.", f"Hier steht es. {dense} Ende.", short.lower(), dense.upper(), "What is the colour of France?", "Der Wirt gab Olga 3 Äpfel und Boris 5 Birnen."]
+    assert contaminated(spark, texts, [short, dense]) == {0, 1, 2, 3}
+
+
 def test_short_items_slots_only_and_empty_tables(spark):
     assert contaminated(spark, ["say five words of it here", "five words", "a five words of it b"], ["five words of it here", "five words", ""]) == {0}
     assert contaminated(spark, ["1 2 3 4 5 6 7 8 9"], ["9 8 7 6 5 4 3 2 1"]) == set()
