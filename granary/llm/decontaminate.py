@@ -5,8 +5,8 @@ Texts become tokens (runs of letters, numbers), lower-cased. Three kinds are slo
 WINDOW template tokens of documents are hash-joined with those of benchmark items, so a question asked again with other numbers,
 names or units still meets its item; items have a second template without names, which copies in one case meet. A match then
 has to keep its slots consistent: along one alignment of a document with an item, equal values of the item must be equal in the
-document and different ones different. Windows of the plain tokens, nothing masked, are joined too: a verbatim copy is found
-however many names and numbers it holds.
+document and different ones different, over the tokens that matching windows cover. Windows of the plain tokens, nothing masked, are joined too: a verbatim copy is found
+however many names and numbers it holds and whatever stands around it. Templates are checked apart; one that holds is enough.
 
 One pass over all texts emits hashes and positions only; slot values are cut out in a second pass over documents that matched.
 """
@@ -95,7 +95,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = WINDOW) -> DataFrame:
     """(id, item, first, last, windows): each alignment of a document with a benchmark item that matches with consistent slots.
 
-    first and last are token positions (from 1) in the document, windows the count of matching ones. Null and empty texts, and
+    first and last are the token positions (from 1) in the document that matching windows cover, windows their count. Null and empty texts, and
     items of under SHORTEST tokens, match nothing. Rows that repeat an id count as one document. An empty table on either side gives no
     rows.
     """
@@ -114,28 +114,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # Alignments: a document, an item, and how far the one is shifted against the other.
     met = hits.join(checked_broadcast(bench, 100_000), ["hash", "size"]).filter(F.col("plain") == (F.col("kind") == PLAIN)).groupBy("doc", "item", "kind", "n", (F.col("p") - F.col("at")).alias("shift"))
-    met = met.agg(F.min("at").alias("low"), F.max(F.col("at") + F.col("size") - 1).alias("high"), F.countDistinct("at").alias("windows"))
+    met = met.agg(F.collect_set("at").alias("ats"), F.max("size").alias("size")).withColumn("windows", F.size("ats"))
     whole = bench.groupBy("item", "kind").agg(F.countDistinct("at").alias("all"))
     met = met.join(checked_broadcast(whole, 100_000), ["item", "kind"]).filter(F.col("windows") >= F.least(F.lit(MATCHES), F.col("all")))
-    met = settle(met.withColumn("skip", F.greatest(F.lit(0), -F.col("shift"))).select("doc", "item", "kind", "n", "shift", "low", "high", "windows", "skip"))
-    own = met.groupBy("doc").agg(F.collect_list(F.struct(*met.columns[1:])).alias("found"))
-    again = texts.join(checked_broadcast(met.select("doc").distinct(), 200_000), "doc", "left_semi").select("doc", _parts(F.col("text")).alias("parts"))
-    again = again.select("doc", F.transform("parts", _slotted).alias("tokens"), F.transform("parts", _value).alias("vals")).join(own, "doc")
-    cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(if(a.kind = 2, vals, tokens), a.shift + a.skip + 1, a.n - a.skip) as t, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
-    theirs = items.select("item", "kind", F.col("tokens").alias("bt"), F.col("vals").alias("bv"))
+    met = settle(met.select("doc", "item", "kind", "n", "shift", "ats", "size", "windows"))
+    theirs = items.filter(F.col("kind") != PLAIN).select("item", "kind", F.col("tokens").alias("bt"), F.col("vals").alias("bv"))
     if (items.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
         theirs = F.broadcast(theirs)
-    cut = cut.select("doc", "x.a.*", "x.t", "x.v").join(theirs, ["item", "kind"])
-    # Slots are compared as far as the templates agree around the windows that matched.
-    cut = cut.withColumn("off", F.expr("filter(sequence(1, size(t)), i -> i + skip > size(bt) or t[i - 1] != bt[i + skip - 1])"))
-    cut = cut.withColumn("left", F.expr("coalesce(array_max(filter(off, x -> x < low - skip)), 0) + 1")).withColumn("right", F.expr("coalesce(array_min(filter(off, x -> x > high - skip)), size(t) + 1) - 1"))
-    same = f"filter(sequence(left, right), i -> t[i - 1] = bt[i + skip - 1] and t[i - 1] in ({_SLOTS}))"
-    cut = cut.withColumn("pairs", F.expr(f"array_distinct(transform({same}, i -> struct(t[i - 1] as kind, bv[i + skip - 1] as theirs, v[i - 1] as mine)))"))
+    # A plain window is verbatim. Others have to keep their slots consistent, over the tokens that windows cover. Of one alignment's
+    # templates, one whose windows are some of the other's has no say: it would only hide the slots that the other compares.
+    masked = met.filter(F.col("kind") != PLAIN).groupBy("doc", "item", "shift", "n", "size").agg(F.collect_list(F.struct("kind", "ats", "windows")).alias("alike"))
+    masked = masked.select("doc", "item", "shift", "n", "size", F.expr("inline(filter(alike, a -> not exists(alike, b -> b.windows > a.windows and size(array_except(a.ats, b.ats)) = 0)))"))
+    masked = masked.withColumn("skip", F.greatest(F.lit(0), -F.col("shift")))
+    own = masked.groupBy("doc").agg(F.collect_list(F.struct(*masked.columns[1:])).alias("found"))
+    again = texts.join(checked_broadcast(masked.select("doc").distinct(), 200_000), "doc", "left_semi").select("doc", _parts(F.col("text")).alias("parts"))
+    again = again.select("doc", F.transform("parts", _value).alias("vals")).join(own, "doc")
+    cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
+    cut = cut.select("doc", "x.a.*", "x.v").join(theirs, ["item", "kind"])
+    cut = cut.withColumn("covered", F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + size - 1))))"))
+    # Where windows match, the document's template is the item's.
+    cut = cut.withColumn("pairs", F.expr(f"array_distinct(transform(filter(covered, i -> bt[i - 1] in ({_SLOTS})), i -> struct(bt[i - 1] as kind, bv[i - 1] as theirs, v[i - skip - 1] as mine)))"))
     one_to_one = "size(pairs) = size(array_distinct(transform(pairs, x -> struct(x.kind, x.theirs)))) and size(pairs) = size(array_distinct(transform(pairs, x -> struct(x.kind, x.mine))))"
-    spans = cut.groupBy("doc", "item", "shift").agg(
-        F.min(F.expr("shift + skip + left")).alias("first"), F.max(F.expr("shift + skip + right")).alias("last"), F.max("windows").cast("long").alias("windows"), F.every(F.expr(one_to_one)).alias("consistent")
-    )
-    spans = spans.filter("consistent")
+    kept = ["doc", "item", "shift", "ats", "size", "windows"]
+    spans = met.filter(F.col("kind") == PLAIN).select(*kept).unionByName(cut.filter(one_to_one).select(*kept)).groupBy("doc", "item", "shift")
+    spans = spans.agg(F.min(F.col("shift") + F.array_min("ats")).alias("first"), F.max(F.col("shift") + F.array_max("ats") + F.col("size") - 1).alias("last"), F.max("windows").cast("long").alias("windows"))
     return spans.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "first", "last", "windows")
 
 

@@ -46,6 +46,23 @@ def test_verbatim_copies_dense_in_names_and_numbers(spark):
     assert contaminated(spark, texts, [short, dense]) == {0, 1, 2, 3}
 
 
+def test_a_slot_that_disagrees_costs_no_verbatim_match(spark):
+    item = "The cat sat on the mat by a door. The dog ran to the gate at noon."
+    texts = ["One cat sat on the mat by a door. The dog ran to the gate at noon.", "A cat sat on the mat by a door. Some dog walked off.", "So the cat sat there. Every dog ran to the gate."]
+    assert contaminated(spark, texts, [item]) == {0, 1}
+    changed = "The first box holds 12 red balls and all the others hold none at all, while the last one, so he said to me then, holds 12 too in a bag of red cloth"
+    assert contaminated(spark, [changed.replace("12", "13", 1)], [changed]) == {0}
+
+
+def test_slots_count_only_where_windows_match(spark):
+    item = "Tom bought red apples and green pears for his old friend, then 3 4 5 Ann Tom Bob 6 7 left by train"
+    texts = ["Joe bought red apples and green pears for his old friend, then 3 3 4 Joe Joe Joe 1 1 left by ship", "Joe bought red apples and green pears for his old friend"]
+    assert contaminated(spark, texts, [item]) == {0, 1}
+    docs = spark.createDataFrame([(0, "the box holds 7 red balls and some other things of his; ")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "The box holds 5 red balls and some other things of his")], "item_id long, text string")
+    assert [(x.first, x.last) for x in decontaminate.contamination(docs, bench).select("first", "last").collect()] == [(1, 12)]
+
+
 def test_short_items_slots_only_and_empty_tables(spark):
     assert contaminated(spark, ["say five words of it here", "five words", "a five words of it b"], ["five words of it here", "five words", ""]) == {0}
     assert contaminated(spark, ["1 2 3 4 5 6 7 8 9"], ["9 8 7 6 5 4 3 2 1"]) == set()
