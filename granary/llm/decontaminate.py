@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Texts become tokens (runs of letters, numbers), lower-cased. Three kinds are slots: a number, a unit after a number, and a name
+Texts become tokens (runs of letters, numbers; single letters in scripts that set no spaces), lower-cased. Three kinds are slots: a number, a unit after a number, and a name
 (a capitalised word, which may be one, also at the start of a sentence); in the template a slot stands as its kind. Windows of
 WINDOW template tokens of documents are hash-joined with those of benchmark items, so a question asked again with other numbers,
 names or units still meets its item; items have a second template without names, which copies in one case meet. A match then
@@ -43,15 +43,18 @@ NAMED, UNNAMED, PLAIN = 0, 1, 2
 
 _NAME, _NUMBER, _UNIT = "\x02", "\x03", "\x04"
 _SLOTS = f"'{_NAME}', '{_NUMBER}', '{_UNIT}'"
-_WORD = r"[\p{L}\p{M}]++"
+# Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+_LETTER = rf"[a-z[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]]"
+_WORD = rf"(?:{_LETTER}++|[\p{{L}}\p{{M}}&&[{_UNSPACED}]]\p{{M}}*+)"
 _DIGITS = r"[0-9]++(?:[.,:/-][0-9]++)*+"
 
 
 def _parts(text: Column, names: bool = True) -> Column:
     """The tokens, lower-cased, with a mark before each name and each unit."""
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _NUMBER + _UNIT, "   ")
-    marked = F.lower(F.regexp_replace(clean, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", _NAME) if names else clean)
-    marked = F.regexp_replace(marked, rf"(?<=[0-9] ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}]))", _UNIT)
+    marked = F.lower(F.regexp_replace(clean, rf"(?<!{_LETTER})(?=\p{{Lu}}\p{{Ll}})", _NAME) if names else clean)
+    marked = F.regexp_replace(marked, rf"(?<=[0-9] ?)(?=(?:{'|'.join(UNITS)})(?!{_LETTER}))", _UNIT)
     return F.regexp_extract_all(marked, F.lit(f"([{_NAME}{_UNIT}]?{_WORD}|{_DIGITS})"), 1)
 
 

@@ -71,6 +71,12 @@ def test_short_items_slots_only_and_empty_tables(spark):
     assert contaminated(spark, [None], [ITEM]) == set()
 
 
+def test_scripts_without_spaces(spark):
+    items = ["法国的首都是哪一座城市?", "フランスの首都はどこですか", "เมืองหลวงของฝรั่งเศสคืออะไร", "小明有3个苹果，小红有5个苹果，一共多少个?"]
+    texts = [*(f"前文{x}后文" for x in items), "法国的城市", "フランスの車はどこでも人気", "小明有7个苹果，小红有9个苹果，一共多少个?", "Über 東京Tom"]
+    assert contaminated(spark, texts, items) == {0, 1, 2, 3, 6}
+
+
 def test_very_long_texts(spark):
     long = "word " * 100_000 + ITEM + " 1.1" * 50_000 + " " + "9." * 200_000 + "1 " + "z" * 300_000
     assert contaminated(spark, [long, "word " * 1000]) == {0}
