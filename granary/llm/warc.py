@@ -31,7 +31,7 @@ PIECE = 1 << 18
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _END = b"\r\n\r\n"
 MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
-#: A header of more bytes than this is taken for a broken one.
+#: Bytes of a plain record in which its header's end is looked for first; a longer header is searched for piece by piece.
 HEADER_BYTES = 1 << 16
 
 
@@ -68,7 +68,7 @@ class Broken(ValueError):
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """(header fields by lower-case name, block) of one record; Broken if a check fails."""
-    end = data.find(_END, 0, HEADER_BYTES)
+    end = data.find(_END)
     if not data.startswith(_VERSION) or end < 0:
         raise Broken("no header")
     fields = {}
@@ -134,6 +134,12 @@ def _one(window: Window, at: int) -> tuple[int, dict[str, str], bytes]:
     if head.startswith(_VERSION):
         top = window.read(at, HEADER_BYTES)
         end = top.find(_END)
+        if end < 0 and re.match(rb"WARC/1\.[0-9]+\r\n", top):
+            # A line that starts a record can't be in a header: where many headers are broken, each search ends at the next one.
+            stop = window.find((_END, b"\r\n" + _VERSION), at)
+            if window.read(stop, 4) == _END:
+                end = stop - at
+                top = window.read(at, end + 4)
         length = re.search(rb"\r\n[Cc]ontent-[Ll]ength:[ \t]*([0-9]+)[ \t]*\r\n", top[: end + 2]) if end >= 0 else None
         if not length:
             raise Broken("no header")

@@ -137,6 +137,22 @@ def test_salvage_recovers_all_but_the_broken_records(plain):
     assert [x[:3] for x in warc.salvage(io.BytesIO(b"rubbish"), 7)] == [("gap", 0, 7)]
 
 
+def test_very_long_urls(spark, tmp_path):
+    url = "http://x/" + "Straße/" * 28_000
+    rows = [(1, "http://x/1", "one"), (2, url + "2", "two"), (3, url + "3", "one"), (4, "http://x/4", "four")]
+    data = b"".join(warc.record("response", *r[:2], r[2].encode()) for r in rows)
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert [(x[0], x[3]["warc-target-uri"]) for x in found] == [("record", r[1]) for r in rows]
+    cut = data.replace(b"Content-Length", b"Content-Lost", 4)  # the first two records lose their lengths
+    assert [x[0] for x in warc.salvage(io.BytesIO(cut), len(cut))] == ["gap", "record", "record"]
+    # A member's header and a revisit's, by way of archives.
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x for x in warc.read_archives(warc.write_archives(pages, str(tmp_path / "w"))).collect()}
+    assert {i: (x.gap, x.url) for i, x in got.items()} == {i: (None, u) for i, u, _ in rows} and got[1].refers_to == 3
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(x.page_id for x in warc.op7_warc_salvage(spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
 def test_gaps_are_rows_of_the_table(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", f"page {k} " * 50) for k in range(12)], "page_id long, url string, html string").coalesce(1)
     archives = warc.write_archives(pages, str(tmp_path / "w"))
