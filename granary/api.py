@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,13 @@ from granary.operators import duplicates
 from granary.operators import scan as scans
 from granary.operators.reclaim import ReclaimReport, reclaim
 from granary.operators.removal import RemoveReport, remove_path
-from granary.sources import file_tree
-from granary.sources.file_tree import Options
+from granary.sources import file_tree, inventory
+from granary.sources.file_tree import Options, parse_options
 from granary.streaming.progress import Progress, observed
 
 __all__ = [
     "DirSize", "DupGroup", "FileEntry", "Options", "Progress", "ReclaimReport", "RemoveReport", "ScanReport",
-    "disk_space", "find_duplicates", "human_size", "reclaim", "remove_path", "scan", "validate_globs", "walk_files",
+    "disk_space", "find_duplicates", "human_size", "parse_options", "reclaim", "remove_path", "scan", "validate_globs", "walk_files",
 ]
 
 
@@ -73,20 +74,19 @@ def disk_space(path: str) -> tuple[int, int]:
     return usage.total, usage.free
 
 
-def _inventory(spark: SparkSession, root: str, options: Options, progress: Progress | None) -> DataFrame:
-    """The inventory of a tree, walked once and kept: read twice it could differ, and would cost twice."""
+def _inventory(spark: SparkSession, root: str, options: Options, progress: Progress | None) -> tuple[DataFrame, Callable[[], object]]:
+    """(the inventory of a tree, what lets go of it), walked once and kept: read twice it could differ, and would cost twice."""
     if progress:
         options = replace(options, token=options.token or progress.token, tallies=options.tallies or progress.tallies)
     if not os.path.isdir(root):
         raise NotADirectoryError(f"not a directory: {root}")
     if progress and progress.cancelled():
-        return spark.createDataFrame([], file_tree.SCHEMA)
+        return spark.createDataFrame([], file_tree.SCHEMA), lambda: None
     found, seen = observed(file_tree.read(spark, root, options))
-    found = found.persist()
-    found.count()
+    kept = inventory.keep(found)
     if progress:
         progress.settle(seen.get["files"], seen.get["bytes"])
-    return found
+    return kept
 
 
 def walk_files(spark: SparkSession, root: str, options: Options = Options()) -> DataFrame:
@@ -96,11 +96,11 @@ def walk_files(spark: SparkSession, root: str, options: Options = Options()) ->
 
 def scan(spark: SparkSession, root: str, top_n: int = 20, options: Options = Options(), progress: Progress | None = None) -> ScanReport:
     """Totals, largest direct sub-folders and largest files of root. A stopped scan reports what it has seen."""
-    found = _inventory(spark, root, options, progress)
+    found, let_go = _inventory(spark, root, options, progress)
     try:
         row = scans.report(found, root, top_n, disk_space(root)).first().asDict(recursive=True)
     finally:
-        found.unpersist()
+        let_go()
     row["children"] = [DirSize(**x) for x in row["children"]]
     row["top_files"] = [FileEntry(**x) for x in row["top_files"]]
     return ScanReport(**row)
@@ -110,9 +110,11 @@ def find_duplicates(spark: SparkSession, root: str, min_size: int = 1, options:
     """Groups of files of equal content of at least min_size bytes below root, most wasted first."""
     if min_size < 0:
         raise ValueError("min_size is negative")
-    held = [_inventory(spark, root, options, progress)]
+    found, let_go = _inventory(spark, root, options, progress)
+    held: list[DataFrame] = []
     try:
-        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(held[0], min_size, held=held)).collect()]
+        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(found, min_size, held=held)).collect()]
     finally:
+        let_go()
         for df in held:
             df.unpersist()

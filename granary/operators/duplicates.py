@@ -26,10 +26,6 @@ LARGEST = 9_223_372_036_854_775_807
 BROADCAST_ROWS = 1_000_000
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def at_least(inventory: DataFrame, min_size: int = 1) -> DataFrame:
     """Files of at least min_size bytes; empty files are never duplicates."""
     return inventory.filter((F.col("entry_type") == "file") & (F.col("logical_size") >= min_size) & (F.col("logical_size") > 0))
@@ -40,9 +36,16 @@ def size_buckets(inventory: DataFrame, min_size: int = 1) -> DataFrame:
     return at_least(inventory, min_size).groupBy("logical_size").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def candidates(inventory: DataFrame, min_size: int = 1) -> DataFrame:
-    """The files whose length another file has too. The first pass reads lengths only."""
-    return at_least(inventory, min_size).join(_checked(size_buckets(inventory, min_size).select("logical_size")), "logical_size", "left_semi")
+def candidates(inventory: DataFrame, *columns: Column | str, min_size: int = 1) -> DataFrame:
+    """logical_size and the given columns of the files whose length another file has too. The first pass reads lengths only.
+
+    Where the lengths are few they are broadcast, and columns (such as digests of the content) are computed of candidates only; else columns are
+    computed first, so that the join shuffles them and never what they are computed from.
+    """
+    files, lengths = at_least(inventory, min_size), size_buckets(inventory, min_size).select("logical_size")
+    if lengths.count() <= BROADCAST_ROWS:
+        return files.join(F.broadcast(lengths), "logical_size", "left_semi").select("logical_size", *columns)
+    return files.select("logical_size", *columns).join(lengths, "logical_size", "left_semi")
 
 
 def without_hard_links(files: DataFrame, *carried: str) -> DataFrame:
@@ -82,8 +85,9 @@ def _read_and_digest(files: DataFrame, prefix_only: bool) -> DataFrame:
 def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     """(hash, size, path, keep, n, wasted): each file that has an equal one. keep: the first path of its group in component order.
 
-    An inventory with a column content is hashed from it, another one by reading the files, each at most once: what was read is persisted, and
-    put in held for the caller to unpersist. Equal digests of 256 bits count as equal content.
+    An inventory with a column digest (SHA-256, hexadecimal) is taken by it, one with a column content is hashed from that, another one by reading
+    the files, each at most once: what was read is persisted, and put in held for the caller to unpersist. Equal digests of 256 bits count as
+    equal content.
     """
 
     def once(df: DataFrame) -> DataFrame:
@@ -92,14 +96,13 @@ def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True
             held.append(df)
         return df
 
-    in_table = "content" in inventory.columns
-    some = candidates(inventory, min_size)
-    if in_table:
-        narrow = some.select("logical_size", "path", "dev", "inode", F.sha2("content", 256).alias("hash"))
+    if {"digest", "content"} & set(inventory.columns):
+        digest = F.col("digest") if "digest" in inventory.columns else F.sha2("content", 256)
+        narrow = candidates(inventory, "path", "dev", "inode", digest.alias("hash"), min_size=min_size)
         hashed = without_hard_links(narrow, "hash") if collapse_links else narrow.select("logical_size", "path", "hash")
     else:
         # Files are opened by the bytes of their path, which need not be text.
-        narrow = some.select("logical_size", "path", F.coalesce("path_raw", F.col("path").cast("binary")).alias("path_raw"), "dev", "inode")
+        narrow = candidates(inventory, "path", F.coalesce("path_raw", F.col("path").cast("binary")).alias("path_raw"), "dev", "inode", min_size=min_size)
         single = without_hard_links(narrow, "path_raw") if collapse_links else narrow.drop("dev", "inode")
         started = once(_read_and_digest(single, True).withColumnRenamed("digest", "prefix"))
         again = started.groupBy("logical_size", "prefix").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
@@ -129,7 +132,7 @@ def groups(found: DataFrame) -> DataFrame:
 
 def prefix_buckets(inventory: DataFrame, min_size: int = 1) -> DataFrame:
     """(logical_size, prefix, n): lengths and first blocks that more than one file of a table-backed inventory has."""
-    some = candidates(inventory, min_size).select("logical_size", prefix_digest(F.col("content")).alias("prefix"))
+    some = candidates(inventory, prefix_digest(F.col("content")).alias("prefix"), min_size=min_size)
     return some.groupBy("logical_size", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
 
 

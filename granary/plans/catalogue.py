@@ -5,13 +5,18 @@ The SQL groups by whole texts where the queries go through digests, so that it i
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import formats, paths
 from granary.operators import duplicates, reclaim, removal, scan, treemap
+from granary.sources import file_tree
 from granary.sources import inventory as inv
 
 ROOT = "/corpus"
@@ -165,7 +170,7 @@ def dup_size_buckets(spark, sf_dir):
 
 @query(f"WITH {_FILES} SELECT path, logical_size FROM inv WHERE logical_size > 0 AND logical_size IN (SELECT logical_size FROM inv GROUP BY 1 HAVING count(*) > 1)")
 def dup_size_candidates(spark, sf_dir):
-    return duplicates.candidates(inv.corpus(spark, sf_dir)).select("path", "logical_size")
+    return duplicates.candidates(inv.corpus(spark, sf_dir), "path").select("path", "logical_size")
 
 
 @query(f"WITH {_FILES} SELECT logical_size, sha256(encode(content)[1:4096]) AS prefix, count(*) AS n FROM inv WHERE logical_size > 0 GROUP BY logical_size, encode(content)[1:4096] HAVING count(*) > 1")
@@ -352,3 +357,71 @@ def page_of_files(spark, sf_dir):
 def treemap_tiles(spark, sf_dir):
     top = scan.children(inv.corpus(spark, sf_dir), ROOT, 20).withColumn("root", F.lit(ROOT))
     return treemap.treemap(top)
+
+
+# A real directory tree that the table nation describes: r<region>/.n<nation> with a text of its own, a file that is the same for all of
+# a region, a link to the folder above it, for some nations a link beside it to that file, and for some a link to nothing.
+SAME_BYTES = 5000
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of that tree, made anew in a folder that executors see; it goes when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    shared = shared.removeprefix("file:") if shared.startswith(("/", "file:")) else None
+    root = tempfile.mkdtemp(prefix="granary-tree-", dir=shared if shared and os.path.isdir(shared) else None)
+    atexit.register(shutil.rmtree, root, True)
+    for k, name, region in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").toLocalIterator():
+        folder = f"{root}/r{region}/.n{k}"
+        os.makedirs(folder)
+        with open(f"{folder}/{name}.txt", "w") as f:
+            f.write(name * (k % 5 + 1))
+        with open(f"{folder}/same.bin", "w") as f:
+            f.write(str(region) * SAME_BYTES)
+        os.symlink("..", f"{folder}/up")
+        if k % 4 == 0:
+            os.symlink(f".n{k}/same.bin", f"{root}/r{region}/to{k}")
+        if k % 5 == 0:
+            os.symlink("nowhere", f"{root}/r{region}/gone{k}")
+    return root
+
+
+def _below(root: str) -> Column:
+    return F.substring("path", len(root) + 2, 1 << 30).alias("path")
+
+
+_LIVE = f"""live AS (
+  SELECT 'r' || n_regionkey || '/.n' || n_nationkey || '/' || n_name || '.txt' AS path, n_name AS content, (octet_length(encode(n_name)) * (n_nationkey % 5 + 1))::BIGINT AS logical_size FROM nation
+  UNION ALL SELECT 'r' || n_regionkey || '/.n' || n_nationkey || '/same.bin', repeat(n_regionkey::VARCHAR, {SAME_BYTES}), {SAME_BYTES} * length(n_regionkey::VARCHAR) FROM nation
+)"""
+
+
+@query(f"""WITH {_LIVE} SELECT path, 'file' AS entry_type, 3 AS depth, logical_size FROM live
+UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'dir', 1, NULL::BIGINT FROM nation UNION ALL SELECT 'r' || n_regionkey || '/.n' || n_nationkey, 'dir', 2, NULL FROM nation""")
+def tree_walk(spark, sf_dir):
+    root = _tree(spark, sf_dir)
+    return file_tree.read(spark, root).select(_below(root), "entry_type", "depth", "logical_size")
+
+
+@query("""SELECT 2 * count(*) + count(*) FILTER (n_nationkey % 4 = 0) AS total_files, count(*) + count(DISTINCT n_regionkey) AS total_dirs, count(*) + count(*) FILTER (n_nationkey % 5 = 0) AS skipped FROM nation""")
+def tree_walk_followed(spark, sf_dir):
+    return scan.totals(file_tree.read(spark, _tree(spark, sf_dir), file_tree.Options(follow_symlinks=True))).select("total_files", "total_dirs", "skipped")
+
+
+@query("""SELECT count(*) FILTER (n_regionkey <> 3) AS total_files, count(*) FILTER (n_regionkey <> 3) + count(DISTINCT n_regionkey) FILTER (n_regionkey <> 3) AS total_dirs FROM nation""")
+def tree_walk_pruned(spark, sf_dir):
+    return scan.totals(file_tree.read(spark, _tree(spark, sf_dir), file_tree.parse_options(" *.txt, ,r3", "3"))).select("total_files", "total_dirs")
+
+
+@query("""SELECT count(*) AS specials, count(*) FILTER (starts_with(path, 'to')) AS to_files, count(*) FILTER (starts_with(path, 'gone')) AS to_nothing FROM (
+  SELECT 'up' AS path FROM nation UNION ALL SELECT 'to' FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'gone' FROM nation WHERE n_nationkey % 5 = 0)""")
+def tree_walk_links(spark, sf_dir):
+    links = file_tree.read(spark, _tree(spark, sf_dir), file_tree.Options(include_special=True)).filter("entry_type = 'special'").select(paths.base_name(F.col("path")).alias("name"))
+    return links.agg(F.count("*").alias("specials"), F.count_if(F.startswith("name", F.lit("to"))).alias("to_files"), F.count_if(F.startswith("name", F.lit("gone"))).alias("to_nothing"))
+
+
+@query(f"""WITH {_LIVE} SELECT sha256(content) AS hash, logical_size AS size, count(*) AS n, (logical_size * (count(*) - 1))::BIGINT AS wasted, arg_min(path, string_split(path, '/')) AS keep
+FROM live GROUP BY content, logical_size HAVING count(*) > 1""")
+def tree_dup_groups(spark, sf_dir):
+    root = _tree(spark, sf_dir)
+    found = duplicates.summaries(duplicates.members(file_tree.read(spark, root)))
+    return found.select("hash", "size", "n", "wasted", F.substring("keep", len(root) + 2, 1 << 30).alias("keep"))

@@ -1,14 +1,16 @@
 """A live directory tree as a Spark data source: spark.read.format("file_tree").
 
 Options: path, exclude (globs, one a line), max_depth, follow_symlinks, include_special, token (a file that stops the walk), tallies
-(a folder for counts while it runs), tasks. The driver walks only as
-deep as gives enough sub-trees for the tasks; tasks walk the rest. Hidden entries count. Entries that a glob excludes are not read, nor is what lies
+(a folder for counts while it runs), tasks. The driver looks for folders only as
+deep as gives enough sub-trees for the tasks, and holds names of folders, never rows: tasks list those upper folders too, one level each, and walk
+the sub-trees below. Hidden entries count. Entries that a glob excludes are not read, nor is what lies
 below. The path has to be visible to all executors.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +25,8 @@ from granary.sources.inventory import SCHEMA
 from granary.streaming.progress import Tally
 
 ALLOCATION_UNIT = 512
+#: Sub-trees a task that the driver looks for: they differ in size, and several even that out.
+SUBTREES = 8
 
 
 def allocated(s: os.stat_result) -> int:
@@ -41,6 +45,15 @@ class Options:
     tallies: str | None = None
 
 
+def parse_options(exclude: str = "", max_depth: str = "", follow_symlinks: bool = False) -> Options:
+    """Options as typed into a form: globs apart by commas (so none may hold one), blanks around them and empty ones dropped; a depth that
+    doesn't start with a number, or with one under 1, sets no bound."""
+    globs_ = tuple(g for g in (x.strip() for x in exclude.split(",")) if g)
+    number = re.match(r"\s*[+-]?[0-9]+", max_depth)
+    depth = int(number[0]) if number else 0
+    return Options(globs_, depth if depth > 0 else None, follow_symlinks)
+
+
 @dataclass
 class _Tree:
     path: str
@@ -95,6 +108,27 @@ class Walk:
                 rows.append(self._row(e.path, depth, "special", s))
         return rows, deeper
 
+    def folders(self, tree: _Tree) -> list[_Tree]:
+        """The folders in one folder that folder() would give to walk, without a row for anything else."""
+        found, o = [], self.options
+        if o.max_depth is not None and tree.depth >= o.max_depth or o.token and os.path.exists(o.token):
+            return found
+        try:
+            with os.scandir(tree.path) as entries:
+                for e in entries:
+                    if not e.is_dir(follow_symlinks=o.follow_symlinks) or globs.is_excluded(e.path, self.exclude):
+                        continue
+                    above = tree.above
+                    if o.follow_symlinks:
+                        s = e.stat()
+                        if (s.st_dev, s.st_ino) in above:
+                            continue
+                        above |= {(s.st_dev, s.st_ino)}
+                    found.append(_Tree(e.path, tree.depth + 1, above))
+        except OSError:  # the task that lists it reports that
+            pass
+        return sorted(found, key=lambda t: t.path)
+
     def start(self) -> _Tree:
         above = frozenset()
         if self.options.follow_symlinks:
@@ -112,8 +146,9 @@ class Walk:
 
 @dataclass
 class _Part(InputPartition):
+    #: Folders to walk whole, and folders of which only the direct entries are listed here.
     trees: list[_Tree]
-    rows: list[tuple]
+    upper: list[_Tree]
 
 
 class _Reader(DataSourceReader):
@@ -122,20 +157,16 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Part]:
         walk = Walk(self.root, self.options)
-        rows, level = [], [walk.start()]
-        while level and len(level) < 2 * self.tasks:  # a whole level at a time, breadth first
-            following = []
-            for tree in level:
-                found, deeper = walk.folder(tree)
-                rows += found
-                following += deeper
-            level = following
-        dealt = [level[k :: self.tasks] for k in range(self.tasks)]
-        return [_Part([], rows), *(_Part(trees, []) for trees in dealt if trees)]
+        upper, level = [], [walk.start()]
+        while level and len(level) < SUBTREES * self.tasks:  # a whole level at a time, breadth first
+            upper += level
+            level = [below for tree in level for below in walk.folders(tree)]
+        deal = lambda trees, k: trees[k :: self.tasks]
+        return [p for p in (_Part(deal(level, k), deal(upper, k)) for k in range(self.tasks)) if p.trees or p.upper] or [_Part([], [])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        tally = Tally(self.options.tallies)
-        for row in chain(part.rows, Walk(self.root, self.options).all(part.trees)):
+        tally, walk = Tally(self.options.tallies), Walk(self.root, self.options)
+        for row in chain(chain.from_iterable(walk.folder(t)[0] for t in part.upper), walk.all(part.trees)):
             if row[4] == "file":
                 tally.add(row[5])
             yield row

@@ -6,6 +6,9 @@ unknown), content (null for files that are read by path).
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +33,13 @@ SCHEMA = T.StructType(
 )
 
 
-def from_table(df: DataFrame, root: str, path: Column, content: Column, dev: Column | None = None, inode: Column | None = None) -> DataFrame:
-    """Files of a table: a path and a content per row; allocated sizes are whole blocks. Rows of a null path are left out."""
-    data = F.coalesce(content.cast("binary"), F.lit(b""))
-    length = F.octet_length(data).cast("long")
+def from_table(df: DataFrame, root: str, path: Column, content: Column | None, dev: Column | None = None, inode: Column | None = None) -> DataFrame:
+    """Files of a table: a path and a content per row; allocated sizes are whole blocks. Rows of a null path are left out.
+
+    Without content, df has the columns logical_size and digest (see digested()), and the inventory a column digest in place of content.
+    """
+    data = F.col("digest") if content is None else F.coalesce(content.cast("binary"), F.lit(b""))
+    length = F.col("logical_size") if content is None else F.octet_length(data).cast("long")
     return df.select(
         F.lit(root).alias("root"),
         path.alias("path"),
@@ -43,28 +49,34 @@ def from_table(df: DataFrame, root: str, path: Column, content: Column, dev: Col
         length.alias("logical_size"),
         (F.lit(None) if dev is None else dev).cast("long").alias("dev"),
         (F.lit(None) if inode is None else inode).cast("long").alias("inode"),
-        data.alias("content"),
+        data.alias("digest" if content is None else "content"),
     ).filter(F.col("path").isNotNull())
 
 
+def digested(df: DataFrame, content: str) -> DataFrame:
+    """df with logical_size and digest (SHA-256, hexadecimal) of a column in place of it, taken where rows are read: what follows can shuffle them."""
+    data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    return df.withColumn("logical_size", F.octet_length(data).cast("long")).withColumn("digest", F.sha2(data, 256)).drop(content)
+
+
 def corpus(spark: SparkSession, sf_dir: str, identity: bool = False) -> DataFrame:
     """The tables documents and benchmark as files below /corpus.
 
-    identity: every third document is a hard link of the first document of the same text, which joins on a digest of the text; else each row
-    has an inode of its own.
+    identity: every third document is a hard link of the first document of the same text, which joins on a digest of the text; the inventory then
+    has digests in place of contents, so that no text is shuffled. Else each row has an inode of its own.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    inode = F.col("doc_id")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    inode, content = F.col("doc_id"), F.col("text")
     if identity:
-        digest = F.sha2(F.col("text").cast("binary"), 256)
-        first = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"))
-        docs = docs.withColumn("digest", digest).join(first, "digest", "left")
+        docs, items, content = digested(docs, "text"), digested(items, "text"), None
+        first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+        docs = docs.join(first, "digest", "left")
         inode = F.when(F.col("doc_id") % 3 == 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id"))
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
-    files = from_table(docs, "/corpus", path, F.col("text"), F.lit(1), inode)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    files = from_table(docs, "/corpus", path, content, F.lit(1), inode)
     path = F.concat(F.lit("/corpus/item_"), F.lpad(F.col("item_id").cast("string"), 8, "0"), F.lit(".txt"))
-    return files.unionByName(from_table(items, "/corpus", path, F.col("text"), F.lit(1), F.col("item_id") + 1_000_000_000))
+    return files.unionByName(from_table(items, "/corpus", path, content, F.lit(1), F.col("item_id") + 1_000_000_000))
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +91,22 @@ def below(inventory: DataFrame, root: str) -> DataFrame:
     return inventory.filter(paths.under(F.col("path"), root)).withColumn("root", F.lit(root)).withColumn("depth", paths.depth(F.col("path"), root))
 
 
+def keep(inventory: DataFrame, folder: str | None = None) -> tuple[DataFrame, Callable[[], object]]:
+    """(inventory as it is now, what lets go of it): written once to the shared folder (by default what spark.checkpoint.dir names), so that a lost
+    executor doesn't walk again a tree that may have changed; where none is named, kept by this application."""
+    spark = inventory.sparkSession
+    folder = folder or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = inventory.persist()
+        held.count()
+        return held, held.unpersist
+    path = f"{folder}/inventory-{uuid.uuid4().hex}"
+    inventory.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(inventory.schema).parquet(path), lambda: where.getFileSystem(conf).delete(where, True)
+
+
 def save(inventory: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A snapshot, with files of like sizes together, so that row groups can be skipped by size."""
     inventory.repartitionByRange(F.col("logical_size")).sortWithinPartitions("logical_size").write.mode(mode).parquet(path)

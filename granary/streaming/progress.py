@@ -36,10 +36,14 @@ class Tally:
 
     def tell(self) -> None:
         self.told = time.monotonic()
-        if self.path:
+        if not self.path:
+            return
+        try:
             with open(f"{self.path}.tmp", "w") as f:
                 f.write(f"{self.files} {self.bytes}")
             os.replace(f"{self.path}.tmp", self.path)
+        except OSError:  # the folder isn't there on this host: the final counts don't come from here
+            self.path = None
 
 
 class Progress:

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -61,3 +62,29 @@ def test_snapshots_keep_what_they_hold(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = duplicates.at_least(again, 4096)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(logical_size,4096)" in plan
+
+
+def exchanged(df):
+    """Column names in the exchanges of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    rows = plan.split("\n")
+    return [rows[k + 1] for k, x in enumerate(rows[:-1]) if re.search(r"\bExchange (hash|range|Round)", x)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_no_content_is_shuffled(spark, monkeypatch, few):
+    """Neither where lengths are broadcast nor where there are too many of them."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if not few:
+        monkeypatch.setattr(duplicates, "BROADCAST_ROWS", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, linked = inventory.corpus(spark, SF), inventory.corpus(spark, SF, identity=True)
+        for df in (duplicates.members(plain), duplicates.members(linked), duplicates.prefix_buckets(plain), duplicates.candidates(plain, "path"), linked):
+            below = exchanged(df)
+            assert below and not [x for x in below if re.search(r"\b(content|text)#\d+(,|\])", x.partition("AS hash")[0].partition("sha2")[0])], below
+        want = duplicates.summaries(duplicates.members(linked)).count()
+        assert want == 7
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -152,7 +152,7 @@ def test_a_hot_length_is_hashed_in_many_tasks(spark, tmp_path):
     for k in range(40):
         put(tmp_path, f"f{k}", b"%04d" % (k % 5))
     found = duplicates.members(file_tree.read(spark, str(tmp_path)))
-    single = duplicates._read_and_digest(duplicates.candidates(file_tree.read(spark, str(tmp_path))).select("logical_size", "path", "path_raw"), False)
+    single = duplicates._read_and_digest(duplicates.candidates(file_tree.read(spark, str(tmp_path)), "path", "path_raw"), False)
     assert single.select(F.spark_partition_id()).distinct().count() > 1 or single.rdd.getNumPartitions() == 1
     assert duplicates.summaries(found).count() == 5
 
@@ -243,8 +243,9 @@ def test_removal_of_one_file_trash_and_guards(tmp_path, doomed):
     for path in ("/", "/..", "//"):
         with pytest.raises(ValueError):
             removal.guard(path)
-    with pytest.raises(FileNotFoundError):
-        api.remove_path(str(tmp_path / "none"))
+    nothing = api.remove_path(str(tmp_path / "none"))
+    assert (nothing.files, nothing.dirs, nothing.bytes, nothing.errors) == (1, 0, 0, [])
+    assert len(api.remove_path(str(tmp_path / "none"), dry_run=False).errors) == 1
     with pytest.raises(ValueError):
         api.remove_path(str(tmp_path), "shred")
 
@@ -307,3 +308,48 @@ def test_benchmark_tree(spark, tmp_path):
     bench.tree(str(tmp_path))
     groups = api.find_duplicates(spark, str(tmp_path))
     assert len(groups) == 50 and sum(g.wasted for g in groups) == 42_750 and all(len(g.files) == 20 for g in groups)
+
+
+def test_options_as_typed_into_a_form():
+    assert api.parse_options(" *.tmp, ,node_modules ,", " 4 levels", True) == Options(("*.tmp", "node_modules"), 4, True)
+    assert [api.parse_options("", d).max_depth for d in ("", "x", "0", "-2", "+3", "1e3")] == [None, None, None, None, 3, 1]
+
+
+def test_counts_told_where_the_folder_is_missing(spark, tmp_path):
+    put(tmp_path, "t/a", 10)
+    assert file_tree.read(spark, str(tmp_path / "t"), Options(tallies=str(tmp_path / "not on this host"))).count() == 1
+
+
+def test_the_driver_holds_folders_and_no_rows(tmp_path):
+    for k in range(300):
+        put(tmp_path, f"flat{k}", 1)
+    for k in range(40):
+        put(tmp_path, f"d{k % 4}/e{k}/f", 1)
+    os.symlink(tmp_path, tmp_path / "d0/loop")
+    for options in (Options(), Options(follow_symlinks=True), Options(("e1*",), 2)):
+        parts = file_tree._Reader(str(tmp_path), options, 3).partitions()
+        held = [t.path for p in parts for t in (*p.trees, *p.upper)]
+        assert len(held) == len(set(held)) and all(os.path.isdir(p) for p in held) and len(held) <= 45
+        reader = file_tree._Reader(str(tmp_path), options, 3)
+        walk = file_tree.Walk(str(tmp_path), options)
+        assert sorted(r for p in parts for r in reader.read(p)) == sorted(walk.all([walk.start()]))
+    assert list(file_tree._Reader(str(tmp_path), Options(max_depth=0), 2).read(file_tree._Reader(str(tmp_path), Options(max_depth=0), 2).partitions()[0])) == []
+
+
+def test_inventories_in_the_shared_folder(spark, tmp_path):
+    from granary.sources import inventory
+
+    put(tmp_path, "t/a", 10)
+    (tmp_path / "shared").mkdir()
+    kept, let_go = inventory.keep(file_tree.read(spark, str(tmp_path / "t")), str(tmp_path / "shared"))
+    os.unlink(tmp_path / "t/a")
+    assert kept.count() == 1 and len(os.listdir(tmp_path / "shared")) == 1
+    let_go()
+    assert not [f for f in os.listdir(tmp_path / "shared") if not f.startswith(".")]
+
+
+def test_removal_lists_every_depth(tmp_path):
+    for k in range(30):
+        put(tmp_path, f"x/{'/'.join(f'd{j}' for j in range(k % 6))}/f{k}", 7)
+    files, depths, total = removal._enumerate(str(tmp_path / "x"), api.Progress(), 4)
+    assert len(files) == 30 and [len(d) for d in depths] == [1] * 6 and total >= 210
