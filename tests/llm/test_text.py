@@ -138,11 +138,53 @@ def test_encoding_of_any_text(both, text):
 def test_neighbours_weigh_nothing_or_everything(both):
     machine, _ = both
     r = random.Random(1)
-    for _ in range(200):
-        segment = spiece.SPACE + "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 12)))
-        path = list(memoryview(machine.shortest_path(segment)).cast("i"))
-        assert [machine.text[i] for i in path] == machine.merged(segment) and machine.merge(segment) == machine.shortest_path(segment)
-        assert all(machine.may_follow(a, b) for a, b in zip(path, path[1:]))
+    pieces = [p for p, _, kind in machine.pieces if kind == 1 and len(p) > 1]
+    pairs = [(p[:k], p[k:]) for p in r.sample(pieces, 600) for k in range(1, len(p))] + [(r.choice(pieces), r.choice(pieces)) for _ in range(600)]
+    pairs += [(p[:k], p[k:] + "".join(r.choice("etaoinsr") for _ in range(2))) for p in r.sample(pieces, 600) for k in range(1, len(p))]
+    known = [(x, y) for x, y in pairs if x in machine.rank and y in machine.rank]
+    found = [machine.may_follow(x, y) for x, y in known]
+    assert found == [machine.merged(x + y) == [x, y] for x, y in known] and 200 < sum(found) < len(known) - 200
+
+
+def test_the_table_and_the_single_relaxation_give_one_path(both):
+    machine, _ = both
+    r = random.Random(2)
+    segments = [spiece.SPACE * (k % 2) + "".join(r.choice("etaoinshrdlu\xe9\u6f22\U0001f600\x00") for _ in range(r.randint(1, 30))) for k in range(400)]
+    together = machine._relax(segments)
+    for s, found in zip(segments, together):
+        assert found == machine.shortest_path(s)
+        parts, at = [], 0
+        for part in machine.merged(s):
+            known = machine.rank.get(part)
+            parts += [known[1]] if known else [machine.byte[b] for b in part.encode()]
+        assert list(memoryview(found).cast("i")) == parts
+
+
+def test_a_vocabulary_of_scores_takes_the_least_total(both):
+    """Unigram scores, through the same machine, against all segmentations."""
+    r = random.Random(4)
+    letters = "abc"
+    pieces = {spiece.SPACE} | set(letters) - {"c"} | {"".join(r.choice(letters) for _ in range(r.randint(2, 4))) for _ in range(25)}
+    rows = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, -r.uniform(1, 9), 1) for p in sorted(pieces))]
+    machine = spiece.Transducer(pieces=rows, merging=False)
+    score = {p: -w for p, w, kind in rows if kind == 1}
+    unknown = max(score.values()) + spiece.UNKNOWN_WEIGHT
+
+    def least(s):
+        best = [0.0] + [float("inf")] * len(s)
+        for end in range(1, len(s) + 1):
+            for start in range(end):
+                cost = score.get(s[start:end], unknown if end == start + 1 else float("inf"))
+                best[end] = min(best[end], best[start] + cost)
+        return best[-1]
+
+    for _ in range(150):
+        s = "".join(r.choice(letters + "z") for _ in range(r.randint(1, 12)))
+        for found in (machine._relax([s])[0], machine.shortest_path(s)):
+            ids = list(memoryview(found).cast("i"))
+            total = sum(unknown if i in machine.of_byte else score[machine.text[i]] for i in ids)
+            assert abs(total - least(s)) < 1e-9 and "".join(machine.plain[i] for i in ids) == s
+    assert machine.decode(memoryview(machine.encode("ab ca")).cast("i").tolist()) == "ab ca"
 
 
 def test_encoding_and_decoding_of_tables(spark):
