@@ -118,4 +118,11 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text leaves 2 on division by 4; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of keys, with one of its texts (the least by a hash): a repeated id is no more of a sample than another."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    return rows.groupBy(*keys).agg(least).select(*keys, "t.text")

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import bytehash
-from granary.llm.common import held_out, map_batches, table
+from granary.llm.common import held_out, map_batches, one_text, table
 
 SEGMENT = 64
 HIDDEN = 10
-ROWS_PER_LANGUAGE, MAX_BYTES = 400, 20_000
+ROWS_PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 400, 20_000, 1000
 STEPS, BATCH = 240, 192
 UNKNOWN = "und"
 
@@ -69,8 +69,8 @@ def _run(net: Network, d: int, x: np.ndarray, keep: list | None = None) -> np.nd
     """States (T x B x H) of one direction over segments x (T x B bytes), at each byte. keep: gets what backpropagation needs."""
     steps, b = x.shape
     n = net.recurrent[d].shape[0]
-    h = np.zeros((b, n), np.float32)
-    states = np.empty((steps, b, n), np.float32)
+    h = np.zeros((b, n), net.recurrent[d].dtype)
+    states = np.empty((steps, b, n), h.dtype)
     w = net.inputs[d] + net.bias[d]
     gates_u, new_u = np.ascontiguousarray(net.recurrent[d][:, : 2 * n]), np.ascontiguousarray(net.recurrent[d][:, 2 * n :])
     for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
@@ -98,6 +98,41 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits / logits.sum(axis=-1, keepdims=True)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(loss, its gradient by parameters()): mean cross entropy of the label of each byte of segments x (T x B), backpropagated through time."""
+    n = net.recurrent[0].shape[0]
+    kept: list[list] = [[], []]
+    states = [_run(net, d, x, kept[d]) for d in (0, 1)]
+    both = np.concatenate(states, axis=2)
+    p = _softmax(both @ net.out + net.out_bias)
+    right = (slice(None), np.arange(len(y)), y)
+    loss = -float(np.log(np.maximum(p[right], 1e-30)).mean())
+    p[right] -= 1
+    delta = p / np.float32(x.size)
+    back = delta @ net.out.T
+    inputs, recurrent, bias = [], [], []
+    for d in (0, 1):
+        u = net.recurrent[d]
+        g_in, g_u = np.zeros_like(net.inputs[d]), np.zeros_like(u)
+        g_bias = np.zeros_like(net.bias[d])
+        carry = np.zeros((x.shape[1], n), u.dtype)
+        for t, h, z, reset, rh, c, inside in reversed(kept[d]):
+            dh = back[t][:, d * n : (d + 1) * n] + carry
+            dc = dh * z * (1 - c * c)
+            d_rh = dc @ u[:, 2 * n :].T
+            d_gates = np.concatenate([dh * (c - h), d_rh * h], axis=1) * (inside * np.float32(0.25))
+            g_u[:, 2 * n :] += rh.T @ dc
+            g_u[:, : 2 * n] += h.T @ d_gates
+            whole = np.concatenate([d_gates, dc], axis=1)
+            np.add.at(g_in, x[t], whole)
+            g_bias += whole.sum(0)
+            carry = dh * (1 - z) + d_rh * reset + d_gates @ u[:, : 2 * n].T
+        inputs.append(g_in)
+        recurrent.append(g_u)
+        bias.append(g_bias)
+    return loss, [*inputs, *recurrent, *bias, np.einsum("tbh,tbl->hl", both, delta), delta.sum((0, 1))]
+
+
 def train(segments: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 3) -> Network:
     """A network fitted to segments (N x SEGMENT bytes) and their languages (indices): cross entropy of each byte's label."""
     net = new_network(languages)
@@ -105,39 +140,13 @@ def train(segments: np.ndarray, labels: np.ndarray, languages: list[str], steps:
     by_label = [np.flatnonzero(labels == k) for k in range(len(languages))]
     slots = net.parameters()
     first, second = [np.zeros_like(p) for p in slots], [np.zeros_like(p) for p in slots]
-    n = net.recurrent[0].shape[0]
     for step in range(steps):
         picked = np.concatenate([r.choice(own, max(1, batch // len(languages))) for own in by_label if len(own)])
-        x, y = np.ascontiguousarray(segments[picked].T), labels[picked]
-        kept: list[list] = [[], []]
-        states = [_run(net, d, x, kept[d]) for d in (0, 1)]
-        both = np.concatenate(states, axis=2)
-        p = _softmax(both @ net.out + net.out_bias)
-        p[:, np.arange(len(y)), y] -= 1
-        delta = p / np.float32(x.size)
-        grads = {id(net.out): np.einsum("tbh,tbl->hl", both, delta), id(net.out_bias): delta.sum((0, 1))}
-        back = delta @ net.out.T
-        for d in (0, 1):
-            u = net.recurrent[d]
-            g_in, g_u = np.zeros_like(net.inputs[d]), np.zeros_like(u)
-            g_bias = np.zeros_like(net.bias[d])
-            carry = np.zeros((x.shape[1], n), np.float32)
-            for t, h, z, reset, rh, c, inside in reversed(kept[d]):
-                dh = back[t][:, d * n : (d + 1) * n] + carry
-                dc = dh * z * (1 - c * c)
-                d_rh = dc @ u[:, 2 * n :].T
-                d_gates = np.concatenate([dh * (c - h), d_rh * h], axis=1) * (inside * np.float32(0.25))
-                g_u[:, 2 * n :] += rh.T @ dc
-                g_u[:, : 2 * n] += h.T @ d_gates
-                whole = np.concatenate([d_gates, dc], axis=1)
-                np.add.at(g_in, x[t], whole)
-                g_bias += whole.sum(0)
-                carry = dh * (1 - z) + d_rh * reset + d_gates @ u[:, : 2 * n].T
-            grads |= {id(net.inputs[d]): g_in, id(u): g_u, id(net.bias[d]): g_bias}
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        grads = gradients(net, np.ascontiguousarray(segments[picked].T), labels[picked])[1]
+        size = np.sqrt(sum(float((g * g).sum()) for g in grads))
         pace = rate * min(1.0, 2 * (steps - step) / steps)
         for k, slot in enumerate(slots):
-            g = grads[id(slot)] * min(1.0, 1.0 / (size + 1e-9))
+            g = grads[k] * min(1.0, 1.0 / (size + 1e-9))
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.005 * (g * g - second[k])
             slot -= (pace * (first[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[k] / (1 - 0.995 ** (step + 1))) + 1e-8)).astype(np.float32)
@@ -180,19 +189,19 @@ def probabilities(net: Network, column: pa.Array) -> np.ndarray:
 
 
 def fit(documents: DataFrame) -> Network | None:
-    """A network from the text and lang of documents outside the held-out fourth; None where no such row has a language and letters."""
+    """A network from the text and lang of documents outside the held-out fourth; None where no such row has a language and letters.
+
+    Languages beyond the MAX_LANGUAGES most frequent are not learned. A repeated id is one text of a language.
+    """
     known = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= MAX_BYTES))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, ROWS_PER_LANGUAGE / n)).otherwise(share)
+    shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(ROWS_PER_LANGUAGE) / F.col("count")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in known.filter(place < share).select("doc_id", "lang", "text").collect())
+    chosen = known.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(shares), "lang").filter("place < share")
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in one_text(chosen, "doc_id", "lang").collect())
     languages = sorted({lang for _, lang, text in rows if _HAS_LETTER.search(text)})
     if not languages:
         return None
+    del chosen
     raw, offsets = bytehash.column_bytes(pa.array([t for _, _, t in rows], pa.large_string()))
     segments, owner = segments_of(raw, offsets[:-1], offsets[1:])
     index = {lang: k for k, lang in enumerate(languages)}

@@ -167,37 +167,41 @@ def train_scorer(texts: list[str], labels: np.ndarray, rounds: int = 150) -> tup
 
 
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, float, float] | None:
-    """A scorer for texts like those of docs; None if the labellers call no sampled text bad, or none good."""
+    """A scorer for texts like those of docs; None if the labellers call no sampled text bad, or none good.
+
+    The sample is what a hash of id and text puts below a share, so null ids are told apart by their texts; equal rows count once. About
+    TRAIN_ROWS texts a side come to the driver, however rows repeat.
+    """
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern_codes(batch.column(1)))], names=["id", "pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(batch.column(0)))], names=["pattern"])
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("pattern", T.LongType())])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Per pattern: its count, and the rows of least hash of which the sample can be.
-    coded = map_batches(texts.filter(F.length("text") > 0), codes, schema)
+    text = F.col(text_col).cast("string")
+    texts = docs.filter(F.length(text) > 0).select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("place"))
+    coded = map_batches(texts.select("text"), codes, T.StructType([T.StructField("pattern", T.LongType())]))
     patterns = {r["pattern"]: r["n"] for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return None
     labelled = weak_labels.fit(patterns, len(LABELLERS))
     posterior = {p: labelled.posterior(p) for p in patterns}
-    # A share of all texts by a hash of the id, sized so that either side has TRAIN_ROWS; of a rare side all rows may be needed.
+    # A share of all texts, sized so that either side has TRAIN_ROWS; of a rare side all rows may be needed.
     bad = sum(n for p, n in patterns.items() if posterior[p] < 0.5)
     share = {False: min(1.0, TRAIN_ROWS / max(1, bad)), True: min(1.0, TRAIN_ROWS / max(1, sum(patterns.values()) - bad))}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = bytehash.mix(batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)).astype(np.float64) / 2.0**64
-            size = np.array([len(x.as_buffer()) for x in batch.column(1)])
+            place = bytehash.mix(batch.column(1).to_numpy().astype(np.int64).view(np.uint64)).astype(np.float64) / 2.0**64
+            size = np.diff(bytehash.column_bytes(batch.column(0))[1])
             at = np.flatnonzero((place < max(share.values())) & (size <= TRAIN_BYTES))
             some = batch.take(pa.array(at))
-            post = np.array([posterior.get(c, 0.5) for c in pattern_codes(some.column(1)).tolist()])
+            post = np.array([posterior.get(c, 0.5) for c in pattern_codes(some.column(0)).tolist()])
             keep = place[at] < np.where(post >= 0.5, share[True], share[False])
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(post, pa.float64())], names=["id", "text", "good"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(post, pa.float64())], names=["text", "place", "good"]).filter(pa.array(keep))
 
-    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("good", T.DoubleType())])
-    rows = sorted((r["id"] or 0, r["text"], r["good"]) for r in map_batches(texts.filter(F.length("text") > 0), sample, kind).collect())
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("place", T.LongType()), T.StructField("good", T.DoubleType())])
+    sampled = map_batches(texts, sample, kind).groupBy("place").agg(F.min(F.struct("text", "good")).alias("t"))
+    rows = sorted((r["place"], r["text"], r["good"]) for r in sampled.select("place", "t.*").collect())
     good = np.array([g for _, _, g in rows])
     if not len(rows) or good.min() >= 0.5 or good.max() < 0.5:
         return None

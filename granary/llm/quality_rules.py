@@ -125,3 +125,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def op2_weak_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality."""
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def quality_rule_counts(spark, sf_dir: str) -> DataFrame:
+    """Per document, what the query above counts and the base rule says: all that doesn't depend on the fitted model."""
+    counts = judge(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

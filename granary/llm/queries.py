@@ -15,6 +15,10 @@ QUERIES = {
     "op8_bigru_language": language_id.op8_bigru_language,
     "op9_best_fit_shards": sharding.op9_best_fit_shards,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
+    # Parts of the second and the ninth that SQL can express.
+    "quality_rule_counts": quality_rules.quality_rule_counts,
+    "shard_report": sharding.shard_report,
+    "shard_sizes": sharding.shard_sizes,
 }
 
 #: Classes of near duplicates by comparing all shingles and closing the links.
@@ -37,31 +41,44 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, least(d.doc_id, coalesce(m.first, d.doc_id)) AS class_id FROM documents d LEFT JOIN (SELECT doc_id, min(other) AS first FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
 
-#: Rules in SQL; aliases are the closure of canonical and refresh links that name a whole url.
+#: Rules in SQL; aliases are the closure of all canonical and refresh links, resolved as the operator resolves them.
 _URL_SQL = r"""
 WITH RECURSIVE u AS (
   SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 links AS (
-  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target FROM pages
+  SELECT url, path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS own, trim(replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*[\s"''/]rel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*[\s"''/]http-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))), '&amp;', '&')) AS link
+  FROM u WHERE contains(url, '://')
+), resolved AS (
+  SELECT url, CASE WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || own || link
+    WHEN starts_with(link, '?') THEN scheme || '://' || own || path || link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    ELSE scheme || '://' || own || (CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)?') END) || link END AS target
+  FROM links WHERE link <> '' AND NOT starts_with(link, '#')
+), ends AS (
+  SELECT url, target FROM resolved UNION ALL SELECT url, url FROM u WHERE contains(url, '://')
+), nodes AS (
+  SELECT DISTINCT x, translate(regexp_extract(x, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || (CASE WHEN regexp_extract(x, '(?s)^.*?://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(x, '(?s)^.*?://[^/?#]*([^#]*)', 1) END) AS node
+  FROM (SELECT url AS x FROM ends UNION SELECT target FROM ends)
 ), named AS (
-  SELECT url AS a, replace(target, '&amp;', '&') AS b FROM links WHERE contains(target, '://')
+  SELECT DISTINCT s.node AS a, t.node AS b FROM resolved JOIN nodes s ON s.x = url JOIN nodes t ON t.x = target WHERE s.node <> t.node
 ), both_ways AS (
   SELECT a, b FROM named UNION SELECT b, a FROM named
 ), reached(a, b) AS (
   SELECT a, b FROM both_ways UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a
-), known AS (
-  SELECT url, host, path FROM u UNION SELECT b, translate(coalesce(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    coalesce(regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') FROM named
 ), ruled AS (
-  SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
-  FROM (SELECT DISTINCT * FROM known) k JOIN rules ON (k.host = h OR ends_with(k.host, '.' || h)) AND starts_with(k.path, p) GROUP BY url
+  SELECT node, arg_max(v, length(h || p)) AS verdict FROM (SELECT DISTINCT node, regexp_extract(node, '(?s)^([^/?#]*)', 1) AS host, regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM nodes) k
+  JOIN rules ON (k.host = h OR ends_with(k.host, '.' || h)) AND starts_with(k.path, p) GROUP BY node
 ), aliased AS (
-  SELECT a AS url, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reached JOIN ruled ON ruled.url = b GROUP BY a
+  SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reached JOIN ruled ON ruled.node = b GROUP BY a
+), own AS (
+  SELECT page_id, host, path, url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
 )
-SELECT page_id, host, path, ruled.rule, coalesce(ruled.verdict, aliased.verdict, 'allow') AS verdict FROM u LEFT JOIN ruled ON ruled.url = u.url LEFT JOIN aliased ON aliased.url = u.url
+SELECT page_id, host, path, rule, coalesce(own.verdict, aliased.verdict, 'allow') AS verdict FROM own LEFT JOIN nodes ON nodes.x = own.url LEFT JOIN aliased ON aliased.node = nodes.node
 """
 
 #: What has to come back from the archives; base32 from the bits of the digest.
@@ -74,7 +91,34 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, (CASE WHEN page_id <> latest THEN latest END)::BIGINT AS refers_to FROM b
 """
 
+#: The counts that the quality rules look at.
+_COUNTS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 6)) AS p, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM d WHERE len(w) >= 8
+), twice AS (
+  SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, range(0, 8) r(k) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+"""
+
+#: What the shards have to be, whatever goes where.
+_SHARDS_SQL = """
+SELECT count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, 8::BIGINT AS shards, true AS gapless, true AS even, true AS copies_together FROM documents
+"""
+_SIZES_SQL = "SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents"
+
 ORACLE_SQL: dict[str, str] = {
+    "quality_rule_counts": _COUNTS_SQL,
+    "shard_report": _SHARDS_SQL,
+    "shard_sizes": _SIZES_SQL,
     "op6_redirect_classes": _URL_SQL,
     "op7_warc_salvage": _WARC_SQL,
     "op10_prob_minhash": _NEAR_SQL,

@@ -2,7 +2,9 @@
 
 Rows of equal texts are a group and stay together. Groups of at least a share of the capacity are items of their own; the
 others are dealt by hash into bundles, whose count follows the row count, and each bundle is an item. So the driver packs a
-number of items that is bounded by rows / ROWS_PER_BUNDLE, never the groups themselves, and no row moves for it.
+number of items that is bounded by rows / ROWS_PER_BUNDLE, never the groups themselves, and no row moves for it. A group of many rows, however
+few bytes they have (null and empty texts), is numbered in pieces of about ROWS_PER_BUNDLE rows by the id, and where an id is null or repeats so
+often that a piece still is several times that, by the place of the rows: no task sorts more.
 
 Items sorted by size, largest first, enter the bin with the least remaining capacity that still holds them, found in a balanced
 tree (a treap) of the open bins. pack() opens as few bins of a fixed capacity as that gives; for a fixed number of shards the
@@ -117,7 +119,7 @@ def _lightest(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", *, rows_per_bundle: int = ROWS_PER_BUNDLE) -> DataFrame:
     """(id, size, text_crc32, shard, slot): one row per row of docs; size is the UTF-8 bytes of the text (null: none) plus 1.
 
     Shards have nearly equal sizes; rows of equal texts share one unless together they are larger than a shard. Null texts are one group,
@@ -127,24 +129,32 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"), F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.sha2(t, 256)).alias("group")
     )
-    rows = settle(rows)
+    rows = settle(rows.withColumn("place", F.monotonically_increasing_id()))  # a number for each row, kept as it is from here on
     totals = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     total, count = totals["bytes"] or 0, totals["n"]
     target = max(1, -(-total // shards))
     large_size = max(2, int(target * LARGE))
-    bundles = max(LEAST_BUNDLES, -(-count // ROWS_PER_BUNDLE))
-    # At most shards / LARGE groups are this large.
-    large = checked_broadcast(settle(rows.groupBy("group").agg(F.sum("size").alias("group_bytes"), F.max("size").alias("row_bytes")).filter(F.col("group_bytes") >= large_size)))
+    bundles = max(LEAST_BUNDLES, -(-count // rows_per_bundle))
+    # At most shards / LARGE + rows / rows_per_bundle groups are this large.
+    large = rows.groupBy("group").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("group_rows")).filter((F.col("group_bytes") >= large_size) | (F.col("group_rows") >= rows_per_bundle))
+    large = checked_broadcast(settle(large))
     # Groups over a shard fall apart into pieces by the id; in others the pieces only spread the work of numbering.
     named = rows.join(large, "group", "left")
-    pieces = F.greatest(F.lit(1), F.least(F.ceil(F.col("group_bytes") / large_size), F.lit(4096))).cast("int")
+    pieces = F.greatest(F.ceil(F.col("group_bytes") / large_size), F.ceil(F.col("group_rows") / rows_per_bundle))
     named = named.select(
-        "id", "size", "text_crc32",
+        "id", "size", "text_crc32", "place",
         F.when(F.col("group_bytes").isNotNull(), F.col("group")).alias("whole"),
         F.when(F.col("group_bytes").isNotNull(), F.pmod(F.xxhash64("id", F.lit(3)), pieces)).otherwise(F.pmod(F.xxhash64("group"), F.lit(bundles))).cast("long").alias("part"),
     )
     named = settle(named)
-    items = sorted(((r["whole"] or "", r["part"], r["bytes"], r["n"]) for r in named.groupBy("whole", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()), key=lambda r: (r[0], r[1]))
+    parts = lambda: named.groupBy("whole", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    # At most rows / (4 * rows_per_bundle) pieces of an id that fills them; bundles hold small groups only and stay whole.
+    heavy = [(r["whole"], r["part"], -(-r["n"] // rows_per_bundle)) for r in parts().filter((F.col("n") >= 4 * rows_per_bundle) & F.col("whole").isNotNull()).collect()]
+    if heavy:
+        cut = F.broadcast(docs.sparkSession.createDataFrame(heavy, "whole string, part long, cuts long"))
+        again = F.when(F.col("cuts").isNotNull(), -1 - F.pmod(F.xxhash64("place"), F.col("cuts")) - F.col("part") * count).otherwise(F.col("part"))
+        named = settle(named.join(cut, ["whole", "part"], "left").select("id", "size", "text_crc32", "place", "whole", again.alias("part")))
+    items = sorted(((r["whole"] or "", r["part"], r["bytes"], r["n"]) for r in parts().collect()), key=lambda r: (r[0], r[1]))
     units: dict = {}  # what is packed: bundles, whole groups, pieces of groups over a shard
     group_bytes: dict[str, int] = {}
     for whole, _, size, _ in items:
@@ -172,3 +182,21 @@ def op9_best_fit_shards(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law (bytes), shard (0 to 7), slot, grown_shard (null: the law isn't key)."""
     found = shard(table(spark, sf_dir, "documents"), 8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_sizes(spark, sf_dir: str) -> DataFrame:
+    """Per document, its size as the shards count it."""
+    return op9_best_fit_shards(spark, sf_dir).select("doc_id", "size")
+
+
+def shard_report(spark, sf_dir: str) -> DataFrame:
+    """One row on the shards of the documents: n_rows, bytes, shards, whether slots have no gaps (gapless), whether the fullest shard holds at most
+    2 % more than the mean (even), and whether copies of a text that fit into a shard share one (copies_together)."""
+    found = settle(op9_best_fit_shards(spark, sf_dir))
+    per = found.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"))
+    whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    shards = per.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.every(whole).alias("gapless"), (F.max("bytes") <= 1.02 * F.avg("bytes")).alias("even"))
+    copies = found.groupBy("text_crc32", "size").agg(F.sum("size").alias("group_bytes"), F.countDistinct("shard").alias("k"))
+    room = (found.agg(F.sum("size")).first()[0] or 0) / 8
+    apart = copies.filter((F.col("k") > 1) & (F.col("group_bytes") <= room)).count()
+    return shards.withColumn("copies_together", F.lit(apart == 0))

@@ -7,7 +7,8 @@ reach that of the calibrated threshold; the score is the share of toxic document
 description, smoothed.
 
 Labels are per document, and most windows of a toxic document are ordinary. So the toxic dictionary is trained on those windows
-of toxic documents that are far more frequent there than in ordinary ones.
+of toxic documents that are far more frequent there than in ordinary ones, by their evidence, and the ordinary one on the most frequent windows of
+ordinary documents. All windows of the sample are counted, by hashes; only the size of a dictionary bounds how many windows it holds.
 
 Fitting reads a bounded sample: MAX_TOXIC and MAX_ORDINARY labelled rows (by a hash of the id) of at most MAX_BYTES bytes of
 text each; two thirds train the dictionaries and one third calibrates. Scoring reads whole texts.
@@ -15,20 +16,19 @@ text each; two thirds train the dictionaries and one third calibrates. Scoring r
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import give_back, held_out, map_batches, table
+from granary.llm.common import give_back, held_out, map_batches, one_text, table
 
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2500, 5000, 20_000
 THRESHOLD = 0.3
@@ -38,9 +38,8 @@ LIFT = 4.0
 EVIDENCE, LEAST_DOCUMENTS = 20.0, 3
 #: A window also counts as its first so many characters: stems with many endings are else too rare each.
 STEMS = (4, 5, 6, 7, 8)
-#: Windows that train either dictionary: of most lift, and most frequent.
-TOXIC_WINDOWS, ORDINARY_WINDOWS = 300, 5_000
 LEVEL = 12
+#: Windows whose gain a worker keeps in each of two generations.
 CACHE = 100_000
 #: Stands before every sample and every window: zstandard stores an input of a few bytes as it is, and behind bytes that both
 #: dictionaries hold, each byte that a window costs shows in the length.
@@ -72,14 +71,31 @@ def widened(window: str) -> bytes:
     return b"".join([_codes.get(g) or zlib.crc32(g.encode("utf-8", "surrogatepass")).to_bytes(4, "little") for g in grams])
 
 
-def dictionary_of(windows: Counter, size: int = DICTIONARY_BYTES) -> bytes:
-    """The content of a zstandard dictionary: the windows, most frequent last (nearest), then the carrier.
+def dictionary_of(windows: dict[str, float], size: int = DICTIONARY_BYTES) -> bytes:
+    """The content of a zstandard dictionary: the windows of most weight, the heaviest last (nearest), then the carrier.
 
     zstandard's own trainer cuts segments of 16 bytes and more out of long samples and drops most of a few hundred short windows,
     the carrier among them; so the content is set here, and zstandard takes it as raw content.
     """
-    ordered = [w for w, _ in sorted(windows.items(), key=lambda x: (x[1], x[0]))]
-    return b"".join(map(widened, ordered))[-size:] + CARRIER
+    held, room = [], size
+    for w, _ in sorted(windows.items(), key=lambda x: (-x[1], x[0])):
+        held.append(widened(w))
+        room -= len(held[-1])
+        if room <= 0:
+            break
+    return b"".join(reversed(held))[-size:] + CARRIER
+
+
+def counted(documents: Iterator[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rising; in how many documents each is) of the windows of documents: 8 bytes for each window of each document."""
+    parts = [np.fromiter(map(hash, d), np.int64, len(d)) for d in documents]
+    return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+
+
+def named(documents: Iterator[set[str]], hashes: np.ndarray, values: np.ndarray) -> dict[str, float]:
+    """The windows of documents that have the hashes, with their values."""
+    value_of = dict(zip(hashes.tolist(), values.tolist(), strict=True))
+    return {w: value_of[hash(w)] for d in documents for w in d if hash(w) in value_of}
 
 
 @dataclass(frozen=True)
@@ -94,10 +110,11 @@ class Model:
 
 
 class Gains:
-    """Gains of windows, with those of short windows kept (at most CACHE of them)."""
+    """Gains of windows, with those met lately kept: at most CACHE in either of two generations."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, level: int):
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.compressors = []
         for data in (ordinary, toxic):
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -106,15 +123,18 @@ class Gains:
             self.compressors.append(zstandard.ZstdCompressor(dict_data=held, compression_params=plain))
 
     def of(self, windows: list[str]) -> list[int]:
-        known = self.known
+        known, older = self.known, self.older
         ordinary, toxic = (c.compress for c in self.compressors)
         for w in windows:
             if w not in known:
-                b = widened(w)
-                known[w] = len(ordinary(CARRIER + b)) - len(toxic(CARRIER + b))
+                gain = older.get(w)
+                if gain is None:
+                    b = CARRIER + widened(w)
+                    gain = len(ordinary(b)) - len(toxic(b))
+                known[w] = gain
         out = [known[w] for w in windows]
         if len(known) > CACHE:
-            known.clear()
+            self.known, self.older = {}, known
         return out
 
 
@@ -154,21 +174,28 @@ def fit(rows: list[tuple[int, str, int]], toxic_rows: int, ordinary_rows: int, w
     train = [(t, y) for i, t, y in some if not split or fold_of(i)]
     held = [(t, y) for i, t, y in some if not split or not fold_of(i)]
     n = {y: max(1, sum(1 for _, z in train if z == y)) for y in (0, 1)}
-    in_toxic = Counter(w for t, y in train if y == 1 for w in _stems(text_windows(t, window)))
-    # Fewer than LEAST_DOCUMENTS can't reach the evidence; for the others the ordinary documents are counted.
-    often = Counter({w: c for w, c in in_toxic.items() if c >= min(LEAST_DOCUMENTS, n[1])})
-    in_ordinary, ordinary = Counter(), Counter()
-    for t, y in train:
-        if y == 0:
-            windows = text_windows(t, window)
-            in_ordinary.update(_stems(windows) & often.keys())
-            ordinary.update(windows)
-            if len(ordinary) > CACHE:
-                ordinary = Counter(dict(ordinary.most_common(CACHE // 2)))
-    lift = {w: c * math.log(c / n[1] / (in_ordinary[w] + 0.5) * n[0]) for w, c in often.items() if c / n[1] > LIFT * (in_ordinary[w] + 0.5) / n[0]}
-    toxic = Counter({w: often[w] for w in sorted(lift, key=lambda w: (-lift[w], w))[:TOXIC_WINDOWS] if lift[w] >= EVIDENCE}) or in_toxic
-    dictionaries = dictionary_of(toxic), dictionary_of(Counter(dict(ordinary.most_common(ORDINARY_WINDOWS))))
-    del in_toxic, often, ordinary
+    windows_of = lambda label: (set(text_windows(t, window)) for t, y in train if y == label)
+    stems_of = lambda label: map(_stems, windows_of(label))
+    hashes, count = counted(stems_of(1))
+    # Fewer than LEAST_DOCUMENTS can't reach the evidence; the others are counted in ordinary documents.
+    often = count >= min(LEAST_DOCUMENTS, n[1])
+    some, c = hashes[often], count[often]
+    other = np.zeros(len(some))
+    for stems in stems_of(0):
+        met = np.fromiter(map(hash, stems), np.int64, len(stems))
+        at = np.minimum(np.searchsorted(some, met), len(some) - 1) if len(some) else np.zeros(0, np.int64)
+        if len(some):
+            other[at[some[at] == met]] += 1
+    lift = c / n[1] / (other + 0.5) * n[0]
+    evidence = np.where(lift > LIFT, c * np.log(lift), 0.0)
+    good = evidence >= EVIDENCE
+    toxic = named(stems_of(1), some[good], evidence[good]) if good.any() else named(stems_of(1), hashes, count)
+    hashes, count = counted(windows_of(0))
+    # A window takes four bytes for each of its characters, so no more than these can have room; of equal counts all are looked at.
+    least = np.sort(count)[::-1][min(len(count), DICTIONARY_BYTES // 4) - 1] if len(count) else 0
+    frequent = count >= least
+    dictionaries = dictionary_of(toxic), dictionary_of(named(windows_of(0), hashes[frequent], count[frequent]))
+    del hashes, count, often, some
     gains = Gains(*dictionaries, level)
     weight = {1: toxic_rows / max(1, sum(y for _, y in held)), 0: ordinary_rows / max(1, sum(1 - y for _, y in held))}
     # A document's gains from 1 up are all that can reach a threshold.
@@ -195,15 +222,15 @@ def fit(rows: list[tuple[int, str, int]], toxic_rows: int, ordinary_rows: int, w
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limits: dict[int, int], max_bytes: int) -> tuple[list, dict[int, int]]:
     """([(doc_id, text, label)], {label: rows}): at most limits[label] labelled documents outside the held-out fourth, the first by a
-    hash of the id, less those of more than max_bytes. Ids are chosen from the narrow table; only chosen texts reach the driver."""
+    hash of the id, less those of more than max_bytes. Ids are chosen from the narrow table; only chosen texts reach the driver, one for each id."""
     known = labels.filter(F.col(label).isin(*limits) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = None
     for y, most in limits.items():
         part = known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = documents.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").collect()
-    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows), counts
+    rows = one_text(documents.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id"), "doc_id", "label")
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows.collect()), counts
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:

@@ -59,26 +59,32 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Col
 
 
 def _target(base: Column, link: Column) -> Column:
-    """A link resolved against the url that holds it; null for an empty one or one that can't be resolved."""
+    """A link resolved against the url that holds it (dot segments stay); null for an empty one and for one within the same page."""
     scheme = F.regexp_extract(base, r"(?s)\A(.*?)://", 1)
     host = F.regexp_extract(base, _URL, 1)
     clean = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
+    own = F.concat(scheme, F.lit("://"), host)
     return (
-        F.when(clean == "", None)
+        F.when((clean == "") | F.startswith(clean, F.lit("#")), None)
         .when(F.startswith(clean, F.lit("//")), F.concat(scheme, F.lit(":"), clean))
-        .when(F.startswith(clean, F.lit("/")), F.concat(scheme, F.lit("://"), host, clean))
+        .when(F.startswith(clean, F.lit("/")), F.concat(own, clean))
+        .when(F.startswith(clean, F.lit("?")), F.concat(own, path_of(base), clean))
         .when(clean.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), clean)
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.regexp_extract(path_of(base), r"(?s)\A(.*/)?", 0), clean))
+        .otherwise(F.concat(own, F.when(path_of(base) == "", "/").otherwise(F.regexp_extract(path_of(base), r"(?s)\A(.*/)?", 0)), clean))
     )
 
 
+# Tags that name another url for the page, and where in the tag it stands. Fixed values of HTML.
+CANONICAL = r"(?is)<link\b[^>]*[\s\"'/]rel\s*=\s*[\"']?canonical\b[^>]*>"
+HREF = r"(?is)[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"
+REFRESH = r"(?is)<meta\b[^>]*[\s\"'/]http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) nodes of canonical links and meta refreshes in pages."""
-    canonical = F.regexp_extract(html_col, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    refresh = F.regexp_extract(html_col, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    href = F.regexp_extract(canonical, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    links = pages.select(F.col(url_col).alias("url"), F.explode(F.array(href, to)).alias("link")).filter("link != '' and url is not null")
+    """(source, target) nodes of all canonical links and meta refreshes in pages."""
+    found = lambda tag, link: F.transform(F.regexp_extract_all(html_col, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, link, 1))
+    links = pages.select(F.col(url_col).alias("url"), F.explode(F.concat(found(CANONICAL, HREF), found(REFRESH, REFRESH_URL))).alias("link")).filter("url is not null")
     return links.select(node_of(F.col("url")).alias("source"), node_of(_target(F.col("url"), F.col("link"))).alias("target")).filter("source is not null and target is not null")
 
 
