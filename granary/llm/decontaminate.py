@@ -1,14 +1,16 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Texts become tokens (runs of letters, numbers; single letters in scripts that set no spaces), lower-cased. Three kinds are slots: a number, a unit after a number, and a name
-(a capitalised word, which may be one, also at the start of a sentence); in the template a slot stands as its kind. Windows of
-WINDOW template tokens of documents are hash-joined with those of benchmark items, so a question asked again with other numbers,
-names or units still meets its item; items have a second template without names, which copies in one case meet. A match then
+Texts become tokens (runs of letters, numbers; single letters in scripts that set no spaces), lower-cased. Three kinds are slots: a number (digits or
+a number word), a unit after a number in digits, and a name (a capitalised word, which may be one, also at the start of a sentence); in the template a
+slot stands as its kind. Windows of WINDOW template tokens of documents are hash-joined with those of benchmark items, so a question asked again with
+other numbers, names or units still meets its item; items have a second template without names, which copies in one case meet. A match then
 has to keep its slots consistent: along one alignment of a document with an item, equal values of the item must be equal in the
-document and different ones different, over the tokens that matching windows cover. Windows of the plain tokens, nothing masked, are joined too: a verbatim copy is found
-however many names and numbers it holds and whatever stands around it. Templates are checked apart; one that holds is enough.
+document, over the tokens that matching windows cover (different ones may become equal: "has 3, eats 2" asked again as "has 4, eats 4"). Windows of
+the plain tokens, nothing masked, are joined too: a verbatim copy is found however many names and numbers it holds and whatever stands around it.
+Templates are checked apart; one that holds is enough.
 
-One pass over all texts emits hashes and positions only; slot values are cut out in a second pass over documents that matched.
+One pass over all texts emits hashes and positions only, for windows of all sizes at once; slot values are read in a second pass over documents that
+matched, as one row per token, so that nothing of a document comes together in one row but its tokens.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import checked_broadcast, settle, table, without_ids
+from granary.llm.common import checked_broadcast, settle, table
 
 WINDOW = 8
 #: Items of fewer tokens than this match nothing; items of this to WINDOW - 1 tokens match as a whole.
@@ -27,8 +29,6 @@ SHORTEST = 5
 LITERALS = 5
 #: Windows of one alignment that have to match (an item with fewer windows: all of its).
 MATCHES = 1
-#: Tokens of all items that may be broadcast together; beyond it that join shuffles.
-BROADCAST_TOKENS = 2_000_000
 
 # Unit words, as they may follow a number.
 UNITS = (
@@ -38,6 +38,16 @@ UNITS = (
     "percent cent cents dollar dollars usd euro euros eur gbp yen mph kmh"
 ).split()
 
+# Number words of four languages, without those that are also other common words (one, once, un, ein, elf, mil, cent).
+NUMBER_WORDS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty "
+    "fifty sixty seventy eighty ninety hundred thousand million billion dozen "
+    "zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig "
+    "fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien"
+).split()
+
 #: Templates: with names, without them (numbers and units only), and the plain tokens.
 NAMED, UNNAMED, PLAIN = 0, 1, 2
 
@@ -65,13 +75,30 @@ def _value(part: Column) -> Column:
 
 def _slotted(part: Column) -> Column:
     """A token as it stands in the template. Marks sort below digits, and digits below letters."""
-    return F.when(part < ":", F.when(part < "\x05", F.substring(part, 1, 1)).otherwise(F.lit(_NUMBER))).otherwise(part)
+    marked = F.when(F.substring(part, 2, 1 << 30).isin(NUMBER_WORDS), F.lit(_NUMBER)).otherwise(F.substring(part, 1, 1))
+    return F.when(part < ":", F.when(part < "\x05", marked).otherwise(F.lit(_NUMBER))).when(part.isin(NUMBER_WORDS), F.lit(_NUMBER)).otherwise(part)
+
+
+def _halves(size: int) -> list[int]:
+    """The sizes of windows that those of `size` are made of, in the order in which they can be: halves of a power of two, then what is left."""
+    if size < 2:
+        return []
+    first = 1 << (size - 1).bit_length() - 1
+    return [*_halves(first), *_halves(size - first), size]
 
 
-def _windows(h: str, size: int) -> Column:
-    """Hashes of the windows of a column of hashes of tokens, by position."""
-    at = lambda i: F.xxhash64(F.lit(size), F.slice(F.col(h), i, size))
-    return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), at)).otherwise(F.array().cast("array<bigint>"))
+def with_windows(df: DataFrame, hashes: list[str], sizes: list[int]) -> DataFrame:
+    """df with a column <h>_<size> for each column <h> of hashes of tokens: hashes of its windows of that size, by position.
+
+    A window's hash is that of the hashes of its two parts, and windows of all sizes share their parts, so another size costs one step more.
+    """
+    df = df.withColumns({f"{h}_1": F.col(h) for h in hashes})
+    for size in dict.fromkeys(s for size in sizes for s in _halves(size)):
+        first = 1 << (size - 1).bit_length() - 1
+        n = lambda h, size=size: F.greatest(F.lit(0), F.size(h) - (size - 1))
+        both = lambda h, first=first, size=size, n=n: F.zip_with(F.slice(f"{h}_{first}", F.lit(1), n(h)), F.slice(f"{h}_{size - first}", F.lit(1 + first), n(h)), lambda x, y: F.xxhash64(x, y))
+        df = df.withColumns({f"{h}_{size}": both(h) for h in hashes})
+    return df
 
 
 def _hashed(tokens: str, what=lambda t: t) -> Column:
@@ -89,70 +116,82 @@ def item_templates(benchmark: DataFrame, item_col: str, text_col: str) -> DataFr
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """(hash, size, item, kind, n, at): the windows of templates that hold enough words; n: tokens of the item."""
-    at = items.withColumn("n", F.size("tokens")).withColumn("size", F.least(F.lit(window), F.col("n"))).withColumn("at", F.explode(F.expr("sequence(1, n - size + 1)")))
+    sizes = list(range(SHORTEST, window + 1)) if window > SHORTEST else [window]
+    at = with_windows(items, ["h"], sizes).withColumn("n", F.size("tokens")).withColumn("size", F.least(F.lit(window), F.col("n")))
+    of_size = F.coalesce(*(F.when(F.col("size") == k, F.col(f"h_{k}")) for k in sizes))
+    at = at.select("item", "kind", "tokens", "n", "size", F.posexplode(of_size).alias("p", "hash")).withColumn("at", F.col("p") + 1)
     words = F.expr(f"size(filter(slice(tokens, at, size), p -> p not in ({_SLOTS})))")
     at = at.filter((F.col("kind") == PLAIN) | (words >= F.least(F.lit(LITERALS), F.col("size"))))
-    return at.select(F.xxhash64("size", F.expr("slice(h, at, size)")).alias("hash"), "size", "item", "kind", "n", "at")
+    return at.select(F.xxhash64("size", "hash").alias("hash"), "size", "item", "kind", "n", "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = WINDOW) -> DataFrame:
-    """(id, item, first, last, windows): each alignment of a document with a benchmark item that matches with consistent slots.
+    """(id, text_hash, item, first, last, windows): each alignment of a document with a benchmark item that matches with consistent slots.
 
     first and last are the token positions (from 1) in the document that matching windows cover, windows their count. Null and empty texts, and
-    items of under SHORTEST tokens, match nothing. Rows that repeat an id count as one document. An empty table on either side gives no
-    rows.
+    items of under SHORTEST tokens, match nothing. A document is an id, which may be null, with a text, whose xxhash64 is text_hash: equal rows count
+    as one document, and other texts of one id apart. An empty table on either side gives no rows.
     """
     items = settle(item_templates(benchmark, item_col, "text"))
     bench = settle(item_windows(items, window))
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most window - SHORTEST + 1 of them
     if not sizes:
         sizes = [window]
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    hashed = texts.select("doc", _parts(F.col("text")).alias("parts")).select("doc", _hashed("parts", _slotted).alias("masked"), _hashed("parts", _value).alias("plain"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    hashed = texts.select("doc", "t", _parts(F.col("text")).alias("parts")).select("doc", "t", _hashed("parts", _slotted).alias("masked"), _hashed("parts", _value).alias("plain"))
     known = checked_broadcast(bench.select("hash").distinct())
     # One pass: masked and plain windows of all sizes. They share one space of hashes, as a window without slots is the same in both.
-    every = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(h == "plain").alias("plain"), _windows(h, size).alias("w")) for size in sizes for h in ("masked", "plain")))
-    found = hashed.select("doc", F.inline(every)).select("doc", "size", "plain", F.posexplode("w").alias("p", "hash"))
-    hits = settle(found.join(known, "hash", "left_semi").select("doc", "size", "plain", (F.col("p") + 1).alias("p"), "hash").distinct())
+    hashed = with_windows(hashed, ["masked", "plain"], sizes)
+    every = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(h == "plain").alias("plain"), F.col(f"{h}_{size}").alias("w")) for size in sizes for h in ("masked", "plain")))
+    found = hashed.select("doc", "t", F.inline(every)).select("doc", "t", "size", "plain", F.posexplode("w").alias("p", "w"))
+    found = found.select("doc", "t", "size", "plain", (F.col("p") + 1).alias("p"), F.xxhash64("size", "w").alias("hash"))
+    hits = settle(found.join(known, "hash", "left_semi").distinct())
 
     # Alignments: a document, an item, and how far the one is shifted against the other.
-    met = hits.join(checked_broadcast(bench, 100_000), ["hash", "size"]).filter(F.col("plain") == (F.col("kind") == PLAIN)).groupBy("doc", "item", "kind", "n", (F.col("p") - F.col("at")).alias("shift"))
-    met = met.agg(F.collect_set("at").alias("ats"), F.max("size").alias("size")).withColumn("windows", F.size("ats"))
+    met = hits.join(checked_broadcast(bench, 100_000), ["hash", "size"]).filter(F.col("plain") == (F.col("kind") == PLAIN)).groupBy("doc", "t", "item", "kind", "n", (F.col("p") - F.col("at")).alias("shift"))
+    met = met.agg(F.collect_set("at").alias("ats"), F.max("size").alias("size")).withColumn("windows", F.size("ats"))  # at most n places
     whole = bench.groupBy("item", "kind").agg(F.countDistinct("at").alias("all"))
     met = met.join(checked_broadcast(whole, 100_000), ["item", "kind"]).filter(F.col("windows") >= F.least(F.lit(MATCHES), F.col("all")))
-    met = settle(met.select("doc", "item", "kind", "n", "shift", "ats", "size", "windows"))
-    theirs = items.filter(F.col("kind") != PLAIN).select("item", "kind", F.col("tokens").alias("bt"), F.col("vals").alias("bv"))
-    if (items.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
-        theirs = F.broadcast(theirs)
+    met = settle(met.select("doc", "t", "item", "kind", "shift", "ats", "size", "windows"))
     # A plain window is verbatim. Others have to keep their slots consistent, over the tokens that windows cover. Of one alignment's
     # templates, one whose windows are some of the other's has no say: it would only hide the slots that the other compares.
-    masked = met.filter(F.col("kind") != PLAIN).groupBy("doc", "item", "shift", "n", "size").agg(F.collect_list(F.struct("kind", "ats", "windows")).alias("alike"))
-    masked = masked.select("doc", "item", "shift", "n", "size", F.expr("inline(filter(alike, a -> not exists(alike, b -> b.windows > a.windows and size(array_except(a.ats, b.ats)) = 0)))"))
-    masked = masked.withColumn("skip", F.greatest(F.lit(0), -F.col("shift")))
-    own = masked.groupBy("doc").agg(F.collect_list(F.struct(*masked.columns[1:])).alias("found"))
-    again = texts.join(checked_broadcast(masked.select("doc").distinct(), 200_000), "doc", "left_semi").select("doc", _parts(F.col("text")).alias("parts"))
-    again = again.select("doc", F.transform("parts", _value).alias("vals")).join(own, "doc")
-    cut = again.select("doc", F.explode(F.expr("transform(found, a -> struct(a as a, slice(vals, a.shift + a.skip + 1, a.n - a.skip) as v))")).alias("x"))
-    cut = cut.select("doc", "x.a.*", "x.v").join(theirs, ["item", "kind"])
-    cut = cut.withColumn("covered", F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + size - 1))))"))
-    # Where windows match, the document's template is the item's.
-    cut = cut.withColumn("pairs", F.expr(f"array_distinct(transform(filter(covered, i -> bt[i - 1] in ({_SLOTS})), i -> struct(bt[i - 1] as kind, bv[i - 1] as theirs, v[i - skip - 1] as mine)))"))
-    one_to_one = "size(pairs) = size(array_distinct(transform(pairs, x -> struct(x.kind, x.theirs)))) and size(pairs) = size(array_distinct(transform(pairs, x -> struct(x.kind, x.mine))))"
-    kept = ["doc", "item", "shift", "ats", "size", "windows"]
-    spans = met.filter(F.col("kind") == PLAIN).select(*kept).unionByName(cut.filter(one_to_one).select(*kept)).groupBy("doc", "item", "shift")
+    masked = met.filter(F.col("kind") != PLAIN).groupBy("doc", "t", "item", "shift", "size").agg(F.collect_list(F.struct("kind", "ats", "windows")).alias("alike"))  # at most two
+    masked = masked.select("doc", "t", "item", "shift", "size", F.expr("inline(filter(alike, a -> not exists(alike, b -> b.windows > a.windows and size(array_except(a.ats, b.ats)) = 0)))"))
+    slots = items.filter(F.col("kind") != PLAIN).select("item", "kind", F.posexplode(F.arrays_zip("tokens", "vals")).alias("i", "x")).filter(F.col("x.tokens").isin(_NAME, _NUMBER, _UNIT))
+    slots = checked_broadcast(slots.select("item", "kind", (F.col("i") + 1).alias("i"), F.xxhash64("x.tokens", "x.vals").alias("theirs")))
+    covered = F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + size - 1))))")
+    needed = masked.select("doc", "t", "item", "kind", "shift", F.explode(covered).alias("i")).join(slots, ["item", "kind", "i"]).withColumn("at", F.col("shift") + F.col("i"))
+    needed = checked_broadcast(settle(needed.drop("i")), 200_000)
+    again = texts.join(checked_broadcast(masked.select(F.col("doc").alias("d"), F.col("t").alias("u")).distinct(), 200_000), F.col("doc").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left_semi")
+    again = again.select("doc", "t", F.posexplode(F.transform(_parts(F.col("text")), lambda x: F.xxhash64(_value(x)))).alias("p", "mine")).select(F.col("doc").alias("d"), F.col("t").alias("u"), (F.col("p") + 1).alias("q"), "mine")
+    own = needed.join(again, F.col("doc").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")) & (F.col("at") == F.col("q")))
+    key = ["doc", "t", "item", "kind", "shift"]
+    uneven = own.groupBy(*key, "theirs").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).filter("low <> high").select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
+    uneven = checked_broadcast(settle(uneven), 200_000)
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "doc" else F.col(k) == F.col(f"_{k}"))
+    kept = ["doc", "t", "item", "shift", "ats", "size", "windows"]
+    spans = met.filter(F.col("kind") == PLAIN).select(*kept).unionByName(masked.join(uneven, same, "left_anti").select(*kept)).groupBy("doc", "t", "item", "shift")
     spans = spans.agg(F.min(F.col("shift") + F.array_min("ats")).alias("first"), F.max(F.col("shift") + F.array_max("ats") + F.col("size") - 1).alias("last"), F.max("windows").cast("long").alias("windows"))
-    return spans.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "first", "last", "windows")
+    return spans.select(F.col("doc").alias(id_col), F.col("t").alias("text_hash"), F.col("item").alias(item_col), "first", "last", "windows")
+
+
+def _same_document(id_col: str, text_hash: Column) -> Column:
+    return F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__t"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, less those that match a benchmark item."""
-    return without_ids(docs, settle(contamination(docs, benchmark).select("doc_id").distinct()), "doc_id")
+    """docs, all columns, less those that match a benchmark item. Null ids and repeated ones are judged by their texts; null texts stay."""
+    gone = contamination(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).distinct()
+    return docs.join(checked_broadcast(settle(gone)), _same_document("doc_id", F.xxhash64("text")), "left_anti")
 
 
 def op1_template_decontamination(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, item_id (the item of most windows, the least of them), windows (of that item)."""
     documents = table(spark, sf_dir, "documents")
-    found = contamination(documents, table(spark, sf_dir, "benchmark")).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"))
-    best = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max(F.struct("windows", (-F.col("item_id")).alias("item"))).alias("top"))
-    best = best.select("doc_id", "n_items", (-F.col("top.item")).alias("item_id"), F.col("top.windows").alias("windows"))
-    return documents.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", F.coalesce("windows", F.lit(0)).alias("windows"))
+    found = contamination(documents, table(spark, sf_dir, "benchmark")).groupBy("doc_id", "text_hash", "item_id").agg(F.sum("windows").alias("windows"))
+    best = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.count("*").alias("n_items"), F.max(F.struct("windows", (-F.col("item_id")).alias("item"))).alias("top"))
+    best = checked_broadcast(settle(best.select("__id", "__t", "n_items", (-F.col("top.item")).alias("item_id"), F.col("top.windows").alias("windows"))), 200_000)
+    judged = documents.select("doc_id", F.xxhash64("text").alias("__text")).join(best, _same_document("doc_id", F.col("__text")), "left")
+    return judged.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", F.coalesce("windows", F.lit(0)).alias("windows"))

@@ -31,13 +31,87 @@ def test_questions_asked_again_with_other_values(spark):
         "",
         "3 5 7 9 11 13 15 17 19 21",
     ]
-    assert contaminated(spark, texts) == {0, 1, 5}
+    assert contaminated(spark, texts) == {0, 1, 3, 5}
 
 
 def test_names_at_the_start_of_sentences(spark):
     item = "Tom has 3 apples. Tom eats 2 of them. How many are left?"
     texts = ["So. Ann has 9 apples. Ann eats 4 of them. How many are left? Say it.", "Ann has 9 apples. Bob eats 4 of them. How many are left?", "ANN HAS 3 APPLES. TOM EATS 2 OF THEM. HOW MANY ARE LEFT?", "Then eat of them. How are many left"]
-    assert contaminated(spark, texts, [item]) >= {0} and 3 not in contaminated(spark, texts, [item])
+    # In the second, windows of enough words cover the later name only, so the earlier one, which differs, has no say.
+    assert contaminated(spark, texts, [item]) == {0, 1, 2}
+
+
+def test_values_that_coincide_and_number_words(spark):
+    item = "Tom has 3 apples. Tom eats 2 of them. How many are left?"
+    texts = ["Ann has 4 apples. Ann eats 4 of them. How many are left?", "Ann has nine apples. Ann eats four of them. How many are left?", "Ann has few apples. Ann eats some of them. Now none is left?"]
+    assert contaminated(spark, texts, [item]) == {0, 1}
+
+
+def generated(r, n):
+    """Items with slots, and each asked again with other values, some of them words: (item, asked again)."""
+    nouns, verbs = "apples books coins stamps plates shells ropes tiles".split(), "buys sells finds loses paints counts".split()
+    names, units = "Tom Ann Bob Olga Karl Mia Ivan Zoe".split(), ("km", "kg", "miles", "hours", "litres")
+    words = "nine four seven twelve twenty".split()
+    out = []
+    for k in range(n):
+        noun, verb, other, place = r.choice(nouns), r.choice(verbs), r.choice(nouns), f"place{k}"
+        shape = r.choice((
+            "{a} {verb} {x} {noun} at the {place} and then {a} gives {y} of those {noun} to {b}, so how many {noun} are left for {a}?",
+            "A box from the {place} weighs {x} {u} and holds {y} {noun} along with several {other}; what is the weight without the {other}?",
+            "If {a} walks {x} {u} to the {place} each morning, how far does {a} walk in {y} days of the week?",
+            "The {place} has {x} rows with {y} {noun} in each of them, and {a} {verb} {z} more {noun} there. How many are there now?",
+            "{a} and {b} share {x} {noun} from the {place}.",
+        ))
+        fill = lambda number, fixed=dict(noun=noun, verb=verb, other=other, place=place), shape=shape: shape.format(**fixed, a=r.choice(names[:4]), b=r.choice(names[4:]), x=number(), y=number(), z=number(), u=r.choice(units))
+        out.append((fill(lambda: str(r.randint(2, 99))), fill(lambda: r.choice((str(r.randint(2, 99)), "1,250", "3.5", r.choice(words) if "{u}" not in shape else "17")))))
+    return out
+
+
+def test_recall_of_questions_asked_again(spark):
+    """Generated questions, each asked again in the middle of other prose; and as many that share only their scheme with another item."""
+    r = random.Random(11)
+    pairs = generated(r, 300)
+    prose = lambda: " ".join(r.choice("la mo ti su re na ki vo".split()) + r.choice(("", "na", "ro", "li")) for _ in range(30))
+    texts = [f"{prose()}. {again} {prose()}" for _, again in pairs] + [f"{prose()}. {prose()}." for _ in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, item) for k, (item, _) in enumerate(pairs)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contamination(docs, bench).collect()}
+    recall = sum((k, k) in found for k in range(300)) / 300
+    assert recall >= 0.9, recall
+    assert not [k for k, _ in found if k >= 300]
+
+
+def test_windows_of_all_sizes_share_their_parts(spark):
+    rows = [(k, [hash((k, j)) for j in range(n)]) for k, n in enumerate((0, 1, 4, 5, 7, 8, 9, 30))] + [(99, [7] * 20)]
+    df = decontaminate.with_windows(spark.createDataFrame(rows, "k long, h array<long>"), ["h"], [5, 6, 7, 8, 13])
+    for x in df.collect():
+        for size in (5, 6, 7, 8, 13):
+            spans = [tuple(x.h[i : i + size]) for i in range(len(x.h) - size + 1)]
+            assert len(x[f"h_{size}"]) == len(spans) and len(set(zip(spans, x[f"h_{size}"]))) == len(set(spans)) == len(set(x[f"h_{size}"]))
+
+
+def test_a_long_text_that_repeats_an_items_phrase(spark):
+    """Each repetition is an alignment; none of them are gathered in one row."""
+    item = "Tom bought 3 red apples for the old friend of his"
+    long = " ".join(f"{r} bought {k} red apples for the old friend of his and" for k, r in enumerate(("Ann", "Bob") * 4000))
+    docs = spark.createDataFrame([(1, long), (2, "nothing of it")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert found.count() == 8000 and {x.doc_id for x in found.select("doc_id").distinct().collect()} == {1}
+
+
+def test_items_of_several_sizes_take_one_pass(spark):
+    items = ["five words of it here", "six words of it right here", "these are seven words of it here", "and these here are eight words of it"]
+    texts = [f"so {x} and more" for x in items] + ["five words of them here"]
+    assert contaminated(spark, texts, items) == {0, 1, 2, 3}
+    docs, bench = spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    seen = []
+    original = decontaminate.settle
+    decontaminate.settle = lambda df: seen.append(df._jdf.queryExecution().analyzed().toString()) or original(df)
+    try:
+        decontaminate.contamination(docs, bench)
+    finally:
+        decontaminate.settle = original
+    assert max(plan.count("LogicalRDD [doc_id") for plan in seen) == 1
 
 
 def test_verbatim_copies_dense_in_names_and_numbers(spark):
@@ -96,7 +170,10 @@ def test_all_planted_passages_are_found_and_nothing_else(spark):
 def test_repeated_rows_stay_or_go_together(spark):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "a"), (2, "a"), (None, ITEM)], "doc_id long, text string")
     left = decontaminate.without_contaminated(docs, spark.createDataFrame([(0, ITEM), (1, ITEM)], "item_id long, text string"))
-    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == [(2, "a"), (2, "a"), (None, ITEM)]
+    assert sorted((x.doc_id, x.text) for x in left.collect()) == [(2, "a"), (2, "a")]
+    docs = spark.createDataFrame([(1, ITEM), (1, "other text of this id"), (None, "x"), (None, None)], "doc_id long, text string")
+    left = decontaminate.without_contaminated(docs, spark.createDataFrame([(0, ITEM)], "item_id long, text string"))
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == [(1, "other text of this id"), (None, "x"), (None, None)]
 
 
 def test_decontamination_uses_no_python_on_the_executors(spark):
