@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from granary.shipping import ship
 
-#: Ids (8 bytes each) that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their columns, that may be broadcast; beyond either the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 24 << 20
+#: Bytes that a column counts for: numbers are 8 at most, strings are ids, hosts, urls and digests.
+_WIDTHS = {"string": 64, "binary": 64}
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -107,8 +109,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most max_rows rows, else df as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """df marked for broadcast if it has at most max_rows rows of at most BROADCAST_BYTES together, else df as it is (the join then shuffles)."""
+    width = sum(_WIDTHS.get(f.dataType.typeName(), 8) for f in df.schema.fields)
+    return F.broadcast(df) if df.count() <= min(max_rows, BROADCAST_BYTES // width) else df
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
