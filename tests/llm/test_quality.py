@@ -153,20 +153,166 @@ def test_toxicity_on_odd_and_empty_tables(spark):
     assert toxicity.toxicity(docs.limit(0), None, 0.0).count() == 0
 
 
-def test_gradients_of_the_recurrent_network():
+def test_gradients_are_those_of_finite_differences():
     r = np.random.default_rng(1)
-    x = r.integers(97, 100, (6, 64)).astype(np.uint8)
-    y = np.array([0, 1, 0, 1, 0, 1])
-    first = language_id.train(x, y, ["p", "q"], steps=1, batch=6, rate=0.0)
-    for p, q in zip(first.parameters(), language_id.new_network(["p", "q"]).parameters()):
-        assert np.allclose(p, q)
-    # Two languages that differ in the order of their letters only, which needs memory in either direction.
+    net = language_id.new_network(["p", "q", "r"], hidden=4, seed=2)
+    for name in ("inputs", "recurrent", "bias"):
+        setattr(net, name, [w.astype(np.float64) + (0.1 * r.standard_normal(w.shape) if name == "bias" else 0) for w in getattr(net, name)])
+    net.out, net.out_bias = net.out.astype(np.float64) * 5, net.out_bias.astype(np.float64)
+    x, y = r.integers(97, 104, (9, 6)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    _, grads = language_id.gradients(net, x, y)
+    assert len(grads) == len(net.parameters())
+    for slot, grad in zip(net.parameters(), grads):
+        places = [tuple(int(r.integers(97, 104)) if n == 256 else int(r.integers(n)) for n in slot.shape) for _ in range(25)]
+        for at in places:
+            kept, step = slot[at], 1e-6
+            slot[at] = kept + step
+            up = language_id.gradients(net, x, y)[0]
+            slot[at] = kept - step
+            down = language_id.gradients(net, x, y)[0]
+            slot[at] = kept
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-5 + 1e-3 * abs(grad[at]), (slot.shape, at)
+
+
+def test_training_learns_an_order_of_letters():
+    """Two languages that differ in the order of their letters only, which needs memory in either direction."""
     seg = np.array([[ord("ab"[(k + i) % 2]) if i % 2 else ord("aabb"[k % 4]) for k in range(64)] for i in range(200)], np.uint8)
     net = language_id.train(seg, np.arange(200) % 2, ["even", "odd"], steps=60, batch=40)
     p = language_id.probabilities(net, pa.array([bytes(s).decode() for s in seg[:10]]))
     assert [net.languages[k] for k in p.argmax(1)] == ["even", "odd"] * 5
 
 
+def labels_of_bytes(net, segment):
+    """Label probabilities of each byte of one segment, a byte and a unit at a time."""
+    n, states = net.recurrent[0].shape[0], []
+    for d in (0, 1):
+        h, out = [0.0] * n, {}
+        for t in range(len(segment)) if d == 0 else reversed(range(len(segment))):
+            w, u, b = net.inputs[d][segment[t]].tolist(), net.recurrent[d].tolist(), net.bias[d].tolist()
+            hard = lambda v: min(max(v / 4 + 0.5, 0.0), 1.0)
+            z = [hard(w[k] + b[k] + sum(h[i] * u[i][k] for i in range(n))) for k in range(n)]
+            reset = [hard(w[n + k] + b[n + k] + sum(h[i] * u[i][n + k] for i in range(n))) for k in range(n)]
+            new = [math.tanh(w[2 * n + k] + b[2 * n + k] + sum(reset[i] * h[i] * u[i][2 * n + k] for i in range(n))) for k in range(n)]
+            h = [h[k] + z[k] * (new[k] - h[k]) for k in range(n)]
+            out[t] = h
+        states.append(out)
+    found = []
+    for t in range(len(segment)):
+        both = states[0][t] + states[1][t]
+        logits = [sum(v * w for v, w in zip(both, net.out[:, c].tolist())) + float(net.out_bias[c]) for c in range(len(net.languages))]
+        top = max(logits)
+        found.append([math.exp(x - top) / sum(math.exp(v - top) for v in logits) for x in logits])
+    return found
+
+
+def test_pooled_probabilities_equal_brute_force():
+    r = random.Random(3)
+    net = language_id.new_network(["p", "q", "r"], seed=9)
+    net.out *= 30
+    texts = ["", "a", "Ab Cd", "1 2 3", None, "é漢 x", "".join(r.choice("abcdeé XYZ12.") for _ in range(200)), "z" * 64, "y" * 65]
+    got = language_id.probabilities(net, pa.array(texts, pa.string()))
+    for text, p in zip(texts, got):
+        data = (text or "").encode()
+        small = bytes(x + 32 if 65 <= x <= 90 else x for x in data)
+        total, weight = [0.0] * 3, 0
+        for at in range(0, len(small), language_id.SEGMENT):
+            segment = small[at : at + language_id.SEGMENT].ljust(language_id.SEGMENT, b" ")
+            for byte, q in zip(segment, labels_of_bytes(net, segment)):
+                if 97 <= byte <= 122 or byte >= 128:
+                    total, weight = [a + b for a, b in zip(total, q)], weight + 1
+        assert np.allclose(p, np.array(total) / max(1, weight), atol=2e-4)
+
+
+def test_scores_of_the_quality_scorer_equal_brute_force():
+    r = random.Random(6)
+    weights, bias, scale = np.random.default_rng(4).standard_normal(1 << quality_model.BITS), -0.2, 1.5
+    texts = [t for t in ODD if t is None or len(t) < 2000] + ["".join(r.choice("ab é#\n") for _ in range(r.randint(1, 90))) for _ in range(40)]
+    got = quality_model.scores_of(pa.array(texts, pa.string()), (weights, bias, scale))
+    for text, score in zip(texts, got):
+        data = (text or "").encode()
+        if not re.search(rb"[^\x20\x09-\x0d]", data):
+            assert score == 0
+            continue
+        long = data + b"\n\n"
+        total = sum(weights[((long[k] << 16 | long[k + 1] << 8 | long[k + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - quality_model.BITS] for k in range(len(data)))
+        assert abs(score - 1 / (1 + math.exp(-(total / (len(data) + 1) * scale + bias)))) < 1e-9
+
+
+def toxic_rows(r, n):
+    words = ["".join(r.choice(("ba", "de", "li", "mo", "nu", "ro", "sa")) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    rows = []
+    for k in range(n):
+        text = [r.choice(words) for _ in range(60)]
+        if k % 9 == 0:
+            for _ in range(r.randint(1, 3)):
+                text[r.randrange(60)] = r.choice(("vexed", "grumzt")) + r.choice(("", "ba", "nulide"))
+        rows.append((k, " ".join(text), int(k % 9 == 0)))
+    return rows
+
+
+def test_toxicity_scores_equal_brute_force():
+    """Every distinct word compressed with either dictionary, afresh for each text."""
+    import zstandard
+
+    rows = toxic_rows(random.Random(8), 500)
+    model = toxicity.fit(rows, sum(x[2] for x in rows), sum(1 - x[2] for x in rows))
+    plain = zstandard.ZstdCompressionParameters.from_level(model.level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False)
+    held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
+    for d in held:
+        d.precompute_compress(level=model.level)
+    machines = [zstandard.ZstdCompressor(dict_data=d, compression_params=plain) for d in held]
+    texts = [t for _, t, _ in rows[:60]] + [t for t in ODD if t is None or len(t) < 6000]
+    for text, score in zip(texts, toxicity.score_texts(model, 0.5)(texts)):
+        gains = []
+        for word in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
+            data = toxicity.CARRIER + b"".join(zlib.crc32(f" {word} "[i : i + 3].encode()).to_bytes(4, "little") for i in range(len(word)))
+            gains.append(len(machines[0].compress(data)) - len(machines[1].compress(data)))
+        reach = [g for g in gains if g >= model.gain]
+        assert score == model.scores[min(3, len(reach)), bool(reach) and max(reach) > model.gain + 3]
+
+
+def test_windows_are_counted_whole():
+    """Evidence by plain counting; nothing but the size of a dictionary bounds it."""
+    rows = toxic_rows(random.Random(5), 400)
+    documents = [toxicity._stems(toxicity.text_windows(t, 1)) for _, t, _ in rows]
+    hashes, count = toxicity.counted(iter(documents))
+    plain = collections.Counter(w for d in documents for w in d)
+    assert toxicity.named(iter(documents), hashes, count) == dict(plain)
+    weights = {w: float(n) for w, n in plain.items()}
+    small = toxicity.dictionary_of(weights, 400)
+    heaviest = sorted(weights, key=lambda w: (-weights[w], w))
+    assert len(small) == 400 + len(toxicity.CARRIER) and small[: -len(toxicity.CARRIER)].endswith(toxicity.widened(heaviest[0]))
+    assert len(toxicity.dictionary_of(weights, 10**9)) == sum(len(toxicity.widened(w)) for w in weights) + len(toxicity.CARRIER)
+
+
+def test_samples_are_bounded_however_ids_repeat(spark, monkeypatch):
+    prose = lambda k: f"Some plain words of prose number {k}, as they are written by people who write, and by nobody else. " * 3
+    poor = lambda k: f"### {k} $$$ @@ {k * 7} %% ^^ [[ ]] {{}} ~~ || BUY!!! NOW!!! {k} " * 5
+    rows = [(None, prose(k)) for k in range(800)] + [(None, poor(k)) for k in range(200)] + [(5, prose(0))] * 600 + [(k, prose(k + 1000)) for k in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+    monkeypatch.setattr(quality_model, "TRAIN_ROWS", 20)
+    monkeypatch.setattr(quality_model, "train_scorer", lambda texts, labels: seen.append((len(texts), len(set(texts)))))
+    quality_model.fit(docs)
+    assert seen and all(10 <= n <= 80 and n == distinct for n, distinct in seen)
+
+    many = spark.createDataFrame([(k % 3, prose(k)[:64], "en" if k % 2 else "de") for k in range(900)] + [(k, prose(k)[:64], "en") for k in range(900, 1000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (0, 1, 2, *range(900, 1000))] * 2, "doc_id long, toxic int")
+    sample, counts = toxicity.labelled_sample(many, labels, "toxic", {1: 30, 0: 30}, 20_000)
+    assert len(sample) == len({i for i, _, _ in sample}) <= 60 and sum(counts.values()) <= 103
+    trained = []
+    monkeypatch.setattr(language_id, "train", lambda segments, labels, languages, **more: trained.append((len(segments), languages)))
+    language_id.fit(many)
+    assert "en" in trained[0][1] and 20 <= trained[0][0] <= 106  # a text for each id and language, of 900 and 100
+
+
+def test_held_out_is_never_null(spark):
+    from granary.llm.common import held_out as column
+
+    got = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,), (5,)], "doc_id long").select("doc_id", column().alias("h")).collect()
+    assert all(x.h is (x.doc_id is not None and held_out(x.doc_id)) for x in got)
+
+
 def test_languages_on_held_out_documents(spark):
     lang = {x.doc_id: x.lang for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = language_id.op8_bigru_language(spark, SF).collect()

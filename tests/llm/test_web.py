@@ -229,6 +229,30 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
     assert len(load) == 8 and max(load.values()) < 1.05 * min(load.values())
 
 
+@pytest.mark.parametrize("same_id", [False, True])
+def test_groups_of_many_rows_and_few_bytes(spark, monkeypatch, same_id):
+    """Null texts, most rows of the table and few of its bytes, are numbered in pieces of bounded rows; also where one id (or none) has them all."""
+    rows = [(None if same_id else k, None) for k in range(3000)] + [(k, f"text {k} " * 500) for k in range(3000, 3100)]
+    seen = []
+    original = sharding.settle
+
+    def settle(df):
+        done = original(df)
+        if "part" in done.columns:
+            seen.append(max(x["count"] for x in done.groupBy("whole", "part").count().collect()))
+        return done
+
+    monkeypatch.setattr(sharding, "settle", settle)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, place int")
+    got = sharding.shard(docs, 8, rows_per_bundle=100).collect()
+    assert seen[-1] <= 400
+    slots = collections.defaultdict(list)
+    for x in got:
+        slots[x.shard].append(x.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({x.shard for x in got if x.size == 1}) == 1  # they are still one group
+
+
 def test_few_rows_and_none(spark):
     shards(spark, [(1, "only")])
     shards(spark, [])
