@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,18 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Rows of a batch between the JVM and Python. Texts average kilobytes and some are far longer; Spark's own 10,000 make batches of tens of megabytes,
-#: several of which each task holds at once.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes, of a batch between the JVM and Python. Texts average kilobytes and some are far longer; Spark's own 10,000 rows make batches of
+#: tens of megabytes, several of which each task holds at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def _number(value: str | None) -> int:
+    """A number of rows, or of bytes such as 64m or 256MB; 0 if it says neither."""
+    found = re.fullmatch(r"\s*([0-9]+)\s*([kmg]?)b?\s*", (value or "").lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
 
 
 def map_batches(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow(f, schema) in batches of at most BATCH_ROWS rows, which stays set in the session as plans are made when they run."""
+    """df.mapInArrow(f, schema) in batches of at most BATCH_ROWS rows and about BATCH_BYTES (a longer row is alone). Both options stay set in the
+    session, as plans read them when they run; lower ones are left as they are."""
     conf = df.sparkSession.conf
     ship(df.sparkSession)
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, BATCH_ROWS)
+    for name, most in _BATCH.items():
+        if not 0 < _number(conf.get(name, None)) <= most:
+            conf.set(name, most)
     return df.mapInArrow(tidied(f), schema)
 
 
@@ -81,9 +90,15 @@ def tidied(f):
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    file = done._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _folders.append(file.get())
+        done.written_to = file.get()
+    return done
 
 
+#: Folders that operators of this process have written, in order.
 _folders: list[str] = []
 
 
@@ -93,19 +108,32 @@ def own_folder(spark: SparkSession, what: str) -> str:
     return _folders[-1]
 
 
-def discard(spark: SparkSession) -> None:
-    """Remove all folders that operators of this process have written, once their results have been used."""
-    jvm = spark.sparkContext._jvm
-    while _folders:
-        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """Where discard() may start: folders that are made from here on."""
+    return len(_folders)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Remove the folders that were written since a mark, once what was read from them has been used; but not those of the DataFrames to keep.
+
+    Operators do so with what only led to their results. The rest a result reads from lazily: call it when the result has been used.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = [df.written_to for df in keep]
+    for folder in _folders[since:]:
+        if folder not in kept:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    _folders[since:] = kept
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: a cut in the lineage that keeps columns prunable."""
     path = own_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
+    done.written_to = path
+    return done
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import checked_broadcast, settle, table
+from granary.llm.common import checked_broadcast, discard, mark, settle, table
 
 WINDOW = 8
 #: Items of fewer tokens than this match nothing; items of this to WINDOW - 1 tokens match as a whole.
@@ -183,15 +183,19 @@ def _same_document(id_col: str, text_hash: Column) -> Column:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, less those that match a benchmark item. Null ids and repeated ones are judged by their texts; null texts stay."""
-    gone = contamination(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).distinct()
-    return docs.join(checked_broadcast(settle(gone)), _same_document("doc_id", F.xxhash64("text")), "left_anti")
+    since = mark()
+    gone = settle(contamination(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).distinct())
+    discard(docs.sparkSession, since, keep=(gone,))
+    return docs.join(checked_broadcast(gone), _same_document("doc_id", F.xxhash64("text")), "left_anti")
 
 
 def op1_template_decontamination(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, item_id (the item of most windows, the least of them), windows (of that item)."""
-    documents = table(spark, sf_dir, "documents")
+    documents, since = table(spark, sf_dir, "documents"), mark()
     found = contamination(documents, table(spark, sf_dir, "benchmark")).groupBy("doc_id", "text_hash", "item_id").agg(F.sum("windows").alias("windows"))
     best = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).agg(F.count("*").alias("n_items"), F.max(F.struct("windows", (-F.col("item_id")).alias("item"))).alias("top"))
-    best = checked_broadcast(settle(best.select("__id", "__t", "n_items", (-F.col("top.item")).alias("item_id"), F.col("top.windows").alias("windows"))), 200_000)
+    best = settle(best.select("__id", "__t", "n_items", (-F.col("top.item")).alias("item_id"), F.col("top.windows").alias("windows")))
+    discard(spark, since, keep=(best,))
+    best = checked_broadcast(best, 200_000)
     judged = documents.select("doc_id", F.xxhash64("text").alias("__text")).join(best, _same_document("doc_id", F.col("__text")), "left")
     return judged.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", F.coalesce("windows", F.lit(0)).alias("windows"))

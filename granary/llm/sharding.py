@@ -19,7 +19,7 @@ from random import Random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checked_broadcast, settle, table
+from granary.llm.common import checked_broadcast, discard, mark, settle, table
 
 ROWS_PER_BUNDLE, LEAST_BUNDLES = 50_000, 2048
 #: A group of at least this share of a shard is packed by itself, in pieces of at most about this share.
@@ -129,6 +129,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"), F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.sha2(t, 256)).alias("group")
     )
+    since = mark()
     rows = settle(rows.withColumn("place", F.monotonically_increasing_id()))  # a number for each row, kept as it is from here on
     totals = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     total, count = totals["bytes"] or 0, totals["n"]
@@ -154,6 +155,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         cut = F.broadcast(docs.sparkSession.createDataFrame(heavy, "whole string, part long, cuts long"))
         again = F.when(F.col("cuts").isNotNull(), -1 - F.pmod(F.xxhash64("place"), F.col("cuts")) - F.col("part") * count).otherwise(F.col("part"))
         named = settle(named.join(cut, ["whole", "part"], "left").select("id", "size", "text_crc32", "place", "whole", again.alias("part")))
+    discard(docs.sparkSession, since, keep=(named,))
     items = sorted(((r["whole"] or "", r["part"], r["bytes"], r["n"]) for r in parts().collect()), key=lambda r: (r[0], r[1]))
     units: dict = {}  # what is packed: bundles, whole groups, pieces of groups over a shard
     group_bytes: dict[str, int] = {}

@@ -265,7 +265,12 @@ def read_archives(paths: DataFrame, path_col: str = "path", payloads: bool = Tru
 
 
 def op7_warc_salvage(spark, sf_dir: str) -> DataFrame:
-    """Per page, as read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per page, as read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The archives were just written, so a gap in one is an error and fails the query: no page is left out in silence.
+    """
     folder = own_folder(spark, "warc")
-    archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(archives, payloads=False).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = read_archives(write_archives(table(spark, sf_dir, "pages"), folder), payloads=False)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "path", F.lit("at"), F.col("start").cast("string"), "gap"))
+    page = F.when(F.col("gap").isNotNull(), lost.cast("long")).otherwise(F.col("page_id"))
+    return read.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -165,6 +165,27 @@ def test_gaps_are_rows_of_the_table(spark, tmp_path):
     assert gaps and len(rows) - len(gaps) >= 10 and sum(x.end - x.start for x in rows) == len(data)
 
 
+def test_a_gap_in_a_fresh_archive_fails_the_query(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"http://x/{k}", f"page {k}") for k in range(6)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(warc, "member", lambda data, level=3: b"\x1f\x8b\x08 broken")
+    with pytest.raises(Exception, match="a gap in"):
+        warc.op7_warc_salvage(spark, str(tmp_path)).collect()
+
+
+def test_folders_are_discarded(spark, tmp_path):
+    from granary.llm import common, near_dedup
+
+    since = common.mark()
+    docs = spark.createDataFrame([(k, f"some words of a text that is number {k // 2} of them") for k in range(20)], "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs)
+    left = common._folders[since:]
+    assert len(left) == 2 and all(os.path.isdir(f.removeprefix("file:")) for f in left)
+    assert len({x.class_id for x in found.collect()}) == 10
+    common.discard(spark, since)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in left) and common.mark() == since
+    assert [common._number(x) for x in ("10000", "64m", "256MB", "-1", None)] == [10000, 64 << 20, 256 << 20, 0, 0]
+
+
 def best_fit(sizes, capacity):
     rooms, out = [], [0] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
