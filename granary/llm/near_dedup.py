@@ -11,12 +11,10 @@ register; (2) texts of the same words are one (a min() per digest, combined befo
 members meet the bucket's most central member, which is linear in the bucket; (4) candidate pairs are verified by the exact
 Jaccard similarity of their shingle sets; (5) links are closed to classes; members of a bucket that are then still in
 different classes are compared with each other too, unless their sketches agree in fewer registers than all but 3 in
-100,000 pairs of the similarity do. A bucket of more than BLOCK members isn't compared as it is: its members are dealt to cells by each
-further band, so that documents that share little but a passage part, and a cell of more than BLOCK members is compared
-in pairs of blocks, each a task's work of bounded size. No cap is set on buckets, cells or partners.
+100,000 pairs of the similarity do. A bucket of more than BLOCK members is compared in pairs of blocks, each a task's work of bounded size:
+the same pairs as in one place, so that no result depends on how large a bucket is. No cap is set on buckets or partners.
 
-A pair of the similarity shares one of the BANDS bands but with probability 0.00001, and two of them, which a large bucket asks for, but with
-probability 0.0002.
+A pair of the similarity shares one of the BANDS bands but with probability 0.00001.
 """
 
 from __future__ import annotations
@@ -36,7 +34,7 @@ from granary.llm.components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 7
-#: Members of a bucket or a cell that are compared with each other in one place.
+#: Members of a bucket that are compared with each other in one place.
 BLOCK = 2048
 #: Bits of each register that a document carries for the comparison of sketches.
 PLANES = 4
@@ -173,7 +171,7 @@ def _agreement(x: str, y: str, k: int):
 
 
 def _mixed(members: DataFrame, place: str) -> DataFrame:
-    """(place, n): the buckets or cells whose members are of more than one class, and how many members they have."""
+    """(at, n): the buckets whose members are of more than one class, and how many members they have."""
     found = members.groupBy(place).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
     return checked_broadcast(settle(found.filter("low < high").select(F.col(place).alias("at"), "n")))
 
@@ -181,26 +179,29 @@ def _mixed(members: DataFrame, place: str) -> DataFrame:
 def _apart(labelled: DataFrame, sketches: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
     """(a, b), a < b: pairs of different classes that share a bucket and whose sketches leave the similarity open, each once.
 
-    labelled: (key, band, doc, class). A pair is looked at in the first band that it shares, if that bucket is small, else in the cell of its first
-    two shared bands.
+    labelled: (key, band, doc, class). A pair is looked at in the first band that it shares, however large that bucket is: block only says in how
+    many places the members of one bucket meet, not which of them do.
     """
     mixed = _mixed(labelled, "key")
     apart = settle(labelled.join(mixed, F.col("key") == F.col("at")).select("key", "band", "doc", "class", "n"))
     docs = checked_broadcast(apart.select(F.col("doc").alias("d")).distinct())
     theirs = settle(sketches.join(docs, F.col("doc") == F.col("d"), "left_semi").dropDuplicates(["doc"]))
-    small = apart.filter(F.col("n") <= block).select(F.xxhash64("key").alias("cell"), F.col("band").alias("upto"), F.lit(0).alias("shared"), "doc", "class")
-    large = apart.filter(F.col("n") > block).join(theirs.select("doc", "keys"), "doc").select("key", "band", "doc", "class", F.posexplode("keys").alias("j", "other")).filter("j > band")
-    large = large.select(F.xxhash64("key", "other", F.lit(1)).alias("cell"), F.col("j").alias("upto"), F.lit(1).alias("shared"), "doc", "class")
-    cells = settle(small.unionByName(large))
-    cells = cells.join(_mixed(cells, "cell"), F.col("cell") == F.col("at")).select("cell", "upto", "shared", "doc", "class", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cells = written(cells.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(theirs, "doc"), "cells")
+    # Of a large bucket the members of its largest class, which need not meet each other, have the first blocks; the others have the rest.
+    most = apart.filter(F.col("n") > block).groupBy("key", "class").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "class")).alias("top"))
+    most = checked_broadcast(settle(most.select(F.col("key").alias("large"), "top.m", F.col("top.class").alias("main"))))
+    cells = apart.join(most, F.col("key") == F.col("large"), "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    cells = cells.withColumn("from", F.ceil(F.col("m") / block).cast("int")).withColumn("blocks", F.col("from") + F.ceil((F.col("n") - F.col("m")) / block).cast("int"))
+    dealt = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when(F.col("class").eqNullSafe(F.col("main")), dealt(F.col("from"))).otherwise(F.col("from") + dealt(F.col("blocks") - F.col("from")))
+    cells = cells.select(F.col("key").alias("cell"), F.col("band").alias("upto"), "doc", "class", "from", "blocks", own.alias("own"))
+    cells = written(cells.join(theirs, "doc"), "cells")
     # Two blocks meet in one place: the first from below, the second from above.
-    one = cells.withColumn("q", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumn("p", F.col("own")).alias("x")
-    two = cells.withColumn("p", F.explode(F.sequence(F.lit(0), "own"))).withColumn("q", F.col("own")).alias("y")
+    one = cells.withColumn("q", F.explode(F.sequence(F.greatest("own", "from"), F.col("blocks") - 1))).withColumn("p", F.col("own")).alias("x")
+    two = cells.filter(F.col("own") >= F.col("from")).withColumn("p", F.explode(F.sequence(F.lit(0), "own"))).withColumn("q", F.col("own")).alias("y")
     meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
     unlike = ((F.col("x.p") < F.col("x.q")) | (F.col("x.doc") < F.col("y.doc"))) & (F.col("x.class") != F.col("y.class"))
     open_yet = _agreement("x.bits", "y.bits", k) >= least_agreement(k, similarity)
-    first = F.expr("size(filter(zip_with(slice(x.keys, 1, x.upto), slice(y.keys, 1, x.upto), (m, n) -> m = n), e -> e)) = x.shared")
+    first = F.expr("not exists(zip_with(slice(x.keys, 1, x.upto), slice(y.keys, 1, x.upto), (m, n) -> m = n), e -> e)")
     return one.join(two, meet & unlike & open_yet & first).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 

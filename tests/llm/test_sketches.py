@@ -166,6 +166,37 @@ def test_pairs_of_blocks_meet_once(spark):
         assert got == [(a, b) for a in range(90) for b in range(a + 1, 90) if a % 7 != b % 7]
 
 
+def test_pairs_that_share_one_band_meet_however_large_its_bucket_is(spark):
+    """Buckets of more members than a block, whose members share no other band; one class has most of the members of the second bucket."""
+    bits = [0] * (near_dedup.PLANES * 6)
+    rows = [(100, 3, d, d) for d in range(30)] + [(200, 5, d, 40 if d < 75 else d) for d in range(40, 80)]
+    labelled = spark.createDataFrame(rows, "key long, band int, doc long, class long")
+    sketches = spark.createDataFrame([(d, [key if j == band else 1000 * d + j + 1000 for j in range(48)], bits) for key, band, d, _ in rows], "doc long, keys array<long>, bits array<long>")
+    want = sorted((a, b) for (k, _, a, x), (m, _, b, y) in itertools.combinations(rows, 2) if k == m and x != y)
+    for block in (1, 4, 8, 200):
+        got = sorted(tuple(x) for x in near_dedup._apart(labelled, sketches, 336, 0.8, block).collect())
+        assert got == want, block
+
+
+def one_band_rows():
+    """Forty texts of one passage that are no near copies of each other, each with two near copies."""
+    r = random.Random(31)
+    word = lambda: f"z{r.randrange(10**7)}"
+    passage, rows = [word() for _ in range(60)], []
+    for k in range(40):
+        text = passage + [word() for _ in range(40)]
+        rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join([*text, "end"])), (3 * k + 2, " ".join(["start", *text]))]
+    return rows
+
+
+def test_classes_do_not_depend_on_the_size_of_a_block(spark):
+    """With one band all pairs share at most one."""
+    rows = one_band_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs, bands=1, rows=1, block=block).collect()} for block in (4, 2048)]
+    assert found[0] == found[1] and len(set(found[1].values())) < len(rows) / 2
+
+
 def test_copies_of_which_one_repeats_a_passage(spark):
     r = random.Random(5)
     rows = []
