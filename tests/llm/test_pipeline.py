@@ -1,5 +1,7 @@
 """The pipeline's stages one by one, on the test tables and on odd ones."""
 
+import random
+
 import corpus_pipeline
 from granary.llm import decontaminate, near_dedup, quality_model, spiece, toxicity
 
@@ -46,3 +48,22 @@ def test_odd_rows_and_an_empty_table_pass_all_stages(spark):
             docs = stage(spark, docs, SF)
             assert len(docs.columns) == (7 if k < 4 else 2)
         docs.collect()
+
+
+def test_near_copies_that_stay_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    """The stage with blocks of few members and with larger ones, on texts of which many share just one band."""
+    r = random.Random(31)
+    word = lambda: f"z{r.randrange(10**7)}"
+    passage, rows = [word() for _ in range(60)], []
+    for k in range(40):
+        text = passage + [word() for _ in range(40)]
+        rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join([*text, "end"])), (3 * k + 2, " ".join(["start", *text]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = near_dedup.near_duplicates.__kwdefaults__
+    monkeypatch.setitem(usual, "bands", 1)
+    monkeypatch.setitem(usual, "rows", 1)
+    left = []
+    for block in (4, 2048):
+        monkeypatch.setitem(usual, "block", block)
+        left.append(sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()))
+    assert left[0] == left[1] and len(left[1]) < len(rows) / 2
