@@ -180,12 +180,13 @@ def _apart(labelled: DataFrame, sketches: DataFrame, k: int, similarity: float,
     """(a, b), a < b: pairs of different classes that share a bucket and whose sketches leave the similarity open, each once.
 
     labelled: (key, band, doc, class). A pair is looked at in the first band that it shares, however large that bucket is: block only says in how
-    many places the members of one bucket meet, not which of them do.
+    many places the members of one bucket meet, not which of them do. sketches: (doc, keys, bits); an id that repeats has one for each of its texts, and
+    meets others in a bucket by those of its texts that are in it.
     """
     mixed = _mixed(labelled, "key")
-    apart = settle(labelled.join(mixed, F.col("key") == F.col("at")).select("key", "band", "doc", "class", "n"))
+    apart = settle(labelled.join(mixed, F.col("key") == F.col("at")).select("key", "band", "doc", "class", "n").distinct())
     docs = checked_broadcast(apart.select(F.col("doc").alias("d")).distinct())
-    theirs = settle(sketches.join(docs, F.col("doc") == F.col("d"), "left_semi").dropDuplicates(["doc"]))
+    theirs = settle(sketches.join(docs, F.col("doc") == F.col("d"), "left_semi").distinct())
     # Of a large bucket the members of its largest class, which need not meet each other, have the first blocks; the others have the rest.
     most = apart.filter(F.col("n") > block).groupBy("key", "class").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "class")).alias("top"))
     most = checked_broadcast(settle(most.select(F.col("key").alias("large"), "top.m", F.col("top.class").alias("main"))))
@@ -194,7 +195,8 @@ def _apart(labelled: DataFrame, sketches: DataFrame, k: int, similarity: float,
     dealt = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(n, F.lit(1))).cast("int")
     own = F.when(F.col("class").eqNullSafe(F.col("main")), dealt(F.col("from"))).otherwise(F.col("from") + dealt(F.col("blocks") - F.col("from")))
     cells = cells.select(F.col("key").alias("cell"), F.col("band").alias("upto"), "doc", "class", "from", "blocks", own.alias("own"))
-    cells = written(cells.join(theirs, "doc"), "cells")
+    there = (F.col("doc") == F.col("d")) & (F.get("keys", "upto") == F.col("cell"))
+    cells = written(cells.join(theirs.withColumnRenamed("doc", "d"), there).drop("d"), "cells")
     # Two blocks meet in one place: the first from below, the second from above.
     one = cells.withColumn("q", F.explode(F.sequence(F.greatest("own", "from"), F.col("blocks") - 1))).withColumn("p", F.col("own")).alias("x")
     two = cells.filter(F.col("own") >= F.col("from")).withColumn("p", F.explode(F.sequence(F.lit(0), "own"))).withColumn("q", F.col("own")).alias("y")

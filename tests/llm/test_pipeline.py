@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from granary.llm import decontaminate, near_dedup, quality_model, spiece, toxicity
+from granary.llm import common, decontaminate, near_dedup, quality_model, spiece, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +67,37 @@ def test_near_copies_that_stay_do_not_depend_on_the_size_of_a_bucket(spark, monk
         monkeypatch.setitem(usual, "block", block)
         left.append(sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()))
     assert left[0] == left[1] and len(left[1]) < len(rows) / 2
+
+
+def test_near_copies_that_stay_do_not_depend_on_where_rows_of_one_id_lie(spark, monkeypatch):
+    """Near copies that only meet apart from the centres of their buckets, one of each two with another text of its id, in files of different sizes."""
+    r = random.Random(31)
+    word = lambda: f"z{r.randrange(10**7)}"
+    passage, rows = [word() for _ in range(88)], []
+    for k in range(40):
+        text = passage + [word() for _ in range(12)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text, "end"])), (2 * k + 1, " ".join(word() for _ in range(100)))]
+    usual = near_dedup.near_duplicates.__kwdefaults__
+    monkeypatch.setitem(usual, "bands", 8)
+    monkeypatch.setitem(usual, "rows", 1)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        for dealt in (docs.coalesce(1), docs.repartition(7)):
+            assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, dealt, SF).collect()) == list(range(0, 80, 2))
+
+
+def test_no_stage_depends_on_the_bounds_of_what_is_done_at_once(spark, monkeypatch):
+    """All stages with joins that shuffle, blocks of few members and batches of few rows, and as usual."""
+    batch, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(common.checked_broadcast, "__defaults__", (0,))
+            monkeypatch.setitem(near_dedup.near_duplicates.__kwdefaults__, "block", 3)
+            spark.conf.set(batch, 37)
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = common.written(stage(spark, docs, SF), "stage")
+            found.append(sorted((tuple(x) for x in docs.collect()), key=str))
+    spark.conf.unset(batch)
+    n = len(corpus_pipeline.STAGES)
+    assert found[:n] == found[n:] and found[n - 1]
