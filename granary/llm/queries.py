@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, language_id, near_dedup, quality_model, quality_rules, sharding, spiece, toxicity, url_filter, warc
+from granary.llm import decontaminate, language_id, near_dedup, quality_model, quality_rules, sharding, spiece, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bigru_language": language_id.op8_bigru_language,
     "op9_best_fit_shards": sharding.op9_best_fit_shards,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
+    "op13_block_pruned_topk": topk.op13_block_pruned_topk,
     # Parts of the second and the ninth that SQL can express.
     "quality_rule_counts": quality_rules.quality_rule_counts,
     "shard_report": sharding.shard_report,
@@ -115,6 +116,17 @@ SELECT count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BI
 """
 _SIZES_SQL = "SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents"
 
+#: All products of queries and rows.
+_TOP_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT q.rn, q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score FROM e q JOIN e ON q.vec_id % 20 = 0 AND q.rn <> e.rn
+)
+SELECT query_id, (row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "quality_rule_counts": _COUNTS_SQL,
     "shard_report": _SHARDS_SQL,
@@ -122,4 +134,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_redirect_classes": _URL_SQL,
     "op7_warc_salvage": _WARC_SQL,
     "op10_prob_minhash": _NEAR_SQL,
+    "op13_block_pruned_topk": _TOP_SQL,
 }

@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 14))
 
 
 HOSTS = ("a.xyz", "b.xyz", "C.xyz", "spam.net", "w.example.net", "ok.org", "www.example.com", "d.xyz")
