@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, language_id, near_dedup, quality_model, quality_rules, sharding, spiece, topk, toxicity, url_filter, warc
+from granary.llm import decontaminate, language_id, merkle, near_dedup, quality_model, quality_rules, sharding, spiece, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bigru_language": language_id.op8_bigru_language,
     "op9_best_fit_shards": sharding.op9_best_fit_shards,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
+    "op11_merkle_blocks": merkle.op11_merkle_blocks,
     "op13_block_pruned_topk": topk.op13_block_pruned_topk,
     # Parts of the second and the ninth that SQL can express.
     "quality_rule_counts": quality_rules.quality_rule_counts,
@@ -116,6 +117,39 @@ SELECT count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BI
 """
 _SIZES_SQL = "SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents"
 
+
+
+def _merkle_sql(low: int = 5, high: int = 4) -> str:
+    """The tree level by level: low levels below the subroots (16^low leaves a source at most), high ones above them."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 of the id as text: each byte is mixed in, then eight steps of one bit.
+    turns = "list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce({turns}, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"
+    parts = [
+        f"""p AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf('text')} END AS other FROM documents)""",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM p)",
+        "s0 AS (SELECT g, i, leaf AS h FROM d)",
+    ]
+
+    def levels(name: str, n: int) -> None:
+        for k in range(n):
+            parts.append(f"{name}c{k} AS (SELECT g, count(*) AS n FROM {name}{k} GROUP BY g)")
+            parts.append(f"{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM {name}{k} JOIN {name}c{k} USING (g) GROUP BY g, i // 16)")
+            parts.append(f"{name}p{k} AS (SELECT x.g, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r, any_value(n) > 1 AS there FROM {name}{k} x JOIN {name}{k} y ON x.g = y.g AND x.i // 16 = y.i // 16 JOIN {name}c{k} c ON c.g = x.g GROUP BY x.g, x.i)")
+
+    levels("s", low)
+    parts.append(f"r0 AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, g AS source FROM s{low})")
+    levels("r", high)
+    parts.append("way0 AS (SELECT d.doc_id, d.leaf, d.g, d.i, d.other AS node, '' AS proof FROM d)")
+    for k in range(low):
+        parts.append(f"way{k + 1} AS (SELECT w.doc_id, w.leaf, w.g, w.i // 16 AS i, CASE WHEN there THEN sha256(l || node || r) ELSE node END AS node, proof || l || r AS proof FROM way{k} w JOIN sp{k} p ON p.g = w.g AND p.i = w.i)")
+    parts.append(f"up0 AS (SELECT w.doc_id, w.leaf, r0.h AS subroot, r0.i, w.node, w.proof FROM way{low} w JOIN r0 ON r0.source = w.g)")
+    for k in range(high):
+        parts.append(f"up{k + 1} AS (SELECT w.doc_id, w.leaf, w.subroot, w.i // 16 AS i, CASE WHEN there THEN sha256(l || node || r) ELSE node END AS node, proof || l || r AS proof FROM up{k} w JOIN rp{k} p ON p.i = w.i)")
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, leaf, subroot, r{high}.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r{high}.h AS verified FROM up{high}, r{high}"
+
+
 #: All products of queries and rows.
 _TOP_SQL = """
 WITH e AS (
@@ -134,5 +168,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_redirect_classes": _URL_SQL,
     "op7_warc_salvage": _WARC_SQL,
     "op10_prob_minhash": _NEAR_SQL,
+    "op11_merkle_blocks": _merkle_sql(),
     "op13_block_pruned_topk": _TOP_SQL,
 }
