@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, language_id, merkle, near_dedup, quality_model, quality_rules, sharding, spiece, topk, toxicity, url_filter, warc
+from granary.llm import decontaminate, divergence, language_id, merkle, near_dedup, quality_model, quality_rules, sharding, spiece, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_shards": sharding.op9_best_fit_shards,
     "op10_prob_minhash": near_dedup.op10_prob_minhash,
     "op11_merkle_blocks": merkle.op11_merkle_blocks,
+    "op12_wide_term_divergence": divergence.op12_wide_term_divergence,
     "op13_block_pruned_topk": topk.op13_block_pruned_topk,
     # Parts of the second and the ninth that SQL can express.
     "quality_rule_counts": quality_rules.quality_rule_counts,
@@ -150,6 +151,38 @@ def _merkle_sql(low: int = 5, high: int = 4) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT doc_id, leaf, subroot, r{high}.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r{high}.h AS verified FROM up{high}, r{high}"
 
 
+#: All terms of all groups against each other.
+_TERMS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), w AS (
+  SELECT rn, lang, source, unnest(t) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rn) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), n AS (
+  SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(n, 0) + v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(n) + any_value(v)) AS q FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), parts AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs z ON z.lang = x.lang AND z.source = x.source AND z.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
 #: All products of queries and rows.
 _TOP_SQL = """
 WITH e AS (
@@ -169,5 +202,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc_salvage": _WARC_SQL,
     "op10_prob_minhash": _NEAR_SQL,
     "op11_merkle_blocks": _merkle_sql(),
+    "op12_wide_term_divergence": _TERMS_SQL,
     "op13_block_pruned_topk": _TOP_SQL,
 }
