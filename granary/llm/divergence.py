@@ -1,8 +1,8 @@
 """Source divergence audit: how the word use of each source differs from that of the others of its language, by wide term vectors.
 
-(1) Each text becomes its distinct terms with their counts (sorted and cut into runs, in the row); sums by (language, source, term) are combined
-before they are shuffled. (2) Terms in enough documents are kept, and each is pivoted into one array of counts, indexed by the sources of its
-language. (3) Higher-order functions turn a term's array into shares and emit its contribution to each pair of sources; sums by pair are
+(1) Each text becomes its terms, and its distinct terms once more; counts of both by (language, source, term) are combined before they are
+shuffled. (2) Terms in enough documents are kept, and each is pivoted into one array of counts, indexed by the sources of its
+language. (3) Higher-order functions turn a term's array into shares and emit those that meet for each pair of sources; sums of contributions by pair are
 combined map-side, so a pair travels once from each task. A pair of sources neither of which has the term contributes the same for every
 such term: that amount times the number of kept terms is added at the end and only what differs from it is emitted, so a term costs the
 number of its sources times that of all, not all by all.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import checked_broadcast, discard, mark, settle, table, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,13 +25,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, c, docs) of docs (lang, source, text): occurrences, and rows with the term."""
-    rows = docs.select("lang", "source", F.array_sort(F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(TERM), F.lit(0))).alias("t"))
-    # Ends of the runs of equal terms, from 1.
-    ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda e: (e == F.size("t")) | (F.get("t", e) != F.get("t", e - 1)))
-    rows = rows.filter(F.size("t") > 0).withColumn("ends", ends)
-    runs = F.transform("ends", lambda e, k: F.struct(F.get("t", e - 1).alias("term"), (e - F.when(k > 0, F.get("ends", k - 1)).otherwise(F.lit(0))).alias("n")))
-    each = rows.select("lang", "source", F.explode(runs).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum(F.col("x.n").cast("long")).alias("c"), F.count("*").alias("docs"))
+    words = F.array_remove(F.split(F.translate("text", _UPPER, _LOWER), NO_TERM), "")
+    rows = docs.select("lang", "source", words.alias("t"))
+    # All occurrences, and after them each distinct term once more, for the count of documents.
+    each = rows.select("lang", "source", F.size("t").alias("n"), F.posexplode(F.concat("t", F.array_distinct("t"))).alias("k", "term"))
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("k") < F.col("n")).alias("c"), F.count_if(F.col("k") >= F.col("n")).alias("docs"))
 
 
 def _div(x: Column, y: Column) -> Column:
@@ -52,28 +50,30 @@ def apart(p: Column, q: Column) -> Column:
 
 
 def wide_terms(counts: DataFrame, sources: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, some): of each term in at least least_docs documents of its language the counts above 0, with the place of their source.
+    """(lang, term, c, some): of each term in at least least_docs documents of its language the count, and by the places of sources those above 0.
 
     sources: (lang, source, at). counts: as term_counts gives them.
     """
     placed = counts.join(checked_broadcast(sources), ["lang", "source"])
-    found = placed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("at", "c"))).alias("some"))
-    return found.filter(F.col("docs") >= least_docs).select("lang", "term", "some")
+    found = placed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("some"))
+    return found.filter(F.col("docs") >= least_docs).select("lang", "term", F.col("all").alias("c"), "some")
 
 
-def _contributions() -> Column:
-    """What a term adds to each pair beyond what a term that neither of them has adds: all pairs with a source that has it."""
-    s = F.size("sources")
+def _pair_sums(known: DataFrame) -> DataFrame:
+    """(lang, i, j, v): what the terms that source i or j has, or both, add to the pair beyond what as many that neither has would.
 
-    def of(i: Column, j: Column) -> Column:
-        value = apart(F.get("p", i), F.get("p", j)) - apart(F.get("base", i), F.get("base", j))
-        return F.struct((i * s + j).alias("pair"), value.alias("v"))
-
-    def one(e: Column) -> Column:
-        others = F.filter(F.sequence(F.lit(0), s - 1), lambda j: j != e["at"])
-        return F.flatten(F.transform(others, lambda j: F.when(F.get("counts", j) > 0, F.array(of(e["at"], j))).otherwise(F.array(of(e["at"], j), of(j, e["at"])))))
-
-    return F.flatten(F.transform("some", one))
+    known: (lang, v, totals, base, some). A share that equals that of no occurrence contributes as such, whatever the count.
+    """
+    dense = F.transform("base", lambda b, j: F.when(F.try_element_at("some", j).isNull(), b).otherwise(share(F.try_element_at("some", j), F.get("totals", j), F.col("v"))))
+    vectors = known.select("lang", "base", dense.alias("p"))
+    here = vectors.select("lang", "base", "p", F.posexplode("p").alias("i", "x")).withColumn("y", F.get("base", "i")).filter("x != y")
+    # Of a source that has the term: to all others, and back from those that don't have it. Lambdas are interpreted, sums are compiled, so the
+    # function emits the shares that meet and their arithmetic is in the sum.
+    meet = F.zip_with("p", "base", lambda q, b: F.struct(q.alias("q"), b.alias("b")))
+    each = here.select("lang", "i", "x", "y", F.posexplode(meet).alias("j", "e"))
+    back = F.when(F.col("e.q") == F.col("e.b"), apart(F.col("e.b"), F.col("x")) - apart(F.col("e.b"), F.col("y")))
+    sums = each.groupBy("lang", "i", "j").agg(F.sum(apart(F.col("x"), F.col("e.q"))).alias("forth"), F.sum(back).alias("back"), F.count("*").alias("n"))
+    return sums.filter("i != j")
 
 
 def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", *, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -90,26 +90,26 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     groups = settle(docs.select("lang", "source").distinct())
     sources = settle(groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1))
     wide = written(wide_terms(term_counts(docs), sources, least_docs), "terms")
-    each = wide.select("lang", F.explode("some").alias("x")).groupBy("lang", F.col("x.at").alias("at")).agg(F.sum("x.c").alias("n"))
-    kept = wide.groupBy("lang").agg(F.count("*").alias("v"))
+    each = wide.select("lang", F.explode("some").alias("at", "c")).groupBy("lang", "at").agg(F.sum("c").alias("n"))
+    kept = wide.groupBy("lang").agg(F.count("*").alias("v"), F.sum("c").alias("whole"))
     placed = sources.join(each, ["lang", "at"], "left").select("lang", F.struct("at", "source", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
     langs = placed.groupBy("lang").agg(F.array_sort(F.collect_list("x")).alias("x")).join(kept, "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    langs = langs.select("lang", "v", F.transform("x", lambda x: x["source"]).alias("sources"), F.transform("x", lambda x: x["n"]).alias("totals"))
+    langs = langs.select("lang", "v", "whole", F.transform("x", lambda x: x["source"]).alias("sources"), F.transform("x", lambda x: x["n"]).alias("totals"))
+    # One row for each language: places and totals of its sources, and their shares of a term that they don't have.
     langs = settle(langs.withColumn("base", F.transform("totals", lambda n: share(F.lit(0).cast("long"), n, F.col("v")))))
-    # One row for each language: places and totals of its sources.
     known = wide.join(checked_broadcast(langs), "lang")
-    counts = F.map_from_entries("some")
-    known = known.withColumn("counts", F.transform(F.sequence(F.lit(0), F.size("sources") - 1), lambda j: F.coalesce(F.try_element_at(counts, j), F.lit(0).cast("long"))))
-    pairs = known.withColumn("p", F.transform("counts", lambda c, j: share(c, F.get("totals", j), F.col("v"))))
-    pairs = pairs.select("lang", F.explode(_contributions()).alias("x")).groupBy("lang", "x.pair").agg(F.sum("x.v").alias("more"))
-    every = F.transform(F.sequence(F.lit(0), F.size("sources") * F.size("sources") - 1), lambda k: F.struct(k.alias("pair"), F.floor(k / F.size("sources")).cast("int").alias("i"), F.pmod(k, F.size("sources")).alias("j")))
-    every = langs.select("lang", "v", "sources", "base", F.explode(every).alias("x")).filter("x.i != x.j")
-    constant = F.when(F.col("v") > 0, F.col("v") * apart(F.get("base", F.col("x.i")), F.get("base", F.col("x.j")))).otherwise(F.lit(0))
-    every = every.select("lang", "x.pair", F.get("sources", F.col("x.i")).alias("source"), F.get("sources", F.col("x.j")).alias("item"), constant.alias("constant"))
-    pairs = every.join(pairs, ["lang", "pair"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("constant") + F.coalesce("more", F.lit(0))).alias("value"))
-    whole = share(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y), F.aggregate("totals", F.lit(0).cast("long"), lambda x, y: x + y), F.col("v"))
-    own = known.withColumn("q", whole).withColumn("x", F.explode("some")).withColumn("p", share(F.col("x.c"), F.get("totals", F.col("x.at")), F.col("v")))
-    terms = own.filter("p > q").select("lang", F.get("sources", F.col("x.at")).alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    sums = _pair_sums(known)
+    both = sums.select("lang", "i", "j", "forth", "n", F.lit(0).cast("long").alias("back"))
+    both = both.unionByName(sums.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.lit(0).cast("long").alias("forth"), F.lit(0).cast("long").alias("n"), F.coalesce("back", F.lit(0)).alias("back")))
+    both = both.groupBy("lang", "i", "j").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back"), F.sum("n").alias("n"))
+    every = langs.select("lang", "v", "sources", "base", F.posexplode("sources").alias("i", "source"))
+    every = every.select("*", F.posexplode("sources").alias("j", "item")).filter("i != j").withColumn("none", F.when(F.col("v") > 0, apart(F.get("base", "i"), F.get("base", "j"))).otherwise(F.lit(0)))
+    every = every.join(both, ["lang", "i", "j"], "left")
+    value = F.coalesce("forth", F.lit(0)) + F.coalesce("back", F.lit(0)) + (F.col("v") - F.coalesce("n", F.lit(0))) * F.col("none")
+    pairs = every.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
+    own = known.withColumn("q", share(F.col("c"), F.col("whole"), F.col("v"))).select("lang", "term", "q", "totals", "v", "sources", F.explode("some").alias("at", "n"))
+    own = own.withColumn("p", share(F.col("n"), F.get("totals", "at"), F.col("v")))
+    terms = own.filter("p > q").select("lang", F.get("sources", "at").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
     place = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     ranked = pairs.withColumn("rank", F.row_number().over(place)).unionByName(terms.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top))
     done = written(ranked, "divergence")
