@@ -2,7 +2,7 @@
 
 (1) Each text becomes its terms, and its distinct terms once more; counts of both by (language, source, term) are combined before they are
 shuffled. (2) Terms in enough documents are kept, and each is pivoted into one array of counts, indexed by the sources of its
-language. (3) Higher-order functions turn a term's array into shares and emit those that meet for each pair of sources; sums of contributions by pair are
+language. (3) Higher-order functions turn a term's array into shares; these are laid out for each pair of sources, whose sums of contributions are
 combined map-side, so a pair travels once from each task. A pair of sources neither of which has the term contributes the same for every
 such term: that amount times the number of kept terms is added at the end and only what differs from it is emitted, so a term costs the
 number of its sources times that of all, not all by all.
@@ -23,13 +23,14 @@ LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, c, docs) of docs (lang, source, text): occurrences, and rows with the term."""
+def term_counts(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(lang, at, term, c, docs) of docs (lang, source, text): occurrences, and rows with the term. sources: (lang, source, at)."""
+    docs = docs.join(checked_broadcast(sources), ["lang", "source"])
     words = F.array_remove(F.split(F.translate("text", _UPPER, _LOWER), NO_TERM), "")
-    rows = docs.select("lang", "source", words.alias("t"))
+    rows = docs.select("lang", "at", words.alias("t"))
     # All occurrences, and after them each distinct term once more, for the count of documents.
-    each = rows.select("lang", "source", F.size("t").alias("n"), F.posexplode(F.concat("t", F.array_distinct("t"))).alias("k", "term"))
-    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("k") < F.col("n")).alias("c"), F.count_if(F.col("k") >= F.col("n")).alias("docs"))
+    each = rows.select("lang", "at", F.size("t").alias("n"), F.posexplode(F.concat("t", F.array_distinct("t"))).alias("k", "term"))
+    return each.groupBy("lang", "at", "term").agg(F.count_if(F.col("k") < F.col("n")).alias("c"), F.count_if(F.col("k") >= F.col("n")).alias("docs"))
 
 
 def _div(x: Column, y: Column) -> Column:
@@ -49,13 +50,12 @@ def apart(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
-def wide_terms(counts: DataFrame, sources: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def wide_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, c, some): of each term in at least least_docs documents of its language the count, and by the places of sources those above 0.
 
-    sources: (lang, source, at). counts: as term_counts gives them.
+    counts: as term_counts gives them.
     """
-    placed = counts.join(checked_broadcast(sources), ["lang", "source"])
-    found = placed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("some"))
+    found = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("some"))
     return found.filter(F.col("docs") >= least_docs).select("lang", "term", F.col("all").alias("c"), "some")
 
 
@@ -67,12 +67,11 @@ def _pair_sums(known: DataFrame) -> DataFrame:
     dense = F.transform("base", lambda b, j: F.when(F.try_element_at("some", j).isNull(), b).otherwise(share(F.try_element_at("some", j), F.get("totals", j), F.col("v"))))
     vectors = known.select("lang", "base", dense.alias("p"))
     here = vectors.select("lang", "base", "p", F.posexplode("p").alias("i", "x")).withColumn("y", F.get("base", "i")).filter("x != y")
-    # Of a source that has the term: to all others, and back from those that don't have it. Lambdas are interpreted, sums are compiled, so the
-    # function emits the shares that meet and their arithmetic is in the sum.
-    meet = F.zip_with("p", "base", lambda q, b: F.struct(q.alias("q"), b.alias("b")))
-    each = here.select("lang", "i", "x", "y", F.posexplode(meet).alias("j", "e"))
-    back = F.when(F.col("e.q") == F.col("e.b"), apart(F.col("e.b"), F.col("x")) - apart(F.col("e.b"), F.col("y")))
-    sums = each.groupBy("lang", "i", "j").agg(F.sum(apart(F.col("x"), F.col("e.q"))).alias("forth"), F.sum(back).alias("back"), F.count("*").alias("n"))
+    # Of a source that has the term: to all others, and back from those that don't have it. A lambda that emits the contribution itself is interpreted
+    # for each pair; the array is laid out and the arithmetic is compiled with the sum.
+    each = here.select("lang", "i", "x", "y", "base", F.posexplode("p").alias("j", "q")).withColumn("b", F.get("base", "j"))
+    back = F.when(F.col("q") == F.col("b"), apart(F.col("b"), F.col("x")) - apart(F.col("b"), F.col("y")))
+    sums = each.groupBy("lang", "i", "j").agg(F.sum(apart(F.col("x"), F.col("q"))).alias("forth"), F.sum(back).alias("back"), F.count("*").alias("n"))
     return sums.filter("i != j")
 
 
@@ -89,7 +88,7 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     groups = settle(docs.select("lang", "source").distinct())
     sources = settle(groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1))
-    wide = written(wide_terms(term_counts(docs), sources, least_docs), "terms")
+    wide = written(wide_terms(term_counts(docs, sources), least_docs), "terms")
     each = wide.select("lang", F.explode("some").alias("at", "c")).groupBy("lang", "at").agg(F.sum("c").alias("n"))
     kept = wide.groupBy("lang").agg(F.count("*").alias("v"), F.sum("c").alias("whole"))
     placed = sources.join(each, ["lang", "at"], "left").select("lang", F.struct("at", "source", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))

@@ -62,5 +62,6 @@ def test_shares_are_exact_beyond_64_bits(spark):
 
 def test_no_python_in_the_plan(spark):
     rows = [(1, "en", "a", "x y z", 1, "x")]
-    plan = divergence.term_counts(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = divergence.term_counts(docs, docs.selectExpr("lang", "source", "0 AS at"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
