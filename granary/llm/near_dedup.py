@@ -180,13 +180,12 @@ def _apart(labelled: DataFrame, sketches: DataFrame, k: int, similarity: float,
     """(a, b), a < b: pairs of different classes that share a bucket and whose sketches leave the similarity open, each once.
 
     labelled: (key, band, doc, class). A pair is looked at in the first band that it shares, however large that bucket is: block only says in how
-    many places the members of one bucket meet, not which of them do. sketches: (doc, keys, bits); an id that repeats has one for each of its texts, and
-    meets others in a bucket by those of its texts that are in it.
+    many places the members of one bucket meet, not which of them do. sketches: (doc, keys, bits).
     """
     mixed = _mixed(labelled, "key")
     apart = settle(labelled.join(mixed, F.col("key") == F.col("at")).select("key", "band", "doc", "class", "n").distinct())
     docs = checked_broadcast(apart.select(F.col("doc").alias("d")).distinct())
-    theirs = settle(sketches.join(docs, F.col("doc") == F.col("d"), "left_semi").distinct())
+    theirs = settle(sketches.join(docs, F.col("doc") == F.col("d"), "left_semi"))
     # Of a large bucket the members of its largest class, which need not meet each other, have the first blocks; the others have the rest.
     most = apart.filter(F.col("n") > block).groupBy("key", "class").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "class")).alias("top"))
     most = checked_broadcast(settle(most.select(F.col("key").alias("large"), "top.m", F.col("top.class").alias("main"))))
@@ -207,26 +206,27 @@ def _apart(labelled: DataFrame, sketches: DataFrame, k: int, similarity: float,
     return one.join(two, meet & unlike & open_yet & first).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(id, class_id): one row per document; class_id is the least id of its class of near duplicates.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written, with a number for each row, and that column's name: rows are told apart by it, whatever ids repeat or are null."""
+    row = "row"
+    while row in docs.columns:
+        row = f"_{row}"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
-    Two documents are linked if the sets of their `size`-word shingles have a Jaccard similarity of at least `similarity`
-    (a text of fewer words has one shingle, all of it); classes are the components of the links. Words are runs of
-    characters other than space and U+0009 to U+000D. A null text, and one without a word, is alone in its class. Ids are
-    integers; a row of a null id has a null class, and rows that repeat an id have one class, the least of their texts'. Other
-    columns of docs are not read. No rows: no rows.
-    """
+
+def _classes(texts: DataFrame, size: int, similarity: float, bands: int, rows: int, block: int) -> DataFrame:
+    """(doc, d1, d2, class), written: of each row of texts (doc, text) that has a word the digest of its words and its class, the least doc of some
+    row in it. doc numbers the rows."""
     since = mark()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     longs = T.ArrayType(T.LongType(), False)
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", longs), T.StructField("bits", longs)])
-    sketches = written(map_batches(texts.filter("doc is not null and text is not null"), _sketcher(bands, rows, size), schema), "sketches")
+    sketches = written(map_batches(texts.filter("text is not null"), _sketcher(bands, rows, size), schema), "sketches")
     # Minima are settled before they are joined: they are broadcast if they are few, and else the join can split a hot key.
     same = checked_broadcast(settle(sketches.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")))
-    member = settle(sketches.select("doc", "d1", "d2").join(same, ["d1", "d2"], "left").select("doc", F.coalesce("first", "doc").alias("first")))
+    member = settle(sketches.select("doc", "d1", "d2").join(same, ["d1", "d2"], "left").select("doc", "d1", "d2", F.coalesce("first", "doc").alias("first")))
     kept = sketches.select("doc", "d1", "d2", "keys").join(same, ["d1", "d2"], "left").filter("first is null or doc = first")
     keys = kept.select("doc", F.posexplode("keys").alias("band", "key"))
-    shared = checked_broadcast(settle(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("high > low").select("key", "n")))
+    shared = checked_broadcast(settle(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")))
     buckets = written(keys.join(shared, "key").select("key", "band", "doc", "n"), "buckets")
 
     # The star's centre is the member that shares most buckets with most documents: copies of one text stand around it.
@@ -244,18 +244,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         links = settle(links.unionByName(_links(more, texts, size, similarity)))
         classes = settle(connected_components(links, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("class")))
-    discard(docs.sparkSession, since, keep=(member, classes))
-    found = member.join(checked_broadcast(classes.withColumnRenamed("doc", "first")), "first", "left").groupBy("doc").agg(F.min(F.coalesce("class", "first")).alias("class_id"))
-    return texts.select("doc").join(found, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"))
+    found = member.join(checked_broadcast(classes.withColumnRenamed("doc", "first")), "first", "left").select("doc", "d1", "d2", F.coalesce("class", "first").alias("class"))
+    found = written(found, "classes")
+    discard(texts.sparkSession, since, keep=(found,))
+    return found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(id, class_id): one row per row of docs; class_id is the least id of its class of near duplicates.
+
+    Two texts are linked if the sets of their `size`-word shingles have a Jaccard similarity of at least `similarity`
+    (a text of fewer words has one shingle, all of it); classes are the components of the links. Words are runs of
+    characters other than space and U+0009 to U+000D. A null text, and one without a word, is alone in its class. Classes are of
+    texts and an id is only a label: rows that repeat an id have the class of their own text each, and a row of a null id has that of
+    its text, null where no row of it has an id. Ids are integers. Other columns of docs are not read. No rows: no rows.
+    """
+    since = mark()
+    ready, _ = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    found = _classes(ready.select(F.col("row").alias("doc"), "text"), size, similarity, bands, rows, block)
+    named = settle(found.join(ready.select(F.col("row").alias("doc"), "id"), "doc").select("doc", "class", "id"))
+    least = checked_broadcast(settle(named.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").drop("n")))
+    several = settle(named.join(least, "class").select("doc", "class_id", F.lit(True).alias("many")))
+    labels = ready.select(F.col("row").alias("doc"), "id").join(several, "doc", "left")
+    done = written(labels.select(F.col("id").alias(id_col), F.when(F.col("many"), F.col("class_id")).otherwise(F.col("id")).alias("class_id")), "near")
+    discard(docs.sparkSession, since, keep=(done,))
+    return done
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near duplicates of a document of a lesser id; rows that repeat an id stay or go together."""
+    """docs with one row of each class of near duplicates: that of the least id (a null one is last), among rows of one id the least text by a hash,
+    among equal ones any one. Null texts and those without a word are in no class and stay."""
     since = mark()
-    found = near_duplicates(docs, id_col, text_col)
-    gone = settle(found.filter(F.col("class_id") != F.col(id_col)).select(id_col))
-    discard(docs.sparkSession, since, keep=(gone,))
-    return without_ids(docs, gone, id_col)
+    ready, row = _numbered(docs)
+    found = _classes(ready.select(F.col(row).alias("doc"), F.col(text_col).cast("string").alias("text")), **near_duplicates.__kwdefaults__)
+    named = found.join(ready.select(F.col(row).alias("doc"), F.col(id_col).cast("long").alias("id")), "doc")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "d1", "d2", "doc")
+    first = named.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("class", F.col("first.doc").alias("first"))
+    gone = settle(named.join(checked_broadcast(settle(first)), "class").filter("doc != first").select(F.col("doc").alias(row)))
+    discard(docs.sparkSession, since, keep=(ready, gone))
+    return without_ids(ready, gone, row).drop(row)
 
 
 def op10_prob_minhash(spark, sf_dir: str) -> DataFrame:

@@ -27,21 +27,22 @@ QUERIES = {
 #: Classes of near duplicates by comparing all shingles and closing the links.
 _NEAR_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+  SELECT row_number() OVER () AS rn, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) > 0
+  SELECT DISTINCT rn, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) > 0
 ), n AS (
-  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+  SELECT rn, count(*) AS n FROM s GROUP BY rn
 ), c AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+  SELECT x.rn AS a, y.rn AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rn < y.rn GROUP BY 1, 2
 ), l AS (
-  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c + 1e-9 >= 0.8 * (x.n + y.n - c)
+  SELECT a, b FROM c JOIN n x ON x.rn = a JOIN n y ON y.rn = b WHERE c + 1e-9 >= 0.8 * (x.n + y.n - c)
 ), e AS (
   SELECT a, b FROM l UNION ALL SELECT b, a FROM l
-), r(doc_id, other) AS (
-  SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a
+), r(a, b) AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
 )
-SELECT d.doc_id, least(d.doc_id, coalesce(m.first, d.doc_id)) AS class_id FROM documents d LEFT JOIN (SELECT doc_id, min(other) AS first FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+SELECT w.doc_id, CASE WHEN m.a IS NULL THEN w.doc_id ELSE least(w.doc_id, m.first) END AS class_id
+FROM w LEFT JOIN (SELECT r.a, min(o.doc_id) AS first FROM r JOIN w o ON o.rn = r.b GROUP BY r.a) m ON m.a = w.rn
 """
 
 #: Rules in SQL; aliases are the closure of all canonical and refresh links, resolved as the operator resolves them.

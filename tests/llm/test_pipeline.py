@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from tests.llm.test_sketches import row_classes
+
 from granary.llm import common, decontaminate, near_dedup, quality_model, spiece, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -83,7 +85,43 @@ def test_near_copies_that_stay_do_not_depend_on_where_rows_of_one_id_lie(spark,
     for order in (rows, rows[::-1]):
         docs = spark.createDataFrame(order, "doc_id long, text string")
         for dealt in (docs.coalesce(1), docs.repartition(7)):
-            assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, dealt, SF).collect()) == list(range(0, 80, 2))
+            left = sorted((x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, dealt, SF).collect())
+            assert left == sorted(rows[3 * k + j] for k in range(40) for j in (0, 2))
+
+
+def test_near_duplicates_lose_no_text_and_keep_no_copy(spark):
+    """Every row that goes has a row that stays in its class of texts, and of each class one row stays, whatever ids say."""
+    word = lambda k: f"w{k}"
+    a, b, c, d = (" ".join(word(100 * k + j) for j in range(60)) for k in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, b), (3, c), (3, c), (None, c), (None, c), (None, d), (None, d + " end"), (8, None), (8, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row int")
+    left = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert left.columns == docs.columns
+    left = [(x.doc_id, x.text) for x in left.collect()]
+    assert sorted(left[:], key=str) == sorted([(1, a), (5, b), (3, c), next(x for x in left if x[1] in (d, d + " end")), (8, None), (8, None), (9, ""), (9, "")], key=str)
+    few = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, few, SF).collect()) == [(1, a), (2, b)]
+
+
+def test_near_duplicates_that_stay_by_brute_force(spark):
+    r = random.Random(8)
+    bases = [[f"b{k}x{j}" for j in range(r.randrange(20, 90))] for k in range(12)]
+    rows = []
+    for k in range(150):
+        text = list(bases[r.randrange(12)])
+        for _ in range(r.choice((0, 0, 1, 2, 4))):
+            text[r.randrange(len(text))] = f"e{r.randrange(10**6)}"
+        rows.append((r.choice((None, *range(25))), " ".join(text)))
+    classes, _ = row_classes(rows)
+    want = {}
+    for (i, t), c in zip(rows, classes):
+        want.setdefault(c, []).append((i is None, i or 0, t))
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert len(left) == len(want)
+    of = {}
+    for (i, t), c in zip(rows, classes):
+        of[t] = c
+    assert sorted((of[x.text], x.doc_id is None, x.doc_id or 0) for x in left) == sorted((c, *min(m)[:2]) for c, m in want.items())
 
 
 def test_no_stage_depends_on_the_bounds_of_what_is_done_at_once(spark, monkeypatch):

@@ -179,7 +179,7 @@ def test_folders_are_discarded(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"some words of a text that is number {k // 2} of them") for k in range(20)], "doc_id long, text string")
     found = near_dedup.near_duplicates(docs)
     left = common._folders[since:]
-    assert len(left) == 2 and all(os.path.isdir(f.removeprefix("file:")) for f in left)
+    assert len(left) == 1 and all(os.path.isdir(f.removeprefix("file:")) for f in left)
     assert len({x.class_id for x in found.collect()}) == 10
     common.discard(spark, since)
     assert not any(os.path.exists(f.removeprefix("file:")) for f in left) and common.mark() == since
