@@ -194,10 +194,15 @@ def fit(documents: DataFrame) -> Network | None:
     Languages beyond the MAX_LANGUAGES most frequent are not learned. A repeated id is one text of a language.
     """
     known = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= MAX_BYTES))
-    shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(ROWS_PER_LANGUAGE) / F.col("count")).alias("share"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003
+    counted = known.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("doc_id", 0.05).alias("ids"))
+    # Of distinct ids, with some to spare; of those that come the first are taken.
+    shares = counted.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(1.3 * ROWS_PER_LANGUAGE) / F.col("ids")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 52)) / F.lit(1 << 52)
     chosen = known.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(shares), "lang").filter("place < share")
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in one_text(chosen, "doc_id", "lang").collect())
+    by_lang: dict = {}
+    for r in sorted(one_text(chosen, "doc_id", "lang", "place").collect(), key=lambda r: (r["place"], r["doc_id"])):
+        by_lang.setdefault(r["lang"], []).append((r["doc_id"], r["lang"], r["text"]))
+    rows = sorted(r for some in by_lang.values() for r in some[:ROWS_PER_LANGUAGE])
     languages = sorted({lang for _, lang, text in rows if _HAS_LETTER.search(text)})
     if not languages:
         return None

@@ -169,25 +169,25 @@ def train_scorer(texts: list[str], labels: np.ndarray, rounds: int = 150) -> tup
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, float, float] | None:
     """A scorer for texts like those of docs; None if the labellers call no sampled text bad, or none good.
 
-    The sample is what a hash of id and text puts below a share, so null ids are told apart by their texts; equal rows count once. About
-    TRAIN_ROWS texts a side come to the driver, however rows repeat.
+    The sample is the TRAIN_ROWS texts a side of the least hashes of id and text, so null ids are told apart by their texts; equal rows count once,
+    and however often they repeat the sample is as large. Somewhat more than that comes to the driver, of which the least are taken.
     """
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(batch.column(0)))], names=["pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(batch.column(0))), batch.column(1)], names=["pattern", "place"])
 
     text = F.col(text_col).cast("string")
     texts = docs.filter(F.length(text) > 0).select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("place"))
-    coded = map_batches(texts.select("text"), codes, T.StructType([T.StructField("pattern", T.LongType())]))
-    patterns = {r["pattern"]: r["n"] for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    coded = map_batches(texts, codes, T.StructType([T.StructField("pattern", T.LongType()), T.StructField("place", T.LongType())]))
+    counted = coded.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("place", 0.05).alias("places")).collect()
+    patterns = {r["pattern"]: r["n"] for r in counted}
     if not patterns:
         return None
     labelled = weak_labels.fit(patterns, len(LABELLERS))
     posterior = {p: labelled.posterior(p) for p in patterns}
-    # A share of all texts, sized so that either side has TRAIN_ROWS; of a rare side all rows may be needed.
-    bad = sum(n for p, n in patterns.items() if posterior[p] < 0.5)
-    share = {False: min(1.0, TRAIN_ROWS / max(1, bad)), True: min(1.0, TRAIN_ROWS / max(1, sum(patterns.values()) - bad))}
+    # A share of the distinct texts, sized so that either side has TRAIN_ROWS and some to spare; of a rare side all may be needed.
+    share = {side: min(1.0, 1.3 * TRAIN_ROWS / max(1, sum(r["places"] for r in counted if (posterior[r["pattern"]] >= 0.5) == side))) for side in (False, True)}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +201,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
 
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("place", T.LongType()), T.StructField("good", T.DoubleType())])
     sampled = map_batches(texts, sample, kind).groupBy("place").agg(F.min(F.struct("text", "good")).alias("t"))
-    rows = sorted((r["place"], r["text"], r["good"]) for r in sampled.select("place", "t.*").collect())
+    rows = sorted((int(bytehash.mix(np.array([r["place"]]).view(np.uint64))[0]), r["text"], r["good"]) for r in sampled.select("place", "t.*").collect())
+    rows = sorted(r for side in (False, True) for r in [r for r in rows if (r[2] >= 0.5) == side][:TRAIN_ROWS])
     good = np.array([g for _, _, g in rows])
     if not len(rows) or good.min() >= 0.5 or good.max() < 0.5:
         return None

@@ -92,7 +92,7 @@ b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda x:
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
     + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
-  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, (CASE WHEN page_id <> latest THEN latest END)::BIGINT AS refers_to FROM b
+  CASE WHEN latest IS NULL OR page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, (CASE WHEN page_id IS DISTINCT FROM latest THEN latest END)::BIGINT AS refers_to FROM b
 """
 
 #: The counts that the quality rules look at.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import give_back, held_out, map_batches, one_text, table
+from granary.llm.common import checked_broadcast, give_back, held_out, map_batches, one_text, settle, table
 
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2500, 5000, 20_000
 THRESHOLD = 0.3
@@ -221,9 +221,12 @@ def fit(rows: list[tuple[int, str, int]], toxic_rows: int, ordinary_rows: int, w
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limits: dict[int, int], max_bytes: int) -> tuple[list, dict[int, int]]:
-    """([(doc_id, text, label)], {label: rows}): at most limits[label] labelled documents outside the held-out fourth, the first by a
-    hash of the id, less those of more than max_bytes. Ids are chosen from the narrow table; only chosen texts reach the driver, one for each id."""
+    """([(doc_id, text, label)], {label: ids}): at most limits[label] labelled documents outside the held-out fourth, the first by a
+    hash of the id, of those that have a text of at most max_bytes, and how many of these there are: labels of other documents play no part. Only
+    chosen texts reach the driver, one for each id."""
     known = labels.filter(F.col(label).isin(*limits) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    short = documents.filter(F.octet_length("text") <= max_bytes).select("doc_id")
+    known = settle(short.join(checked_broadcast(settle(known)), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label")))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = None
     for y, most in limits.items():

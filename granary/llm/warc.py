@@ -181,13 +181,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     """Write one record per row of pages below folder; (path, records, bytes) of the archives.
 
     Of rows whose payloads (html as UTF-8, null: empty) are equal and at least least_bytes long, that with the largest id is a response and
-    the others revisit it (rows of that id that repeat it too, all but their payload the same); other rows are responses.
+    the others, those of a null id too, revisit it; other rows, and those of a payload of which no row has an id, are responses.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
-    copies = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = rows.filter("digest is not null").groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
     copies = checked_broadcast(settle(copies.select(F.col("digest").alias("copied"), "first")), 200_000)
-    told = rows.join(copies, F.col("digest") == F.col("copied"), "left").select("id", "url", "payload", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    told = rows.join(copies, F.col("digest") == F.col("copied"), "left").select("id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

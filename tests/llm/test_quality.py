@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import language_id, quality_model, quality_rules, toxicity, weak_labels
 
@@ -329,3 +330,39 @@ def test_languages_of_odd_and_empty_tables(spark):
     unlettered = [k for k, t in enumerate([*ODD, "123 456", " —"]) if not t or not re.search(r"[^\W\d_]", t)]
     assert all(got[k] == ("und", 0.0) for k in unlettered) and all(got[k][0] in "pq" for k in got if k not in unlettered)
     assert language_id.identify(docs.limit(0), net).count() == 0
+
+
+def repeated(spark, docs, times):
+    return docs.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+
+def test_a_quality_sample_is_as_large_however_rows_repeat(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    seen = []
+    monkeypatch.setattr(quality_model, "TRAIN_ROWS", 15)
+    monkeypatch.setattr(quality_model, "train_scorer", lambda texts, good, *_: seen.append((sorted(texts), len(texts))) or (np.zeros(1), 0.0, 1.0))
+    for rows in (docs, repeated(spark, docs, 60)):
+        assert quality_model.fit(rows) is not None
+    assert seen[0] == seen[1] and 15 < seen[0][1] <= 30
+
+
+def test_a_language_sample_is_as_large_however_ids_repeat(spark, monkeypatch):
+    rows = [(k, ("ein kleiner Text", "some small text")[k % 2] + f" {'x' * (k % 9)}", ("de", "en")[k % 2]) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "ROWS_PER_LANGUAGE", 20)
+    monkeypatch.setattr(language_id, "train", lambda segments, labels, languages: seen.append((len(segments), labels.tolist(), languages)) or "net")
+    for some in (docs, repeated(spark, docs, 300)):
+        assert language_id.fit(some) == "net"
+    assert seen[0] == seen[1] and seen[0][2] == ["de", "en"] and 0 < seen[0][0] <= 40
+
+
+def test_labels_of_other_documents_play_no_part(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    kind = labels.schema["doc_id"].dataType
+    other = spark.range(10**9, 10**9 + 20_000).select(F.col("id").cast(kind).alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    limits = {1: 5, 0: 10}
+    want = toxicity.labelled_sample(docs, labels, "toxic", limits, 20_000)
+    assert toxicity.labelled_sample(docs, labels.unionByName(other), "toxic", limits, 20_000) == want
+    assert len(want[0]) == 15 and sum(want[1].values()) <= labels.count()
+    assert toxicity.labelled_sample(docs, other, "toxic", limits, 20_000) == ([], {})

@@ -62,3 +62,16 @@ def test_url_classes_equal_their_sql_where_pages_link(spark, tmp_path, seed, n):
     assert sorted(tuple(map(str, x)) for x in df.select(*columns).collect()) == want and len(want) == n + 2
     if seed == 1:  # some verdicts are those of aliases
         assert any(x[columns.index("rule")] == "None" and x[columns.index("verdict")] == "block" for x in want)
+
+
+def test_pages_without_an_id_equal_their_sql(spark, tmp_path):
+    rows = [(4, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "v", "other"), (None, "w", "other"), (None, "x", None), (7, "y", ""), (8, None, "own"), (8, None, "own")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["op7_warc_salvage"])
+    columns = [d[0] for d in want.description]
+    got = [tuple(map(str, x)) for x in QUERIES["op7_warc_salvage"](spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got) == sorted(tuple(map(str, x)) for x in want.fetchall())
+    kinds = sorted((g[columns.index("page_id")], g[columns.index("record_type")], g[columns.index("refers_to")]) for g in got)
+    assert ("None", "revisit", "4") in kinds and ("None", "revisit", "7") in kinds and kinds.count(("None", "response", "None")) == 2
