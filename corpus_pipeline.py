@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to piece ids, in stages that are each written and read again.
 
 It belongs to granary.llm and needs it. Every stage works on all rows that the one before it kept; all but the last return the
-columns of documents, extra ones too. In every stage rows of equal ids and texts stay or go together, other columns play no part, texts are
+columns of documents, extra ones too. In every stage but the near duplicates rows of equal ids and texts stay or go together, other columns play no part, texts are
 read whole however long they are, and a table without rows gives one without rows. What each does with nulls is said with it.
 """
 
@@ -31,9 +31,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row, that of the least doc_id, of each class of near duplicates.
+    """docs with one row, that of the least doc_id, of each class of near duplicates; a null id comes last.
 
-    Null texts, texts without a word and rows of a null id are in no class with others and stay.
+    Classes are of texts: an id that repeats is only a label, so each of its texts stays or goes by itself, and of rows that are all the same one
+    stays. Null texts and those without a word are in no class and stay.
     """
     return near_dedup.keep_first(docs)
 

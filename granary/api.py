@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.functions.formats import human as human_size
 from granary.functions.globs import validate_globs
@@ -18,7 +19,7 @@ from granary.operators import duplicates
 from granary.operators import scan as scans
 from granary.operators.reclaim import ReclaimReport, reclaim
 from granary.operators.removal import RemoveReport, remove_path
-from granary.sources import file_tree, inventory
+from granary.sources import file_tree, frontier, inventory
 from granary.sources.file_tree import Options, parse_options
 from granary.streaming.progress import Progress, observed
 
@@ -82,6 +83,12 @@ def _inventory(spark: SparkSession, root: str, options: Options, progress: Progr
         raise NotADirectoryError(f"not a directory: {root}")
     if progress and progress.cancelled():
         return spark.createDataFrame([], file_tree.SCHEMA), lambda: None
+    walked = frontier.walk(spark, root, options)
+    if walked:
+        if progress:
+            files = walked[0].filter("entry_type = 'file'").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+            progress.settle(files["n"], files["bytes"])
+        return walked
     found, seen = observed(file_tree.read(spark, root, options))
     kept = inventory.keep(found)
     if progress:
