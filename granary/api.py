@@ -120,7 +120,7 @@ def find_duplicates(spark: SparkSession, root: str, min_size: int = 1, options:
     found, let_go = _inventory(spark, root, options, progress)
     held: list[DataFrame] = []
     try:
-        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(found, min_size, held=held)).collect()]
+        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(found, min_size, held=held, digest="blake3")).collect()]
     finally:
         let_go()
         for df in held:

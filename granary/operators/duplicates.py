@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions import paths
+from granary.functions import blake3, paths
 from granary.shipping import ship
 
 PREFIX = 4096
@@ -60,14 +60,17 @@ def prefix_digest(content: Column) -> Column:
     return F.sha2(F.substring(content, 1, PREFIX), 256)
 
 
-def _digest_files(prefix_only: bool):
+def _digest_files(prefix_only: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for path in batch.column("path_raw").to_pylist():
                 try:
                     with open(path, "rb") as f:
-                        found.append(hashlib.sha256(f.read(PREFIX)).hexdigest() if prefix_only else hashlib.file_digest(f, "sha256").hexdigest())
+                        if kind == "blake3":
+                            found.append(blake3.digests([f.read(PREFIX) if prefix_only else f.read()])[0])
+                        else:
+                            found.append(hashlib.sha256(f.read(PREFIX)).hexdigest() if prefix_only else hashlib.file_digest(f, "sha256").hexdigest())
                 except OSError:  # a file that can't be read is no duplicate
                     found.append(None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "digest"])
@@ -75,14 +78,59 @@ def _digest_files(prefix_only: bool):
     return run
 
 
-def _read_and_digest(files: DataFrame, prefix_only: bool) -> DataFrame:
+def _width(df: DataFrame) -> int:
+    """Tasks that files are dealt to: given as a number, as adaptive execution would join tasks of a few names, whatever the files hold."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _read_and_digest(files: DataFrame, prefix_only: bool, kind: str = "sha256") -> DataFrame:
     """files with the digest of their content, read by path where the task runs; dealt by path, so that one frequent length is many tasks."""
     ship(files.sparkSession)
     schema = T.StructType([*files.schema.fields, T.StructField("digest", T.StringType())])
-    return files.repartition(F.col("path")).mapInArrow(_digest_files(prefix_only), schema).filter("digest is not null")
+    return files.repartition(_width(files), F.col("path")).mapInArrow(_digest_files(prefix_only, kind), schema).filter("digest is not null")
+
+
+def file_blocks(files: DataFrame) -> DataFrame:
+    """(logical_size, path, path_raw, block): a row for each block of a file, dealt by path and block, so that one large file is many tasks."""
+    last = F.floor((F.greatest(F.col("logical_size"), F.lit(1)) - 1) / blake3.BLOCK_BYTES)
+    return files.select("logical_size", "path", "path_raw", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).repartition(_width(files), F.col("path"), F.col("block"))
+
+
+def block_digests(files: DataFrame) -> DataFrame:
+    """(logical_size, path, path_raw, digest) of files of more than one block: each block is hashed as a sub-tree of its file, and a file's values, of 32
+    bytes each, are merged in order. A file that can't be read, or is shorter now, has no row."""
+    ship(files.sparkSession)
+    size = blake3.BLOCK_BYTES
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, length, block in zip(batch.column("path_raw").to_pylist(), batch.column("logical_size").to_pylist(), batch.column("block").to_pylist()):
+                try:
+                    with open(path, "rb") as f:
+                        f.seek(block * size)
+                        data = f.read(min(size, length - block * size))
+                except OSError:
+                    data = b""
+                found.append(blake3.subtree(data, block * size) if len(data) == min(size, length - block * size) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "value"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if any(v is None for v in values) else blake3.merged(values) for values in batch.column("values").to_pylist()]
+            kept = ["logical_size", "path", "path_raw"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, "digest"])
+
+    blocks = file_blocks(files)
+    schema = T.StructType([*blocks.schema.fields, T.StructField("value", T.BinaryType())])
+    values = blocks.mapInArrow(hashed, schema).groupBy("logical_size", "path", "path_raw")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda x: x["value"])
+    out = T.StructType([blocks.schema["logical_size"], blocks.schema["path"], blocks.schema["path_raw"], T.StructField("digest", T.StringType())])
+    return values.agg(ordered.alias("values")).mapInArrow(joined, out).filter("digest is not null")
 
 
-def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
+def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True, held: list[DataFrame] | None = None, digest: str = "sha256") -> DataFrame:
     """(hash, size, path, keep, n, wasted): each file that has an equal one. keep: the first path of its group in component order.
 
     An inventory with a column digest (SHA-256, hexadecimal) is taken by it, one with a column content is hashed from that, another one by reading
@@ -97,19 +145,24 @@ def members(inventory: DataFrame, min_size: int = 1, collapse_links: bool = True
         return df
 
     if {"digest", "content"} & set(inventory.columns):
-        digest = F.col("digest") if "digest" in inventory.columns else F.sha2("content", 256)
-        narrow = candidates(inventory, "path", "dev", "inode", digest.alias("hash"), min_size=min_size)
+        ready = F.col("digest") if "digest" in inventory.columns else F.sha2("content", 256)
+        narrow = candidates(inventory, "path", "dev", "inode", ready.alias("hash"), min_size=min_size)
         hashed = without_hard_links(narrow, "hash") if collapse_links else narrow.select("logical_size", "path", "hash")
     else:
         # Files are opened by the bytes of their path, which need not be text.
         narrow = candidates(inventory, "path", F.coalesce("path_raw", F.col("path").cast("binary")).alias("path_raw"), "dev", "inode", min_size=min_size)
         single = without_hard_links(narrow, "path_raw") if collapse_links else narrow.drop("dev", "inode")
-        started = once(_read_and_digest(single, True).withColumnRenamed("digest", "prefix"))
+        started = once(_read_and_digest(single, True, digest).withColumnRenamed("digest", "prefix"))
         again = started.groupBy("logical_size", "prefix").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
         left = started.join(again, ["logical_size", "prefix"], "left_semi")
         # A file of at most one block is its prefix.
         small = left.filter(F.col("logical_size") <= PREFIX).select("logical_size", "path", F.col("prefix").alias("hash"))
-        large = once(_read_and_digest(left.filter(F.col("logical_size") > PREFIX).drop("prefix"), False).select("logical_size", "path", F.col("digest").alias("hash")))
+        rest = left.filter(F.col("logical_size") > PREFIX).drop("prefix")
+        whole = rest if digest != "blake3" else rest.filter(F.col("logical_size") <= blake3.BLOCK_BYTES)
+        large = _read_and_digest(whole, False, digest).select("logical_size", "path", F.col("digest").alias("hash"))
+        if digest == "blake3":
+            large = large.unionByName(block_digests(rest.filter(F.col("logical_size") > blake3.BLOCK_BYTES).select("logical_size", "path", "path_raw")).select("logical_size", "path", F.col("digest").alias("hash")))
+        large = once(large)
         hashed = small.unionByName(large)
     # Counting and joining both start from this exchange, so contents of tables are hashed once; the third column spreads a large group.
     hashed = hashed.repartition(F.col("logical_size"), F.col("hash"), F.pmod(F.xxhash64("path"), F.lit(SALTS)))
