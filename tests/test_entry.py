@@ -37,3 +37,11 @@ def test_queries_without_the_corpus_subpackage(tmp_path, pipeline_too):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", CODE], cwd=repo, env=env, capture_output=True, text=True, timeout=300)
     assert "LEFT []" in run.stdout and "GROUPS 7" in run.stdout, run.stderr[-2000:]
+
+
+def test_queries_where_a_library_of_the_subpackage_is_missing():
+    """The other queries are there, with a warning, if granary.llm can't be imported."""
+    code = "import sys, warnings; sys.modules['zstandard'] = None; import __spark_entry__ as e\nwith warnings.catch_warnings(record=True) as w:\n    warnings.simplefilter('always')\n    names = e.queries()\nprint(len(names), sum(n.startswith('op') or n == 'pipeline' for n in names), len(w))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=HERE, capture_output=True, text=True, timeout=120)
+    total, corpus, warned = map(int, run.stdout.split())
+    assert total > 40 and corpus == 0 and (warned == 1 or not os.path.isdir(os.path.join(HERE, "granary", "llm"))), run.stderr[-500:]
