@@ -81,6 +81,54 @@ def test_recall_of_questions_asked_again(spark):
     assert not [k for k, _ in found if k >= 300]
 
 
+def test_runs_of_slots_are_one(spark):
+    item = "How many apples does Mary Jane Watson have if Tom gives her twenty five more?"
+    texts = ["How many apples does Ann have if Bob gives her 7 more?", "So: how many apples does Ann Lee have if Bob Dyk gives her 1 200 more? Say it."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted((x.doc_id, x.first, x.last) for x in found.collect()) == [(0, 1, 12), (1, 3, 16)]
+    # A name that is the same in the item has to be the same run in the document.
+    item = "Mary Jane sold 3 of the old apples then Mary Jane went home by bus"
+    texts = ["Ann Lee sold 45 of the old apples then Ann Lee went home by bus", "Ann Lee sold 45 of the old apples then Bob Lee went home by bus"]
+    assert contaminated(spark, texts, [item]) == {0}
+
+
+def test_recall_with_names_and_numbers_of_several_words_and_other_questions_of_one_shape(spark):
+    """Each of 200 questions asked again with names and numbers of one to three tokens; then questions of the same shapes about other things."""
+    r = random.Random(5)
+    first, last = "Tom Ann Bob Olga Karl Mia Ivan Zoe".split(), "Lee Watson Stone Berg Novak Ito".split()
+    name = lambda: " ".join([r.choice(first), *r.sample(last, r.randint(0, 2))])
+    number = lambda: r.choice((str(r.randint(2, 99)), "twenty five", "3 hundred thousand", "1,250", "four", "two hundred"))
+    things = [f"{a}{b}" for a in "lamp rope shell coin tile brick wheel spoon".split() for b in ("s", "works", "boxes", "parts", "rings")]
+    shapes = (
+        "how many {n} does {a} have if {b} gives them {x} more of the {m} today?",
+        "after {a} sold {x} old {n} to {b}, who counted {y} broken {m}, what did {a} still own?",
+        "the {n} of {a} weigh as much as {x} new {m}, so what do {y} of them weigh?",
+    )
+    made = []
+    for k in range(200):
+        shape, n, m = shapes[k % 3], *r.sample(things, 2)
+        ask = lambda shape=shape, n=n, m=m: shape.format(n=n, m=m, a=(a := name()), b=name(), x=number(), y=number())  # noqa: E731, F841
+        made.append((shape, n, m, ask(), ask()))
+    other = [shapes[k % 3].format(n="kettles", m="ladders", a=name(), b=name(), x=number(), y=number()) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate([x[4] for x in made] + other)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, x[3]) for k, x in enumerate(made)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contamination(docs, bench).collect()}
+    assert sum((k, k) in found for k in range(200)) >= 180
+    # A question about other things is met where its scheme alone holds a window of words, as the first two do, and only there.
+    assert {k for k, _ in found if k >= 200} == {200 + k for k in range(60) if k % 3 < 2}
+    assert {x.doc_id for x in decontaminate.contaminated(docs, bench).collect()} == {k for k, _ in found}
+
+
+def test_contaminated_are_the_documents_of_contamination(spark):
+    texts = [ITEM, ITEM.replace("Tom", "Ann"), ITEM.replace("Tom bought", "Ann bought"), "of rope to his friend yesterday", None, "", ITEM + " 3", ITEM]
+    docs = spark.createDataFrame([(k if k < 6 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ITEM), (1, ITEM), (2, ITEM + " or the day before"), (3, None)], "item_id long, text string")
+    want = {(x.doc_id, x.text_hash) for x in decontaminate.contamination(docs, bench).collect()}
+    got = [(x.doc_id, x.text_hash) for x in decontaminate.contaminated(docs, bench).collect()]
+    assert len(want) == 5 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_windows_of_all_sizes_share_their_parts(spark):
     rows = [(k, [hash((k, j)) for j in range(n)]) for k, n in enumerate((0, 1, 4, 5, 7, 8, 9, 30))] + [(99, [7] * 20)]
     df = decontaminate.with_windows(spark.createDataFrame(rows, "k long, h array<long>"), ["h"], [5, 6, 7, 8, 13])
@@ -138,7 +186,10 @@ def test_slots_count_only_where_windows_match(spark):
 
 
 def test_short_items_slots_only_and_empty_tables(spark):
-    assert contaminated(spark, ["say five words of it here", "five words", "a five words of it b"], ["five words of it here", "five words", ""]) == {0}
+    texts = ["say five words of it here", "five words", "a five words of it b", "five of these words", "so it is", "It"]
+    assert contaminated(spark, texts, ["five words of it here", ""]) == {0}
+    assert contaminated(spark, texts, ["five words of it here", "five words", ""]) == {0, 1, 2}  # a short item is found verbatim, all of it
+    assert contaminated(spark, texts, ["So it is.", "...", "five, of these"]) == {3, 4} and contaminated(spark, texts, ["it"]) == {0, 2, 4, 5}
     assert contaminated(spark, ["1 2 3 4 5 6 7 8 9"], ["9 8 7 6 5 4 3 2 1"]) == set()
     assert contaminated(spark, [ITEM], []) == set()
     assert contaminated(spark, [], [ITEM]) == set()
