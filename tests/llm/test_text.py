@@ -115,8 +115,8 @@ def test_recall_with_names_and_numbers_of_several_words_and_other_questions_of_o
     bench = spark.createDataFrame([(k, x[3]) for k, x in enumerate(made)], "item_id long, text string")
     found = {(x.doc_id, x.item_id) for x in decontaminate.contamination(docs, bench).collect()}
     assert sum((k, k) in found for k in range(200)) >= 180
-    # A question about other things is met where its scheme alone holds a window of words, as the first two do, and only there.
-    assert {k for k, _ in found if k >= 200} == {200 + k for k in range(60) if k % 3 < 2}
+    # A question about other things is met where its scheme alone holds a window of words, as the first and the third do, and only there.
+    assert {k for k, _ in found if k >= 200} == {200 + k for k in range(60) if k % 3 != 1}
     assert {x.doc_id for x in decontaminate.contaminated(docs, bench).collect()} == {k for k, _ in found}
 
 
