@@ -1,17 +1,22 @@
-"""Getting space back from duplicates: the plan is a DataFrame, acting on it happens on the driver and only if asked for."""
+"""Getting space back from duplicates: the plan is a DataFrame, acting on it is a write to the sink `reclaim` and happens only if asked for."""
 
 from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import paths
 from granary.operators.duplicates import LARGEST
+from granary.shipping import ship
+from granary.sources.reclaim_sink import OUTCOMES, Acts, ReclaimSink, load_json, save_json
 
 ACTIONS = ("delete", "trash", "hardlink")
 
@@ -93,9 +98,100 @@ def reclaim(keep: str, remove: Iterable[str], size: int, action: str = "delete",
     return report
 
 
-def apply(planned: DataFrame, action: str, trash: str | None = None) -> ReclaimReport:
-    """Act on a plan. Rows stream through the driver; tasks never delete, as they may run twice."""
-    report = ReclaimReport(dry_run=False)
-    for row in planned.toLocalIterator():
-        report.add(reclaim(row["keep"], [row["remove"]], row["size"], action, False, trash))
-    return report
+def new_journal(spark: SparkSession) -> str:
+    """A new folder below the one that spark.checkpoint.dir names, or a temporary one where all runs on one machine."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("driver and executors share no folder that is known: name a journal")
+        return tempfile.mkdtemp(prefix="granary-reclaim-")
+    place = urlparse(named)
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"tasks can't write to {named} by path: name a journal")
+    folder = f"{unquote(place.path)}/reclaim-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+def _step(rows: DataFrame, journal: str, job: dict, step: str) -> None:
+    rows.sparkSession.dataSource.register(ReclaimSink)
+    os.makedirs(f"{journal}/{step}", exist_ok=True)
+    rows.write.format("reclaim").mode("append").options(journal=journal, action=job["action"], trash=job["trash"] or "", step=step).save()
+
+
+def outcomes(spark: SparkSession, journal: str, step: str = "finish") -> DataFrame:
+    """(keep, remove, size, dev, inode, error) of a step that is done; error is null where it went well."""
+    names = load_json(f"{journal}/{step}.json")
+    if names is None:
+        raise ValueError(f"the step {step} is not done: {journal}")
+    if not names:
+        return spark.createDataFrame([], OUTCOMES)
+    return spark.read.schema(OUTCOMES).parquet(*(f"file://{journal}/{step}/{name}" for name in names))
+
+
+def report(spark: SparkSession, journal: str) -> ReclaimReport:
+    """What a finished journal has done. Totals are an aggregation; errors, ordered by path, are all listed."""
+    done = outcomes(spark, journal)
+    total = dry_run(done.filter("error is null")).first()
+    failed = done.filter("error is not null").select("remove", "error").orderBy(paths.sort_key(F.col("remove")))
+    return ReclaimReport(total["removed"], total["reclaimed"], [f"{r['remove']}: {r['error']}" for r in failed.toLocalIterator()], False)
+
+
+def resume(spark: SparkSession, journal: str) -> ReclaimReport:
+    """Go on with a journal whose plan is written, from wherever it broke off; a finished one is only reported again."""
+    journal = os.path.abspath(journal)
+    job = load_json(f"{journal}/job.json")
+    if job is None:
+        raise ValueError(f"no plan is written in {journal}")
+    ship(spark)
+    if load_json(f"{journal}/claim.json") is None:
+        _step(spark.read.parquet(f"file://{journal}/plan"), journal, job, "claim")
+    if load_json(f"{journal}/finish.json") is None:
+        _step(outcomes(spark, journal, "claim"), journal, job, "finish")
+    return report(spark, journal)
+
+
+def undo(spark: SparkSession, journal: str) -> None:
+    """Put back what a journal has claimed, by tasks. ValueError once the claim is committed: finishing may have begun."""
+    journal = os.path.abspath(journal)
+    job = load_json(f"{journal}/job.json")
+    if job is None or load_json(f"{journal}/claim.json") is not None:
+        raise ValueError(f"nothing that can be put back: {journal}")
+    ship(spark)
+
+    def back(batches):
+        acts = Acts(journal, job["action"], job["trash"])
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                acts.undo(path)
+            yield batch.slice(0, 0)
+
+    spark.read.parquet(f"file://{journal}/plan").select("remove").mapInArrow(back, "remove string").count()
+
+
+def apply(planned: DataFrame, action: str, trash: str | None = None, journal: str | None = None) -> ReclaimReport:
+    """Act on a plan, by tasks, at most once a path; rows without a path, or that would act on what they keep, are left out.
+
+    The plan is written to the journal first, so that what is done doesn't depend on reading again files that change meanwhile. A journal that is not
+    named is removed at the end; after a failure it stays, and resume() goes on with it.
+    """
+    checked_action(action)
+    spark = planned.sparkSession
+    folder = os.path.abspath(journal) if journal else new_journal(spark)
+    try:
+        job = load_json(f"{folder}/job.json")
+        if job is None:
+            os.makedirs(folder, exist_ok=True)
+            rows = planned.select("keep", "remove", "size").filter("remove is not null and keep is not null and remove != keep")
+            # Dealt by path, so that a large group is many tasks' work.
+            rows.repartition("remove").dropDuplicates(["remove"]).write.mode("overwrite").parquet(f"file://{folder}/plan")
+            save_json(f"{folder}/job.json", {"action": action, "trash": trash})
+        elif job != {"action": action, "trash": trash}:
+            raise ValueError(f"the journal is of another job: {folder}")
+        done = resume(spark, folder)
+    except Exception as e:
+        e.add_note(f"the journal is {folder}")
+        raise
+    if not journal:
+        shutil.rmtree(folder)
+    return done
