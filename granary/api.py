@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import os
 import shutil
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from granary.streaming.progress import Progress, observed
 
 __all__ = [
     "DirSize", "DupGroup", "FileEntry", "Options", "Progress", "ReclaimReport", "RemoveReport", "ScanReport",
-    "disk_space", "find_duplicates", "human_size", "parse_options", "reclaim", "remove_path", "scan", "validate_globs", "walk_files",
+    "disk_space", "duplicate_members", "find_duplicates", "human_size", "parse_options", "reclaim", "remove_path", "scan", "validate_globs", "walk_files",
 ]
 
 
@@ -113,15 +114,22 @@ def scan(spark: SparkSession, root: str, top_n: int = 20, options: Options = Opt
     return ScanReport(**row)
 
 
-def find_duplicates(spark: SparkSession, root: str, min_size: int = 1, options: Options = Options(), progress: Progress | None = None) -> list[DupGroup]:
-    """Groups of files of equal content of at least min_size bytes below root, most wasted first."""
+@contextmanager
+def duplicate_members(spark: SparkSession, root: str, min_size: int = 1, options: Options = Options(), progress: Progress | None = None) -> Iterator[DataFrame]:
+    """duplicates.members() of the files below root, as they were found: written once, and there while the block runs."""
     if min_size < 0:
         raise ValueError("min_size is negative")
-    found, let_go = _inventory(spark, root, options, progress)
-    held: list[DataFrame] = []
-    try:
-        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(duplicates.members(found, min_size, held=held, digest="blake3")).collect()]
-    finally:
-        let_go()
-        for df in held:
-            df.unpersist()
+    with ExitStack() as after:
+        walked, let_go = _inventory(spark, root, options, progress)
+        after.callback(let_go)
+        held: list[DataFrame] = []
+        after.callback(lambda: [df.unpersist() for df in held])
+        found, forget = inventory.keep(duplicates.members(walked, min_size, held=held, digest="blake3"))
+        after.callback(forget)
+        yield found
+
+
+def find_duplicates(spark: SparkSession, root: str, min_size: int = 1, options: Options = Options(), progress: Progress | None = None) -> list[DupGroup]:
+    """Groups of files of equal content of at least min_size bytes below root, most wasted first."""
+    with duplicate_members(spark, root, min_size, options, progress) as found:
+        return [DupGroup(r["hash"], r["size"], list(r["files"]), r["wasted"]) for r in duplicates.groups(found).collect()]

@@ -183,6 +183,18 @@ def groups(found: DataFrame) -> DataFrame:
     return found.groupBy("hash", "size").agg(ordered.alias("files"), F.first("wasted").alias("wasted")).orderBy(F.desc("wasted"), paths.sort_key(F.get("files", F.lit(0)))).select("hash", "size", "files", "wasted")
 
 
+def total(found: DataFrame) -> DataFrame:
+    """One row: n, the groups, and wasted, the sum over them."""
+    return summaries(found).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("wasted").cast("decimal(38,0)")), F.lit(0)).alias("wasted"))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """(hash, size, path, n, wasted): the rows of members() as a list shows them, most wasted first, ties by the first path, paths of a group in component
+    order. A sort of all rows by range: a group may be larger than a task holds, and no array is made of it."""
+    order = (F.desc("wasted"), paths.sort_key(F.col("keep")), F.col("hash"), F.col("size"), paths.sort_key(F.col("path")))
+    return found.orderBy(*order).select("hash", "size", "path", "n", "wasted")
+
+
 def prefix_buckets(inventory: DataFrame, min_size: int = 1) -> DataFrame:
     """(logical_size, prefix, n): lengths and first blocks that more than one file of a table-backed inventory has."""
     some = candidates(inventory, prefix_digest(F.col("content")).alias("prefix"), min_size=min_size)

@@ -302,6 +302,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["rm", root, "--apply"]) == 0 and not os.path.exists(root)
 
 
+def test_groups_are_printed_as_they_come(spark, tmp_path):
+    for name, data in (("a/1", b"aa"), ("a-1", b"aa"), ("b", b"aa"), ("c", b"ccc"), ('d"', b"ccc"), ("e", b"")):
+        put(tmp_path, name, data)
+    groups = api.find_duplicates(spark, str(tmp_path))
+    assert names(groups, tmp_path) == [["a/1", "a-1", "b"], ["c", 'd"']]
+    with api.duplicate_members(spark, str(tmp_path)) as found:
+        for indent in ("", "  "):
+            text = "".join(cli.dupes_json(found, indent))
+            assert text == json.dumps([g.__dict__ for g in groups], indent=2).replace("\n", f"\n{indent}")
+        assert "".join(cli.dupes_json(found.limit(0))) == "[]"
+        assert list(cli.dupes_text(found.limit(0))) == ["Nothing is stored twice."]
+        lines = list(cli.dupes_text(found))
+        assert [x.strip() for x in lines if x.startswith("      ")] == [f for g in groups for f in g.files]
+        assert "contents" in lines[0] and str(len(groups)) in lines[0]
+
+
 def test_benchmark_tree(spark, tmp_path):
     import bench
 
